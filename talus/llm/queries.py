@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import line_dedup, packing, quality_rules, simhash
+from talus.llm import embedding_dedup, html_text, line_dedup, packing, quality_mil, quality_rules, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,17 +18,30 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), packing.SEQUENCE).withColumnRenamed("id", "doc_id")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(_read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return out.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_mil.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", "held_out", "score", "predicted", "n_passages", "top_passage", "top_weight")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return out.select(*first, "compressed_share", "n_chunks", "n_stray_chunks", "verdict")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(_read(spark, sf_dir, "embeddings"), 0.9).withColumnRenamed("id", "vec_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,8 +49,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
