@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import embedding_dedup, html_text, line_dedup, packing, quality_mil, quality_rules, simhash
+from talus.llm import embedding_dedup, html_text, line_dedup, packing, quality_mil, quality_rules, simhash, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*first, "compressed_share", "n_chunks", "n_stray_chunks", "verdict")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(_read(spark, sf_dir, "documents"), window=13)
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(_read(spark, sf_dir, "embeddings"), 0.9).withColumnRenamed("id", "vec_id")
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
