@@ -220,6 +220,17 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", id_col: s
     return docs.select(id_col, text).mapInArrow(run, f"id {kind}, score double, n_passages bigint, top_passage bigint, top_weight double")
 
 
+def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that score `threshold` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in text_chunks(batches, text):
+            score, _ = score_passages(model, *passages(c.data, c.offsets))
+            yield c.batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """score_documents of a model fitted on the labels, with held_out and predicted.
     Repeated rows and null ids give a row each, an empty table none."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import embedding_dedup, html_text, line_dedup, packing, quality_mil, quality_rules, simhash, substring_dedup
+from talus.llm import embedding_dedup, html_text, license_scan, line_dedup, mixing, packing, quality_mil, quality_rules, simhash, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,19 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their sources: source/language/doc_id.txt."""
+    docs = _read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    out = license_scan.scan_licenses(docs.select(path.alias("path"), "text"))
+    doc_id = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
+    return out.select(doc_id.alias("doc_id"), "path", "license", "score", "is_license_file", "origin", "inherited_from")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_mil.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", "held_out", "score", "predicted", "n_passages", "top_passage", "top_weight")
@@ -56,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
@@ -64,6 +79,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": """
+WITH RECURSIVE sizes AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), shares AS (
+  SELECT source, round(pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * 1000, 6) AS share FROM sizes
+), floors AS (
+  SELECT source, floor(share)::BIGINT AS whole,
+         row_number() OVER (ORDER BY round(share - floor(share), 6) DESC, source ASC NULLS FIRST) AS place,
+         1000 - sum(floor(share)::BIGINT) OVER () AS missing
+  FROM shares
+), parts AS (
+  SELECT source, whole + CASE WHEN place <= missing THEN 1 ELSE 0 END AS parts FROM floors
+), used AS (
+  SELECT source, parts, row_number() OVER (ORDER BY coalesce(source, ''), source ASC NULLS FIRST) AS i FROM parts WHERE parts > 0
+), lists AS (
+  SELECT list(parts ORDER BY i) AS q FROM used
+), edf AS (
+  SELECT -1 AS slot, list_transform(q, x -> 0::BIGINT) AS placed, 0::BIGINT AS best, q FROM lists
+  UNION ALL
+  SELECT slot + 1, list_transform(placed, lambda x, i: x + CASE WHEN i = b THEN 1 ELSE 0 END), b, q
+  FROM (
+    SELECT slot, placed, q, list_min(list_filter(list_transform(q, lambda p, i: {'d': CASE
+             WHEN placed[i] < p AND (placed[i] * 1000) // p <= slot + 1
+             THEN ((placed[i] + 1) * 1000 + p - 1) // p END, 'i': i}), lambda s: s.d IS NOT NULL)).i AS b
+    FROM edf WHERE slot < 999
+  )
+), pattern AS (
+  SELECT u.source, u.parts, e.placed[u.i] - 1 AS k, e.slot AS at FROM edf e JOIN used u ON e.best = u.i WHERE e.slot >= 0
+), ranked AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR) NULLS FIRST, doc_id) - 1 AS rank FROM documents
+), ends AS (
+  SELECT min((z.n // 64) // p.parts * 1000 + p.at) AS horizon
+  FROM sizes z JOIN pattern p ON z.source IS NOT DISTINCT FROM p.source AND (z.n // 64) % p.parts = p.k
+), placed AS (
+  SELECT r.doc_id, r.source, (r.rank // 64)::BIGINT AS block, r.rank, p.parts,
+         ((r.rank // 64) // p.parts * 1000 + p.at)::BIGINT AS slot
+  FROM ranked r LEFT JOIN pattern p ON r.source IS NOT DISTINCT FROM p.source AND (r.rank // 64) % p.parts = p.k
+)
+SELECT doc_id, source, block, slot, (block * 1000 // parts)::BIGINT AS release,
+       (((block + 1) * 1000 + parts - 1) // parts)::BIGINT AS deadline,
+       (slot * 64 + rank % 64)::BIGINT AS position, coalesce(slot < horizon, false) AS in_mix
+FROM placed, ends""",
     "op10_line_dedup": """
 WITH parts AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
