@@ -31,9 +31,12 @@ SHARD_PIECES = 4096
 #: Shards whose emptiest sequences are packed again together, and how many each gives.
 POOL_SHARDS, POOL_SEQUENCES = 256, 8
 #: Search effort of a shard after best fit: nodes, and fillings that are tried at a node.
-NODES, FILLINGS = 2000, 12
+NODES, FILLINGS = 400, 12
+#: Sequences of a shard that the search packs anew: the emptiest ones of best fit. Only they
+#: hold the waste that another packing could gather.
+SEARCHED = 24
 #: Words whose ids a worker remembers at a time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 END_OF_TEXT = "<|endoftext|>"
 
 _UNITS: dict[str, _Units] = {}
@@ -63,15 +66,15 @@ class _Units:
         return np.array(ids, dtype="<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        """All new units in one call; the bytes of the tokens tell where each unit ends."""
-        ids = np.array(self.coder.encode_ordinary(" " + " ".join(new)), dtype="<u4")
-        ends = np.cumsum(self.size[ids])
-        units = np.cumsum([len(x.encode()) + 1 for x in new])
-        stops = (np.searchsorted(ends, units) + 1).tolist()
-        raw, at = ids.tobytes(), 0
-        for unit, stop in zip(new, stops):
-            self.known[unit] = raw[4 * at : 4 * stop]
-            at = stop
+        """All new units in one call; each starts with the only space it has, so that the
+        bytes of the tokens tell where it ends."""
+        joined = " " + " ".join(new)
+        ids = self.coder.encode_to_numpy(joined, disallowed_special=()).astype("<u4")
+        raw = joined.encode()
+        units = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20)[1:], len(raw))
+        stops = 4 * (np.searchsorted(np.cumsum(self.size[ids]), units) + 1)
+        tokens, stops = ids.tobytes(), stops.tolist()
+        self.known.update(zip(new, [tokens[a:b] for a, b in zip([0, *stops], stops)]))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split: list[list[str] | None] = [None if self.whole.search(t) or END_OF_TEXT in t else t.split(" ") for t in texts]
@@ -211,9 +214,12 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
     depth-first bin completion looks for fewer bins within `nodes` nodes."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     bins = best_fit(order, sizes, capacity)
-    bound = lower_bound(np.array(sizes, np.int64), capacity)
-    if len(bins) <= bound:
+    if len(bins) <= lower_bound(np.array(sizes, np.int64), capacity):
         return bins
+    if len(bins) > SEARCHED:
+        bins.sort(key=lambda b: sum(sizes[i] for i in b))
+        worst = [i for b in bins[:SEARCHED] for i in b]
+        return bins[SEARCHED:] + [[worst[i] for i in b] for b in bin_completion([sizes[i] for i in worst], capacity, nodes)]
     left: dict[int, int] = {}
     for s in sizes:
         left[s] = left.get(s, 0) + 1
