@@ -1,0 +1 @@
+"""Column functions: text, dates, hashes, classification and scoring formulas."""
