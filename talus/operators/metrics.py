@@ -80,7 +80,7 @@ def benchmark(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, p25, p50, p75): linear percentiles of positive values."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = df.where(F.col(value) > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-    return out.select(*keys, "n", *[F.bround(F.col("q")[i], 2).alias(p) for i, p in enumerate(("p25", "p50", "p75"))])
+    return out.select(*keys, "n", *[F.bround(F.col("q")[i], 4).alias(p) for i, p in enumerate(("p25", "p50", "p75"))])
 
 
 def growth(snapshots: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
@@ -128,7 +128,7 @@ def quota_check(usage: DataFrame, quotas: DataFrame, keys: list[str], amount: st
 def running_budget(df: DataFrame, key: str, order: list[str], amount: str, budget: float, warn: float = 0.8) -> DataFrame:
     """Running total per key, its share of the budget, and whether it warns or exceeds."""
     total = F.sum(amount).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    share = F.bround(total / budget, 4)
+    share = F.bround(total / budget, 6)
     return df.withColumns({"spent": F.bround(total, 2), "utilisation": share, "state": F.when(share >= 1, "exceeded").when(share >= warn, "warn").otherwise("ok")})
 
 
@@ -183,7 +183,9 @@ def bandit_posteriors(df: DataFrame, arm: str, reward: str) -> DataFrame:
 
 def correlation_weights(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, weight): Pearson correlation with the label, 0 where it has no variance."""
-    one = df.agg(*[F.corr(F.col(f).cast("double"), F.col(label).cast("double")).alias(f) for f in features])
+    y = F.col(label).cast("double")
+    both = lambda f: F.try_divide(F.covar_pop(f, y), F.stddev_pop(f) * F.stddev_pop(y))
+    one = df.agg(*[both(F.col(f).cast("double")).alias(f) for f in features])
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.bround(F.coalesce(F.nanvl(F.col(f), F.lit(0.0)), F.lit(0.0)), 4).alias("weight")) for f in features])
     return one.select(F.explode(pairs).alias("p")).select("p.*")
 
