@@ -96,7 +96,7 @@ WITH RECURSIVE sizes AS (
 ), lists AS (
   SELECT list(parts ORDER BY i) AS q FROM used
 ), edf AS (
-  SELECT -1 AS slot, list_transform(q, x -> 0::BIGINT) AS placed, 0::BIGINT AS best, q FROM lists
+  SELECT -1 AS slot, list_transform(q, lambda x: 0::BIGINT) AS placed, 0::BIGINT AS best, q FROM lists
   UNION ALL
   SELECT slot + 1, list_transform(placed, lambda x, i: x + CASE WHEN i = b THEN 1 ELSE 0 END), b, q
   FROM (
@@ -121,6 +121,41 @@ SELECT doc_id, source, block, slot, (block * 1000 // parts)::BIGINT AS release,
        (((block + 1) * 1000 + parts - 1) // parts)::BIGINT AS deadline,
        (slot * 64 + rank % 64)::BIGINT AS position, coalesce(slot < horizon, false) AS in_mix
 FROM placed, ends""",
+    "op8_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS k FROM s
+), f AS (
+  SELECT k, min(doc_id) AS first_doc FROM k GROUP BY k
+), gone AS (
+  SELECT DISTINCT k.doc_id, k.i + unnest(range(0, 13)) AS p FROM k JOIN f ON k.k = f.k WHERE f.first_doc < k.doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w
+), kept AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) AS t, count(*) AS n FROM words a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p
+  WHERE g.p IS NULL GROUP BY a.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+    "op9_embedding_near_dedup": """
+WITH RECURSIVE good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM good
+), e AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) >= 0.9
+), r AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), c AS (
+  SELECT x, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT m.vec_id, (SELECT count(*) FROM e WHERE e.x = m.vec_id)::BIGINT AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m JOIN c ON m.vec_id = c.x""",
     "op10_line_dedup": """
 WITH parts AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents

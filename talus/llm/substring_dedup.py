@@ -21,10 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import SharedTable, count_rows, spread, text_chunks, window_hashes, within_documents, word_hashes, words_of
+from talus.llm.common import SharedTable, count_rows, mix64, spread, text_chunks, window_hashes, within_documents, word_hashes, words_of
 from talus.llm.fm_index import FMIndex
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 6
 #: Distinct contexts in a shard, on average.
 SHARD_CONTEXTS = 12_000
 #: An anchor with more distinct contexts than this is dealt out by its single windows.
@@ -48,55 +48,50 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     doc = spread(w.first)[starts]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))))
     runs = np.diff(np.concatenate((new, [len(starts)])))
-    return (best[new] >> np.uint64(8)).astype(np.int64), doc[new], starts[new] - w.first[doc[new]], runs
+    return (best[new] >> np.uint64(16)).astype(np.int64), doc[new], starts[new] - w.first[doc[new]], runs
 
 
 def _anchor_rows(docs: DataFrame, window: int, gram: int, text: str, id_col: str) -> DataFrame:
-    """(anchor, salt, doc, code): code is 16 times the first window plus their number. An
-    anchor that several documents of a chunk hold is known to be shared: its rows carry a
-    salt other than 0 and need not meet, and one row without place (code 0) stands for them,
-    so that a hot anchor sends one row for each chunk to its task."""
+    """(anchor, salt, doc, proof): each document's anchors, once. An anchor that several
+    documents of a chunk hold is known to be shared: its rows carry a salt other than 0 and
+    need not meet, and one row of proof stands for them, so that a hot anchor sends one row
+    for each chunk to its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in text_chunks(batches, text):
-            a, doc, first, runs = anchors(c.data, c.offsets, window, gram)
+            a, doc, _, _ = anchors(c.data, c.offsets, window, gram)
             if not len(a):
                 continue
             ids = c.batch.column(c.batch.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
             order = np.lexsort((ids, a))
-            sa, si = a[order], ids[order]
-            start = np.flatnonzero(np.concatenate(([True], sa[1:] != sa[:-1])))
-            size = np.diff(np.concatenate((start, [len(sa)])))
-            several = si[start] != si[start + size - 1]
-            shared = np.empty(len(a), bool)
-            shared[order] = np.repeat(several, size)
-            stand = order[start[several]]
-            salt = np.where(shared, 1 + (ids & 0xFF), 0)
+            a, ids = a[order], ids[order]
+            once = np.concatenate(([True], (a[1:] != a[:-1]) | (ids[1:] != ids[:-1])))
+            a, ids = a[once], ids[once]
+            start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            size = np.diff(np.concatenate((start, [len(a)])))
+            salt = np.where(np.repeat(size > 1, size), 1 + (ids & 0xFF), 0)
+            stand = start[size > 1]
+            proof = np.zeros(len(a) + len(stand), bool)
+            proof[len(a) :] = True
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((a, a[stand]))),
-                    pa.array(np.concatenate((salt, np.zeros(len(stand), np.int64))).astype(np.int32)),
-                    pa.array(np.concatenate((ids, ids[stand]))),
-                    pa.array(np.concatenate((16 * (first + 1) + runs, np.zeros(len(stand), np.int64)))),
-                ],
-                ["anchor", "salt", "doc", "code"],
+                [pa.array(np.concatenate((a, a[stand]))), pa.array(np.concatenate((salt, np.zeros(len(stand), np.int64))).astype(np.int32)), pa.array(np.concatenate((ids, ids[stand]))), pa.array(proof)],
+                ["anchor", "salt", "doc", "proof"],
             )
 
-    return docs.select(id_col, text).mapInArrow(run, "anchor bigint, salt int, doc bigint, code bigint")
+    return docs.select(id_col, text).mapInArrow(run, "anchor bigint, salt int, doc bigint, proof boolean")
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (anchor, salt): the places of anchors of two documents or more."""
+    """From rows sorted by (anchor, salt): the anchors of two documents or more."""
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
-        a, salt, doc, code = rows
+        a, salt, doc, proof = rows
         start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1]))))
         size = np.diff(np.concatenate((start, [len(a)])))
         several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-        # A row that stands for others proves that they are of several documents.
-        several |= np.minimum.reduceat(code, start) == 0
-        keep = (np.repeat(several, size) | (salt > 0)) & (code > 0)
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(doc[keep]), pa.array(code[keep])], ["anchor", "doc", "code"])
+        several |= np.maximum.reduceat(proof, start) > 0
+        keep = (np.repeat(several, size) | (salt > 0)) & (proof == 0)
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(doc[keep])], ["anchor", "doc"])
 
     held: list[np.ndarray] = []
     for batch in batches:
@@ -156,31 +151,24 @@ def _contexts(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, docs = _unpacked(batch.column(1)), batch.column(0).to_numpy()
-            places, codes = batch.column(2), batch.column(3)
+            lists = batch.column(2)
             for lo, hi in _groups(texts):
                 part = texts[lo:hi]
                 raw = b"".join(part)
                 data = np.frombuffer(raw, np.uint8)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in part])))
+                anchor, doc, first, runs = anchors(data, offsets, window, gram)
+                tagged = lambda d, a: a.astype(np.uint64) ^ mix64(d.astype(np.uint64))
+                own = np.repeat(np.arange(hi - lo), [len(lists[i]) for i in range(lo, hi)])
+                shared = np.isin(tagged(doc, anchor), tagged(own, lists.slice(lo, hi - lo).flatten().to_numpy()))
+                anchor, doc, first, runs = (x[shared] for x in (anchor, doc, first, runs))
+                if not len(doc):
+                    continue
                 w = words_of(data, offsets)
                 h = word_hashes(data, w)
-                g = (window_hashes(h, gram) >> np.uint64(8)).astype(np.int64)
                 marks = [_text_mark(h[a:b]) for a, b in zip(w.first, w.first[1:])]
-                count = np.array([len(places[i]) for i in range(lo, hi)])
-                doc = np.repeat(np.arange(hi - lo), count)
-                anchor = places.slice(lo, hi - lo).flatten().to_numpy()
-                code = codes.slice(lo, hi - lo).flatten().to_numpy()
-                first, runs = code // 16 - 1, code % 16
                 begin = w.first[doc] + first
                 end = begin + runs + window - 1
-                good = end <= w.first[doc + 1]  # rows of one id may have other texts
-                doc, anchor, first, runs, begin, end = (x[good] for x in (doc, anchor, first, runs, begin, end))
-                if not len(doc):
-                    continue
-                holds = np.zeros(len(doc), bool)
-                for j in range(window - gram + 1):
-                    holds |= g[np.minimum(begin + runs - 1 + j, len(g) - 1)] == anchor
-                doc, anchor, first, runs, begin, end = (x[holds] for x in (doc, anchor, first, runs, begin, end))
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _odd_powers(len(h)))))
                 context = ((sums[end] - sums[begin]) * _odd_inverse(len(h))[begin] + runs.astype(np.uint64)).view(np.int64)
                 _, new = np.unique(np.stack((anchor, context)), axis=1, return_index=True)
@@ -336,15 +324,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
         raise ValueError("window must be gram to gram + 14 words")
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = _anchor_rows(named.where("doc is not null"), window, gram, "text", "doc").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    shared = rows.mapInArrow(_shared_rows, "anchor bigint, doc bigint, code bigint")
-    by_doc = shared.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("code").alias("codes"))
+    shared = rows.mapInArrow(_shared_rows, "anchor bigint, doc bigint")
+    by_doc = shared.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
     texts = _packed(named, "text", "doc")
-    placed = texts.join(by_doc, "doc").select("doc", "packed", "anchors", "codes")
+    placed = texts.join(by_doc, "doc").select("doc", "packed", "anchors")
     kind = "doc bigint, mark bigint, first int, runs int, anchor bigint, context bigint, words binary"
-    places = SharedTable(placed.mapInArrow(_contexts(window, gram), kind), "places").df
+    table = SharedTable(placed.mapInArrow(_contexts(window, gram), kind), "places")
+    places = table.df
     firsts = first_documents(places.select("anchor", "context", "doc", "words"), window)
     found = places.select("doc", "mark", "first", "anchor", "context").join(firsts, ["anchor", "context"])
     found = found.select("doc", "mark", "first", F.posexplode("firsts").alias("i", "first_doc")).where("first_doc < doc")
     spans = found.groupBy("doc").agg(F.collect_set(F.struct("mark", (F.col("first") + F.col("i")).alias("start"))).alias("spans"))
+    spans = SharedTable(spans, "spans").df
+    table.drop()
     joined = texts.join(spans, "doc", "left").select("doc", "packed", "spans")
     return joined.mapInArrow(_keep(window), "doc bigint, n_words bigint, n_removed bigint, removed_runs array<struct<first:int,words:int>>, kept_text string")
