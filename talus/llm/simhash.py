@@ -25,6 +25,8 @@ from talus.llm.common import LOWER, SharedTable, count_rows, spread, text_chunks
 from talus.llm.components import connected_components
 
 BYTES = 8
+#: Shingles whose bits are counted in one numpy step.
+COUNTED_SHINGLES = 1 << 17
 #: Posting lists with more distinct fingerprints than this are resolved by bit variants.
 HOT_LIST = 16_384
 #: Distinct fingerprints from which keys of four bytes are used: lists of three grow long.
@@ -79,16 +81,16 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.nda
     hashes = np.fromiter((digest(text[a:b], 42) for a, b in zip(starts[lead].tolist(), ends[last].tolist())), np.uint64, len(lead))
     full = np.flatnonzero(per_doc)
     # Bits are counted for some documents at a time: 64 bytes for each shingle.
-    step = 1 << 17
+    step = COUNTED_SHINGLES
     a = 0
     while a < len(full):
-        b = max(a + 1, int(np.searchsorted(at[full], at[full[a]] + step)))
-        lo, hi = at[full[a]], at[full[min(b, len(full)) - 1] + 1]
-        sums = np.zeros((min(b, len(full)) - a, 64), np.int64)
+        b = max(a + 1, int(np.searchsorted(at[full + 1], at[full[a]] + step, side="right")))
+        lo, hi = at[full[a]], at[full[b - 1] + 1]
+        sums = np.zeros((b - a, 64), np.int64)
         for s in range(lo, hi, step):  # one very long document is summed in parts
             e = min(s + step, hi)
             bits = np.unpackbits(hashes[s:e].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            if e - s == hi - lo:
+            if b > a + 1:
                 sums += np.add.reduceat(bits, at[full[a:b]] - lo, axis=0, dtype=np.int64)
             else:
                 sums[0] += bits.sum(axis=0, dtype=np.int64)

@@ -49,6 +49,16 @@ def test_fingerprints_and_components_match_brute_force(spark):
     assert {r["id"]: r["component_id"] for r in got} == brute_components(list(fps.items()), lambda x, y: bin(x ^ y).count("1") <= 4)
 
 
+@pytest.mark.parametrize("step", [1, 7, 64, 1 << 17])
+def test_fingerprints_do_not_depend_on_the_step(step, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED_SHINGLES", step)
+    rng = np.random.default_rng(step)
+    texts = [" ".join(rng.choice(["a", "B", "cc", "é"], n)) for n in rng.integers(0, 40, 60)] + ["x y z " * 40, "", "q"]
+    raw = [t.encode() for t in texts]
+    got = simhash._fingerprints(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))), 4)
+    assert got.tolist() == [brute_fingerprint(t, 4) for t in texts]
+
+
 @pytest.mark.parametrize("hot_list", [1, 50, 10_000])
 @pytest.mark.parametrize("size", [3, 4])
 def test_links_connect_what_hamming_distance_connects(spark, hot_list, size, monkeypatch):
