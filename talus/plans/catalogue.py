@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.plans import postings, ranked, reports
+from talus.plans import insight, postings, ranked, reports
 
-_ALL = ranked.QUERIES | reports.QUERIES | postings.QUERIES
+_ALL = ranked.QUERIES | reports.QUERIES | postings.QUERIES | insight.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
