@@ -35,13 +35,17 @@ def _fs(spark: SparkSession, path: str):
 
 class SharedTable:
     """A DataFrame written once to the shared folder and read back: its lineage is cut, and
-    it survives the loss of any executor."""
+    it survives the loss of any executor. With `release`, shuffle files behind it go as soon
+    as it is written: Spark removes them once the driver has collected their plans, which is
+    asked for here instead of left to chance."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, release: bool = False):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        if release:
+            spark.sparkContext._jvm.System.gc()
 
     def drop(self) -> None:
         jpath, fs = _fs(self.df.sparkSession, self.path)
