@@ -18,7 +18,7 @@ from talus.llm.common import SharedTable
 #: pattern and of the weights, so that both may be broadcast.
 PERIOD = 1000
 #: Documents in a block, and in a bucket of the ranking on average.
-BLOCK_DOCS, BUCKET_DOCS = 64, 4096
+BLOCK_DOCS, BUCKET_DOCS = 16, 4096
 #: Weights by default: sizes of the sources to this power, so that large sources give way.
 TEMPERATURE = 0.7
 
@@ -120,8 +120,8 @@ def mix_sources(
         F.floor(F.col("block") * period / F.col("parts")).alias("release"),
         F.ceil((F.col("block") + 1) * period / F.col("parts")).alias("deadline"),
     )
-    # The horizon: the earliest slot of a source's next block after its last whole one.
-    ends = docs.groupBy(F.col(source).alias("source")).agg(F.floor(F.count(F.lit(1)) / block_docs).alias("block"))
+    # The horizon: the earliest slot that a source's next block after its last one would take.
+    ends = docs.groupBy(F.col(source).alias("source")).agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("block"))
     ends = ends.join(p, named).join(t, timed)
     horizon = ends.agg(F.min(F.floor(F.col("block") / F.col("parts")) * period + F.col("at")).alias("horizon"))
     marked = out.crossJoin(F.broadcast(horizon))  # one row

@@ -110,16 +110,16 @@ WITH RECURSIVE sizes AS (
 ), ranked AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR) NULLS FIRST, doc_id) - 1 AS rank FROM documents
 ), ends AS (
-  SELECT min((z.n // 64) // p.parts * 1000 + p.at) AS horizon
-  FROM sizes z JOIN pattern p ON z.source IS NOT DISTINCT FROM p.source AND (z.n // 64) % p.parts = p.k
+  SELECT min(((z.n + 15) // 16) // p.parts * 1000 + p.at) AS horizon
+  FROM sizes z JOIN pattern p ON z.source IS NOT DISTINCT FROM p.source AND ((z.n + 15) // 16) % p.parts = p.k
 ), placed AS (
-  SELECT r.doc_id, r.source, (r.rank // 64)::BIGINT AS block, r.rank, p.parts,
-         ((r.rank // 64) // p.parts * 1000 + p.at)::BIGINT AS slot
-  FROM ranked r LEFT JOIN pattern p ON r.source IS NOT DISTINCT FROM p.source AND (r.rank // 64) % p.parts = p.k
+  SELECT r.doc_id, r.source, (r.rank // 16)::BIGINT AS block, r.rank, p.parts,
+         ((r.rank // 16) // p.parts * 1000 + p.at)::BIGINT AS slot
+  FROM ranked r LEFT JOIN pattern p ON r.source IS NOT DISTINCT FROM p.source AND (r.rank // 16) % p.parts = p.k
 )
 SELECT doc_id, source, block, slot, (block * 1000 // parts)::BIGINT AS release,
        (((block + 1) * 1000 + parts - 1) // parts)::BIGINT AS deadline,
-       (slot * 64 + rank % 64)::BIGINT AS position, coalesce(slot < horizon, false) AS in_mix
+       (slot * 16 + rank % 16)::BIGINT AS position, coalesce(slot < horizon, false) AS in_mix
 FROM placed, ends""",
     "op8_substring_dedup": r"""
 WITH w AS (
