@@ -69,3 +69,19 @@ class FMIndex:
             shift = self.first[c] - self.base[c]
             low, high = both[:k] + shift, both[k:] + shift
         return low, high
+
+    def repeated(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, low, high): the patterns that occur more than once, and their intervals. A
+        pattern whose interval shrinks to one suffix is its own only match and is left."""
+        which = np.arange(len(starts))
+        c = text[starts + length - 1]
+        low, high = self.first[c], self.first[c + 1]
+        for back in range(length - 2, -1, -1):
+            more = high - low > 1
+            which, low, high = which[more], low[more], high[more]
+            c = text[starts[which] + back]
+            both = self._descend(np.concatenate((c, c)), np.concatenate((low, high)))
+            shift = self.first[c] - self.base[c]
+            low, high = both[: len(c)] + shift, both[len(c) :] + shift
+        more = high - low > 1
+        return which[more], low[more], high[more]

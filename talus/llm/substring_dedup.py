@@ -234,13 +234,15 @@ def _firsts(window: int):
         index = FMIndex(text, window)
         windows = np.maximum(size - window + 1, 0)
         starts = np.concatenate([np.arange(b, b + k) for b, k in zip(begin, windows)]) if len(size) else np.zeros(0, np.int64)
-        low, high = index.search(text, starts, window)
-        by_row = group["doc"].to_numpy()[owner][index.suffixes]
-        lows, at = np.unique(low, return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[at] = high
-        cuts = np.stack((lows, highs), axis=1).reshape(-1)
-        least = np.minimum.reduceat(np.append(by_row, np.iinfo(np.int64).max), cuts)[::2][at]
+        documents = group["doc"].to_numpy()[owner]
+        least = documents[starts]  # a window without another match starts in its own document
+        which, low, high = index.repeated(text, starts, window)
+        if len(which):
+            lows, at = np.unique(low, return_inverse=True)
+            highs = np.zeros(len(lows), np.int64)
+            highs[at] = high
+            by_row = np.append(documents[index.suffixes], np.iinfo(np.int64).max)
+            least[which] = np.minimum.reduceat(by_row, np.stack((lows, highs), axis=1).reshape(-1))[::2][at]
         ends = np.cumsum(windows)
         return pd.DataFrame({"anchor": group["anchor"], "context": group["context"], "firsts": [least[e - k : e] for e, k in zip(ends, windows)]})
 

@@ -36,6 +36,10 @@ def test_fm_index_finds_every_pattern():
     for a, lo, hi in zip(starts, low, high):
         want = {i for i in range(len(text) - 5) if (text[i : i + 6] == text[a : a + 6]).all()}
         assert set(index.suffixes[lo:hi].tolist()) == want
+    which, some_low, some_high = index.repeated(text, starts, 6)
+    many = high - low > 1
+    assert which.tolist() == np.flatnonzero(many).tolist()
+    assert (some_low == low[many]).all() and (some_high == high[many]).all()
 
 
 @pytest.mark.parametrize(("hot", "shard"), [(2000, 12_000), (1, 10), (5, 50)])
