@@ -42,7 +42,7 @@ class SharedTable:
     def __init__(self, df: DataFrame, name: str, release: bool = False):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         if release:
             spark.sparkContext._jvm.System.gc()
