@@ -249,16 +249,15 @@ def _firsts(window: int):
     return run
 
 
-def first_documents(contexts: DataFrame, window: int) -> tuple[DataFrame, SharedTable]:
+def first_documents(contexts: DataFrame, window: int) -> DataFrame:
     """(anchor, context, firsts): for each window of a distinct context, in order, the
-    smallest document in which it starts; and the table that it reads, to be dropped after
-    use. `contexts`: (anchor, context, doc, words)."""
+    smallest document in which it starts. `contexts`: (anchor, context, doc, words)."""
     distinct = contexts.groupBy("anchor", "context").agg(F.min("doc").alias("doc"), F.min("words").alias("words"))
-    table = SharedTable(distinct, "contexts", release=True)
-    distinct = table.df
-    shards = max(1, -(-count_rows(distinct) // SHARD_CONTEXTS))
+    # Rows with words bound the distinct contexts from above, in all and for each anchor.
+    worded = contexts.where("words is not null")
+    shards = max(1, -(-count_rows(worded) // SHARD_CONTEXTS))
     kind = "anchor bigint, context bigint, firsts array<bigint>"
-    hot = SharedTable(distinct.groupBy("anchor").count().where(F.col("count") > HOT_ANCHOR).select("anchor"), "hot-anchors").df
+    hot = SharedTable(worded.groupBy("anchor").count().where(F.col("count") > HOT_ANCHOR).select("anchor"), "hot-anchors").df
     extra = None
     if count_rows(hot):
         wide = distinct.join(hot, "anchor", "left_semi").select("anchor", "context", "doc", "words")
@@ -272,7 +271,7 @@ def first_documents(contexts: DataFrame, window: int) -> tuple[DataFrame, Shared
         distinct = distinct.join(hot, "anchor", "left_anti").select("anchor", "context", "doc", "words")
     sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     firsts = sharded.groupBy("shard").applyInPandas(_firsts(window), kind)
-    return (firsts if extra is None else firsts.unionByName(extra)), table
+    return firsts if extra is None else firsts.unionByName(extra)
 
 
 def _keep(window: int):
@@ -335,12 +334,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
     kind = "doc bigint, mark bigint, first int, runs int, anchor bigint, context bigint, words binary"
     table = SharedTable(placed.mapInArrow(_contexts(window, gram), kind), "places", release=True)
     places = table.df
-    firsts, contexts = first_documents(places.select("anchor", "context", "doc", "words"), window)
+    firsts = first_documents(places.select("anchor", "context", "doc", "words"), window)
     found = places.select("doc", "mark", "first", "anchor", "context").join(firsts, ["anchor", "context"])
     found = found.select("doc", "mark", "first", F.posexplode("firsts").alias("i", "first_doc")).where("first_doc < doc")
     spans = found.groupBy("doc").agg(F.collect_set(F.struct("mark", (F.col("first") + F.col("i")).alias("start"))).alias("spans"))
     spans = SharedTable(spans, "spans", release=True).df
     table.drop()
-    contexts.drop()
     joined = texts.join(spans, "doc", "left").select("doc", "packed", "spans")
     return joined.mapInArrow(_keep(window), "doc bigint, n_words bigint, n_removed bigint, removed_runs array<struct<first:int,words:int>>, kept_text string")
