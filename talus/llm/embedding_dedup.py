@@ -25,8 +25,8 @@ from talus.llm.components import connected_components
 
 #: Width of a quantised step, and the share of linked pairs that the tables miss at most.
 WIDTH, MISSED = 2.2, 0.005
-#: Vectors in a block of a bucket.
-BLOCK = 1024
+#: Vectors in a block of a bucket, and rows of a slot of buckets on average.
+BLOCK, SLOT_ROWS = 1024, 8192
 
 
 def agreement(distance: float, width: float = WIDTH) -> float:
@@ -97,33 +97,47 @@ def _rows(column: pd.Series, kind: type) -> np.ndarray:
 
 
 def _meet(min_cosine: float):
-    """Links between two blocks of a bucket, or within one block."""
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        table, one, two = int(key[0]), int(key[2]), int(key[3])
-        empty = pd.DataFrame({"node": [], "links": [], "other": []}).astype("int64")
-        if len(group) < 2:
-            return empty
-        block = group["block"].to_numpy()
-        sides = [group[block == one], group[block == two]] if one != two else [group, group]
-        if not len(sides[0]) or not len(sides[1]):
-            return empty
+    """Links in all blocks of a slot: blocks with themselves, and two blocks of one bucket."""
+
+    def block_links(table: int, sides: list[pd.DataFrame], same: bool) -> tuple[list, list]:
         (u, ku, nu, iu), (v, kv, nv, iv) = ((_rows(s["unit"], float), _rows(s["packed"], np.int64), s["n"].to_numpy(), s["node"].to_numpy()) for s in sides)
         near = u @ v.T >= min_cosine
-        if one == two:
+        if same:
             np.fill_diagonal(near, False)
         rows, cols = np.nonzero(near)
         for t in range(table):  # a pair that has met in an earlier table counted there
             new = ku[rows, t] != kv[cols, t]
             rows, cols = rows[new], cols[new]
-        left = np.bincount(rows, weights=nv[cols], minlength=len(u)).astype(np.int64)
-        counts = [pd.DataFrame({"node": iu, "links": left})]
-        if one != two:
-            counts.append(pd.DataFrame({"node": iv, "links": np.bincount(cols, weights=nu[rows], minlength=len(v)).astype(np.int64)}))
-        counted = pd.concat(counts)
-        counted = counted[counted["links"] > 0].assign(other=-1)
-        spanning = _spanning(iu[rows], iv[cols])
-        return pd.concat((counted, pd.DataFrame({"node": spanning[0], "links": 0, "other": spanning[1]}))).astype("int64")
+        counts = [(iu, np.bincount(rows, weights=nv[cols], minlength=len(u)).astype(np.int64))]
+        if not same:
+            counts.append((iv, np.bincount(cols, weights=nu[rows], minlength=len(v)).astype(np.int64)))
+        return counts, [_spanning(iu[rows], iv[cols])]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["t", "bucket", "one", "two", "block"], kind="stable")
+        key = group[["t", "bucket", "one", "two"]].to_numpy(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
+        nodes, links, others = [], [], []
+        for at, to in zip(starts, [*starts[1:], len(key)]):
+            if to - at < 2:
+                continue
+            part, (table, _, one, two) = group.iloc[at:to], key[at]
+            first = part if one == two else part[part["block"] == one]
+            second = part if one == two else part[part["block"] == two]
+            if not len(first) or not len(second):
+                continue
+            counts, spans = block_links(int(table), [first, second], one == two)
+            for node, n in counts:
+                some = n > 0
+                nodes.append(node[some])
+                links.append(n[some])
+                others.append(np.full(some.sum(), -1))
+            for a, b in spans:
+                nodes.append(a)
+                links.append(np.zeros(len(a), np.int64))
+                others.append(b)
+        one_array = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        return pd.DataFrame({"node": one_array(nodes), "links": one_array(links), "other": one_array(others)})
 
     return run
 
@@ -172,10 +186,14 @@ def embedding_components(
     posts = posts.join(sizes, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     posts = posts.select("t", "bucket", F.least("block", "j").alias("one"), F.greatest("block", "j").alias("two"), "block", "node", "n", "unit", "packed")
-    met = posts.groupBy("t", "bucket", "one", "two").applyInPandas(_meet(min_cosine), "node bigint, links bigint, other bigint")
+    # Many small buckets go to one slot; the number of slots follows the number of vectors,
+    # so that a slot's rows stay bounded.
+    slots = max(1, -(-count_rows(marked) * tables // SLOT_ROWS))
+    posts = posts.withColumn("slot", F.pmod(F.xxhash64("t", "bucket", "one", "two"), F.lit(slots)))
+    met = posts.groupBy("slot").applyInPandas(_meet(min_cosine), "node bigint, links bigint, other bigint")
     met = SharedTable(met, "links").df
-    links = met.where("other < 0").groupBy("node").agg(F.sum("links").alias("links"))
-    parts = connected_components(met.where("other >= 0").select(F.col("node").alias("u"), F.col("other").alias("v")))
+    links = met.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
+    parts = connected_components(met.where("links = 0").select(F.col("node").alias("u"), F.col("other").alias("v")))
     known = nodes.select("node", "n").join(links, "node", "left").join(parts, "node", "left")
     known = known.select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     owners = marked.groupBy("h", "unit").agg(F.min("id").alias("node")).select("h", F.col("unit").alias("u"), "node")
