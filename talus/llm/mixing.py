@@ -127,3 +127,17 @@ def mix_sources(
     marked = out.crossJoin(F.broadcast(horizon))  # one row
     position = F.col("slot") * block_docs + F.pmod("rank", F.lit(block_docs))
     return marked.select("id", "source", "block", "slot", "release", "deadline", position.alias("position"), F.coalesce(F.col("slot") < F.col("horizon"), F.lit(False)).alias("in_mix"))
+
+
+def mix_order(docs: DataFrame, source: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """(id, slot, position), a row per row of `docs`: the places of mix_sources(), beyond its
+    horizon as well. Sources too small for a part of the period have no place there; each of
+    their blocks comes at the end of the slot in which their exact weight has it due, with a
+    null position. So no source ends the mix and none is left out, whatever their number.
+    """
+    mixed = SharedTable(mix_sources(docs, source=source, id_col=id_col).select("id", "source", "block", "slot", "position"), "mix").df
+    weights = tempered_weights(docs, source)
+    due = F.ceil((F.col("block") + 1) * F.col("total") / F.col("weight")).cast("long") - 1
+    shares = weights.crossJoin(F.broadcast(weights.agg(F.sum("weight").alias("total")))).withColumnRenamed("source", "name")  # one row
+    late = mixed.where("slot is null").join(shares, F.col("source").eqNullSafe(F.col("name")))
+    return mixed.where("slot is not null").select("id", "slot", "position").unionByName(late.select("id", due.alias("slot"), "position"))

@@ -89,3 +89,21 @@ def test_empty_tables(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_keeps_every_document(spark, tmp_path, monkeypatch):
+    """A source of one block does not end the mix, and sources too small for a part of the
+    period (more than there are slots) come in their turn."""
+    monkeypatch.setattr(mixing.mix_sources, "__defaults__", (None, "source", "doc_id", 10, 4))
+    rows = [(i, f"t{i}", "en", "hot" if i < 600 else "mid" if i < 900 else None if i < 910 else f"tiny{i}", 1) for i in range(925)]
+    docs = spark.createDataFrame([*rows, (None, "no id", "en", "hot", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert mixing.mix_sources(docs).where("in_mix").count() < 926
+    mixed = [tuple(r) for r in p.source_mixing(spark, docs, str(tmp_path)).collect()]
+    assert sorted(mixed, key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    slots = {r["id"]: (r["slot"], r["position"]) for r in mixing.mix_order(docs).collect()}
+    assert len(slots) == 926 and [slots[r[0]][0] for r in mixed] == sorted(s for s, _ in slots.values())
+    weights = {"hot": 601**0.7, "mid": 300**0.7, None: 10**0.7}
+    total = sum(weights.values()) + 15
+    early = [r[3] for r in mixed[:400]]
+    assert abs(early.count("mid") / early.count("hot") - weights["mid"] / weights["hot"]) < 0.25
+    assert {slots[i] for i in range(910, 925)} == {(-int(-total // 1) - 1, None)}
