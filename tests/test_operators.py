@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from talus.operators import graph, language, lookup, merge, metrics, ranking, vectors
@@ -115,3 +116,18 @@ def test_language_profiles(spark):
     train = spark.createDataFrame([(en * 3, "en"), (de * 3, "de")], "t string, lang string")
     found = language.detect(spark.createDataFrame([(1, en), (2, de), (3, "short"), (4, None)], "id int, t string"), language.fit_profiles(train, "t", "lang"), "id", "t")
     assert {r["id"]: r["language"] for r in found.collect()} == {1: "en", 2: "de", 3: "Unknown", 4: "Unknown"}
+
+
+def test_top_k_of_more_queries_than_a_block(spark):
+    n = vectors.QUERY_BLOCK + 88
+    rows = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(n)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.top_k(e, e, "vec_id", "vec_id", "embedding", 3).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["id"]
+    assert len(got) == n
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for i in range(0, n, 37):
+        s = np.round(v @ v[i], 6)
+        assert [got[i][k] for k in (1, 2, 3)] == sorted((j for j in range(n) if j != i), key=lambda j: (-s[j], j))[:3]
