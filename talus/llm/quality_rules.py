@@ -92,16 +92,16 @@ def _per_document_any(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 def compression(coder: zstandard.ZstdCompressor, text: bytes) -> tuple[float, int, int, str]:
     """(compressed share, chunks, chunks outside their band, verdict): ok, repetitive or
-    incompressible. Empty text is ok: it has nothing to compress."""
+    incompressible. Empty text is ok: it has nothing to compress. The last chunk may be
+    shorter; its band is that of its length."""
     n = len(text)
     if not n:
         return 0.0, 0, 0, "ok"
     share = len(coder.compress(text)) / n
     low, high = band(n)
-    chunks = [text[i : i + CHUNK] for i in range(0, n - CHUNK + 1, CHUNK)] if n > CHUNK else []
-    chunk_low, chunk_high = band(CHUNK)
-    shares = [len(coder.compress(c)) / CHUNK for c in chunks]
-    under, over = sum(s < chunk_low for s in shares), sum(s > chunk_high for s in shares)
+    chunks = [text[i : i + CHUNK] for i in range(0, n, CHUNK)] if n > CHUNK else []
+    shares = [(len(coder.compress(c)) / len(c), *band(len(c))) for c in chunks]
+    under, over = sum(s < least for s, least, _ in shares), sum(s > most for s, _, most in shares)
     verdict = "ok"
     if share < low or under > STRAY_CHUNKS * len(chunks):
         verdict = "repetitive"

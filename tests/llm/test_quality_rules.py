@@ -1,3 +1,4 @@
+import base64
 import re
 
 import numpy as np
@@ -51,3 +52,16 @@ def test_compression_bands(spark):
     assert got[4]["verdict"] == got[7]["verdict"] == "repetitive"
     assert got[5]["verdict"] == got[6]["verdict"] == "incompressible"
     assert q.quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_last_chunk_is_judged():
+    rng = np.random.default_rng(5)
+    syllables = ["ka", "lo", "mi", "ren", "tas", "ou", "per", "sin", "dov", "el"]
+    long = " ".join("".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(2000)).encode()
+    prose = long[: q.CHUNK]
+    junk = base64.b64encode(rng.bytes(2925))
+    coder = q.zstandard.ZstdCompressor(level=q.LEVEL)
+    share, n_chunks, n_stray, verdict = q.compression(coder, prose + junk)
+    assert q.band(q.CHUNK + len(junk))[0] <= share <= q.band(q.CHUNK + len(junk))[1]
+    assert (n_chunks, n_stray, verdict) == (2, 1, "incompressible")
+    assert q.compression(coder, long[: q.CHUNK + 2000])[1:] == (2, 0, "ok")
