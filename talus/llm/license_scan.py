@@ -8,7 +8,6 @@ licence file, found by joins of directories with their ancestors.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import LOWER, Words, text_chunks, word_hashes
+from talus.llm.common import LOWER, SharedTable, Words, count_rows, text_chunks, word_hashes
 
 THRESHOLD = 0.6
 # SPDX identifiers with notices that name the licence, and the openings of
@@ -44,8 +43,6 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([-._][^/]*)?$"
-#: A whole text of more tokens than this is compared by its lines and paragraphs only.
-WHOLE_TOKENS = 4000
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -87,13 +84,12 @@ class Vocabulary:
 
     def weigh(self, n_docs: int, doc_counts: np.ndarray) -> None:
         self.idf = np.log((1 + n_docs) / (1 + doc_counts)) + 1
-        self.unknown = float(np.log(1 + n_docs) + 1)
         scaled = self.counts * self.idf
         self.vectors = scaled / np.linalg.norm(scaled, axis=1)[:, None]
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Token ranges [a, b) of all lines, paragraphs and, if not too long, whole texts."""
+    """Token ranges [a, b) of all lines, paragraphs and whole texts."""
     breaks = np.flatnonzero(data == 0x0A)
     blank = breaks[1:][np.diff(breaks) == 1] if len(breaks) > 1 else breaks[:0]
     ranges = []
@@ -102,87 +98,109 @@ def _segments(data: np.ndarray, offsets: np.ndarray, w: Words) -> tuple[np.ndarr
         at = np.searchsorted(w.starts, edges)
         ranges.append(np.stack((at[:-1], at[1:])))
     whole = np.stack((w.first[:-1], w.first[1:]))
-    ranges.append(whole[:, w.counts() <= WHOLE_TOKENS])
+    ranges.append(whole)
     both = np.concatenate(ranges, axis=1)
     return tuple(both[:, both[1] > both[0]])
 
 
-def _document_counts(docs: DataFrame, vocabulary: Vocabulary, text: str) -> tuple[int, np.ndarray]:
-    """Documents in all, and with each token of the vocabulary: counts over the whole table,
-    a row per token of the bounded vocabulary and task before they are added up."""
+def _document_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(token, n): the documents with each token of the whole table, by the token's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary.hashes) + 1, np.int64)
         for c in text_chunks(batches, text):
             w = _tokens(c.data, c.offsets)
-            found = vocabulary.find(word_hashes(LOWER[c.data], w))
-            doc = np.repeat(np.arange(c.n), w.counts())
-            pairs = np.unique(doc[found >= 0] * len(vocabulary.hashes) + found[found >= 0])
-            total[:-1] += np.bincount(pairs % len(vocabulary.hashes), minlength=len(vocabulary.hashes))
-            total[-1] += c.n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["token", "n"])
-
-    rows = docs.select(text).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(vocabulary.hashes) + 1, np.int64)
-    for r in rows:
-        counts[r["token"]] = r["n"]
-    return int(counts[-1]), counts[:-1]
-
-
-def best_templates(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template, cosine, cosine of the whole text) by document; template -1 if nothing is
-    alike at all."""
+            h, doc = word_hashes(LOWER[c.data], w), np.repeat(np.arange(c.n), w.counts())
+            h, _, n = _runs(h, doc)
+            h, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    return docs.select(text).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _runs(h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (h, group) and how often each comes, in the order of the groups."""
+    order = np.lexsort((h, group))
+    h, group = h[order], group[order]
+    lead = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (group[1:] != group[:-1]))))
+    return h[lead], group[lead], np.diff(np.append(lead, len(h)))
+
+
+def _members(on: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, segment) for the tokens marked in `on` of the ranges [a, b)."""
+    before = np.concatenate(([0], np.cumsum(on)))
+    size = before[b] - before[a]
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(before[a], size)
+    return np.flatnonzero(on)[at], np.repeat(np.arange(len(a)), size)
+
+
+def candidates(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, threshold: float) -> pa.ListArray:
+    """By document, the segments that could reach the threshold if all tokens outside the
+    vocabulary were in every document (and so had the least weight, 1): best template, dot
+    product, squared length of the known tokens, is it the whole text, and other tokens."""
     n = len(offsets) - 1
     w = _tokens(data, offsets)
-    best, score, whole = np.full(n, -1), np.zeros(n), np.zeros(n)
-    if not len(w.starts):
-        return best, score, whole
-    found = vocabulary.find(word_hashes(LOWER[data], w))
-    known = np.concatenate(([0], np.cumsum(found >= 0)))
+    h = word_hashes(LOWER[data], w) if len(w.starts) else np.zeros(0, np.uint64)
+    found = vocabulary.find(h)
     a, b = _segments(data, offsets, w)
-    # A cosine of c needs c ** 2 of the segment's squared length in known tokens; as unknown
-    # tokens weigh most, a segment with too few known ones cannot reach the threshold.
-    enough = (known[b] - known[a]) ** 2 * vocabulary.idf.max() ** 2 >= THRESHOLD**2 * (b - a - known[b] + known[a]) * vocabulary.unknown**2
-    a, b = a[enough & (known[b] > known[a])], b[enough & (known[b] > known[a])]
-    if not len(a):
-        return best, score, whole
-    size = known[b] - known[a]
-    places = np.flatnonzero(found >= 0)
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(known[a], size)
-    segment = np.repeat(np.arange(len(a)), size)
-    pairs, tf = np.unique(segment * len(vocabulary.hashes) + found[places[at]], return_counts=True)
-    segment, token = pairs // len(vocabulary.hashes), pairs % len(vocabulary.hashes)
-    value = tf * vocabulary.idf[token]
-    length = np.sqrt(np.bincount(segment, value**2, len(a)) + (b - a - size) * vocabulary.unknown**2)
-    dots = np.zeros((len(a), len(vocabulary.names)))
-    np.add.at(dots, segment, value[:, None] * vocabulary.vectors[:, token].T)
-    cosine = dots / length[:, None]
+    known = np.concatenate(([0], np.cumsum(found >= 0)))
+    some = known[b] > known[a]
+    a, b = a[some], b[some]
+    if len(a):
+        place, segment = _members(found >= 0, a, b)
+        pairs, tf = np.unique(segment * len(vocabulary.hashes) + found[place], return_counts=True)
+        segment, token = pairs // len(vocabulary.hashes), pairs % len(vocabulary.hashes)
+        value = tf * vocabulary.idf[token]
+        starts = np.searchsorted(segment, np.arange(len(a)))
+        square = np.add.reduceat(value**2, starts)
+        dots = np.add.reduceat(value[:, None] * vocabulary.vectors.T[token], starts, axis=0)
+        top, dot = dots.argmax(1), dots.max(1)
+        others = b - a - (known[b] - known[a])
+        good = dot >= threshold * np.sqrt(square + others) - 1e-9
+        a, b, top, dot, square = a[good], b[good], top[good], dot[good], square[good]
+    else:
+        top, dot, square = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     doc = np.searchsorted(w.first, a, side="right") - 1
-    top, alike = cosine.argmax(1), cosine.max(1)
-    order = np.lexsort((top, -alike, doc))
-    lead = order[np.concatenate(([True], np.diff(doc[order]) > 0))]
-    best[doc[lead]], score[doc[lead]] = top[lead], alike[lead]
+    order = np.argsort(doc, kind="stable")
+    a, b, doc, top, dot, square = a[order], b[order], doc[order], top[order], dot[order], square[order]
     entire = (a == w.first[doc]) & (b == w.first[doc + 1])
-    np.maximum.at(whole, doc[entire], alike[entire])
-    return best, score, whole
+    place, segment = _members(found < 0, a, b)
+    other, segment, tf = _runs(h[place], segment)
+    tokens = pa.StructArray.from_arrays([pa.array(other.view(np.int64)), pa.array(tf.astype(np.int64))], ["token", "tf"])
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(segment, np.arange(len(a) + 1)).astype(np.int32)), tokens)
+    parts = pa.StructArray.from_arrays([pa.array(top.astype(np.int32)), pa.array(dot), pa.array(square), pa.array(entire), lists], ["template", "dot", "square", "entire", "others"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), parts)
 
 
 def own_licenses(files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, license, score, is_license_file), a row per row of `files`."""
+    """(path, license, score, is_license_file), a row per row of `files`. All tokens weigh by
+    the documents they are in. score is the best cosine of the segments that could reach the
+    threshold, 0 if there is none."""
     vocabulary = Vocabulary(TEMPLATES if templates is None else templates)
-    vocabulary.weigh(*_document_counts(files, vocabulary, text))
-    named = re.compile(FILE_NAME)
+    counts = SharedTable(_document_counts(files, text), "tokens").df
+    n_docs = count_rows(files)
+    have = {r["token"]: r["n"] for r in counts.where(F.col("token").isin(vocabulary.hashes.view(np.int64).tolist())).collect()}
+    vocabulary.weigh(n_docs, np.array([have.get(t, 0) for t in vocabulary.hashes.view(np.int64).tolist()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in text_chunks(batches, text):
             paths = c.batch.column(c.batch.schema.get_field_index(path))
-            best, score, whole = best_templates(c.data, c.offsets, vocabulary)
-            good = (best >= 0) & (score >= threshold)
-            names = [vocabulary.names[t] if g else None for t, g in zip(best, good)]
-            licence = [bool(g and (x >= threshold or named.search(p or ""))) for g, x, p in zip(good, whole, paths.to_pylist())]
-            yield pa.RecordBatch.from_arrays([paths, pa.array(names, pa.string()), pa.array(score), pa.array(licence)], ["path", "license", "score", "is_license_file"])
-
-    return files.select(path, text).mapInArrow(run, "path string, license string, score double, is_license_file boolean")
+            yield pa.RecordBatch.from_arrays([paths, candidates(c.data, c.offsets, vocabulary, threshold)], ["path", "segments"])
+
+    schema = "path string, segments array<struct<template int, dot double, square double, entire boolean, others array<struct<token bigint, tf bigint>>>>"
+    rows = SharedTable(files.select(path, text).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "segments").df
+    segments = rows.select("row", F.posexplode("segments").alias("s", "x")).select("row", "s", "x.*")
+    others = segments.select("row", "s", F.explode("others").alias("o")).select("row", "s", "o.token", "o.tf")
+    needed = counts.join(others.select("token").distinct(), "token", "left_semi")
+    idf = F.log(F.lit(1.0 + n_docs) / (1 + F.col("n"))) + 1
+    rest = others.join(needed, "token").groupBy("row", "s").agg(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0))).alias("rest"))
+    cosine = F.col("dot") / F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0)))
+    scored = segments.drop("others").join(rest, ["row", "s"], "left").withColumn("cosine", cosine)
+    best = scored.groupBy("row").agg(F.min(F.struct(-F.col("cosine"), "template")).alias("b"), F.max(F.when(F.col("entire"), F.col("cosine"))).alias("whole"))
+    best = best.select("row", (-F.col("b.col1")).alias("score"), F.col("b.template").alias("template"), "whole")
+    out = rows.select("path", "row").join(best, "row", "left").withColumn("good", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    name = F.element_at(F.array(*[F.lit(x) for x in vocabulary.names]), F.col("template") + 1)
+    holds = F.coalesce(F.col("whole") >= threshold, F.lit(False)) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    return out.select("path", F.when(F.col("good"), name).alias("license"), F.coalesce("score", F.lit(0.0)).alias("score"), (F.col("good") & holds).alias("is_license_file"))
 
 
 def _directory(path: str):

@@ -67,3 +67,21 @@ def test_nearest_directory_with_a_licence_file(spark):
     assert named["r/k.py"][:2] == ("CC-BY-4.0", "own") and named["r/COPYING"][:2] == ("GPL-3.0", "own")
     assert named[None] == (None, "none", None)
     assert s.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_common_words_outside_the_templates_weigh_little(spark):
+    """At 3,000 documents a common word in a notice must not hide it, as a word never seen
+    would; and whole texts of any length are compared."""
+    rows = [(f"a/{i}.txt", f"river house number n{i}") for i in range(3000)]
+    rows += [("b/common.txt", "river house number " * 4 + "released under the MIT License"), ("b/rare.txt", "".join(f"rare{i} " for i in range(12)) + "released under the MIT License")]
+    rows += [("c/LICENSE.txt", "Released\nunder\nthe\nMIT\nLicense\n" * 1000)]
+    got = {r["path"]: r for r in s.own_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    texts = [x for _, x in rows]
+    n, df = len(texts), Counter(t for x in texts for t in set(tokens(x)))
+    idf = lambda t: np.log((1 + n) / (1 + df[t])) + 1
+    line, notice = (Counter(tokens(x)) for x in (rows[3000][1], s.TEMPLATES[0][1]))
+    length = lambda c: np.sqrt(sum((k * idf(t)) ** 2 for t, k in c.items()))
+    want = sum(line[t] * k * idf(t) ** 2 for t, k in notice.items()) / length(line) / length(notice)
+    assert got["b/common.txt"]["license"] == "MIT" and round(got["b/common.txt"]["score"], 9) == round(want, 9)
+    assert got["b/rare.txt"]["license"] is None and got["a/7.txt"]["license"] is None
+    assert got["c/LICENSE.txt"]["license"] == "MIT" and got["c/LICENSE.txt"]["is_license_file"] and got["c/LICENSE.txt"]["score"] > 0.99
