@@ -27,23 +27,32 @@ def brute(rows, k):
     return sorted(out)
 
 
-def test_fm_index_finds_every_pattern():
+def test_matching_statistics_and_places():
     rng = np.random.default_rng(0)
-    text = np.append(rng.integers(1, 6, 3000), 0)
-    index = FMIndex(text, 6)
-    starts = rng.integers(0, 2994, 200)
-    low, high = index.search(text, starts, 6)
-    for a, lo, hi in zip(starts, low, high):
-        want = {i for i in range(len(text) - 5) if (text[i : i + 6] == text[a : a + 6]).all()}
-        assert set(index.suffixes[lo:hi].tolist()) == want
-    which, some_low, some_high = index.repeated(text, starts, 6)
-    many = high - low > 1
-    assert which.tolist() == np.flatnonzero(many).tolist()
-    assert (some_low == low[many]).all() and (some_high == high[many]).all()
+    parts = [rng.integers(1, 5, rng.integers(1, 23)) for _ in range(300)]
+    text = np.concatenate([np.append(x, 0) for x in parts])
+    index = FMIndex(text)
+    places = {}
+    begin = 0
+    ends, room = [], []
+    for x in parts:
+        for a in range(len(x)):
+            ends.append(begin + a)
+            room.append(a + 1)
+            for b in range(a + 1, len(x) + 1):
+                places.setdefault(tuple(x[a:b]), set()).add(begin + a)
+        begin += len(x) + 1
+    ends, room = np.array(ends), np.array(room)
+    length, low, high = index.matching_statistics(text, ends, room, 6)
+    for e, r, n, lo, hi in zip(ends, room, length, low, high):
+        assert n == max([k for k in range(1, r + 1) if len(places[tuple(text[e - k + 1 : e + 1])]) > 1], default=0)
+        want = places[tuple(text[e - 5 : e + 1])] if n >= 6 else set()
+        assert set(index.locate(np.arange(lo, hi)).tolist()) == want
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(2000, 12_000), (1, 10), (5, 50)])
-def test_matches_brute_force(spark, hot, shard, monkeypatch):
+@pytest.mark.parametrize(("hot", "shard", "wide"), [(2000, 12_000, 16), (1, 10, 1), (5, 50, 0)])
+def test_matches_brute_force(spark, hot, shard, wide, monkeypatch):
+    monkeypatch.setattr(s, "WIDE", wide)
     monkeypatch.setattr(s, "HOT_ANCHOR", hot)
     monkeypatch.setattr(s, "SHARD_CONTEXTS", shard)
     rng = np.random.default_rng(hot)
