@@ -83,16 +83,21 @@ ORACLE_SQL: dict[str, str] = {
 WITH RECURSIVE sizes AS (
   SELECT source, count(*) AS n FROM documents GROUP BY source
 ), shares AS (
-  SELECT source, round(pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * 1000, 6) AS share FROM sizes
+  SELECT source, n, pow(n, 0.7) AS weight, sum(pow(n, 0.7)) OVER () AS total,
+         round(pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * 1000, 6) AS share FROM sizes
+), usable AS (
+  SELECT source, false AS small, share FROM shares WHERE share >= 1
+  UNION ALL
+  SELECT NULL, true, greatest(round(sum(share), 6), 1) FROM shares WHERE share < 1 HAVING count(*) > 0
 ), floors AS (
-  SELECT source, floor(share)::BIGINT AS whole,
-         row_number() OVER (ORDER BY round(share - floor(share), 6) DESC, source ASC NULLS FIRST) AS place,
+  SELECT source, small, floor(share)::BIGINT AS whole,
+         row_number() OVER (ORDER BY round(share - floor(share), 6) DESC, small, source ASC NULLS FIRST) AS place,
          1000 - sum(floor(share)::BIGINT) OVER () AS missing
-  FROM shares
+  FROM usable
 ), parts AS (
-  SELECT source, whole + CASE WHEN place <= missing THEN 1 ELSE 0 END AS parts FROM floors
+  SELECT source, small, whole + CASE WHEN place <= missing THEN 1 ELSE 0 END AS parts FROM floors
 ), used AS (
-  SELECT source, parts, row_number() OVER (ORDER BY coalesce(source, ''), source ASC NULLS FIRST) AS i FROM parts WHERE parts > 0
+  SELECT source, small, parts, row_number() OVER (ORDER BY coalesce(source, ''), small, source ASC NULLS FIRST) AS i FROM parts WHERE parts > 0
 ), lists AS (
   SELECT list(parts ORDER BY i) AS q FROM used
 ), edf AS (
@@ -106,21 +111,32 @@ WITH RECURSIVE sizes AS (
     FROM edf WHERE slot < 999
   )
 ), pattern AS (
-  SELECT u.source, u.parts, e.placed[u.i] - 1 AS k, e.slot AS at FROM edf e JOIN used u ON e.best = u.i WHERE e.slot >= 0
+  SELECT u.source, u.small, u.parts, e.placed[u.i] - 1 AS k, e.slot AS at FROM edf e JOIN used u ON e.best = u.i WHERE e.slot >= 0
+), small_blocks AS (
+  SELECT source, weight, total, unnest(range((n + 15) // 16)) AS block FROM shares WHERE share < 1
+), small_places AS (
+  SELECT *, row_number() OVER (ORDER BY (block + 1) / weight, source ASC NULLS FIRST, block) - 1 AS place FROM small_blocks
+), blocks AS (
+  SELECT z.source, b.block, (b.block // p.parts * 1000 + p.at)::BIGINT AS slot, (b.block * 1000 // p.parts)::BIGINT AS release,
+         (((b.block + 1) * 1000 + p.parts - 1) // p.parts)::BIGINT AS deadline
+  FROM sizes z, unnest(range((z.n + 15) // 16)) AS b(block)
+  JOIN pattern p ON NOT p.small AND z.source IS NOT DISTINCT FROM p.source AND b.block % p.parts = p.k
+  UNION ALL
+  SELECT s.source, s.block, (s.place // p.parts * 1000 + p.at)::BIGINT, floor(s.block * (total / weight))::BIGINT, ceil((s.block + 1) * (total / weight))::BIGINT
+  FROM small_places s JOIN pattern p ON p.small AND s.place % p.parts = p.k
+), ends AS (
+  SELECT min(h) AS horizon FROM (
+    SELECT ((z.n + 15) // 16) // p.parts * 1000 + p.at AS h
+    FROM sizes z JOIN pattern p ON NOT p.small AND z.source IS NOT DISTINCT FROM p.source AND ((z.n + 15) // 16) % p.parts = p.k
+    UNION ALL
+    SELECT s.n // p.parts * 1000 + p.at FROM (SELECT count(*) AS n FROM small_blocks) s JOIN pattern p ON p.small AND s.n % p.parts = p.k
+  )
 ), ranked AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR) NULLS FIRST, doc_id) - 1 AS rank FROM documents
-), ends AS (
-  SELECT min(((z.n + 15) // 16) // p.parts * 1000 + p.at) AS horizon
-  FROM sizes z JOIN pattern p ON z.source IS NOT DISTINCT FROM p.source AND ((z.n + 15) // 16) % p.parts = p.k
-), placed AS (
-  SELECT r.doc_id, r.source, (r.rank // 16)::BIGINT AS block, r.rank, p.parts,
-         ((r.rank // 16) // p.parts * 1000 + p.at)::BIGINT AS slot
-  FROM ranked r LEFT JOIN pattern p ON r.source IS NOT DISTINCT FROM p.source AND (r.rank // 16) % p.parts = p.k
 )
-SELECT doc_id, source, block, slot, (block * 1000 // parts)::BIGINT AS release,
-       (((block + 1) * 1000 + parts - 1) // parts)::BIGINT AS deadline,
-       (slot * 16 + rank % 16)::BIGINT AS position, coalesce(slot < horizon, false) AS in_mix
-FROM placed, ends""",
+SELECT r.doc_id, r.source, (r.rank // 16)::BIGINT AS block, b.slot, b.release, b.deadline,
+       (b.slot * 16 + r.rank % 16)::BIGINT AS position, coalesce(b.slot < e.horizon, false) AS in_mix
+FROM ranked r LEFT JOIN blocks b ON r.source IS NOT DISTINCT FROM b.source AND r.rank // 16 = b.block, ends e""",
     "op8_substring_dedup": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents

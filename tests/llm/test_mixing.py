@@ -56,6 +56,27 @@ def test_small_sources_are_not_left_out(spark):
     assert mixing.mix_sources(docs).where("in_mix").count() == 40
 
 
+def test_every_source_with_a_weight_has_its_slots(spark, monkeypatch):
+    """Many small sources beside a large one: their blocks follow by exact deadlines, and none
+    falls a block behind its share of the slots that they have together."""
+    rows = [(i, "hot") for i in range(400)] + [(1000 + i, f"t{i % 30}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = spark.createDataFrame([("hot", 70.0), *[(f"t{i}", 1.0 if i % 2 else 0.5) for i in range(30)], ("gone", 0.0)], "source string, weight double")
+    got = mixing.mix_sources(docs, weights, period=20, block_docs=1).collect()
+    assert len(got) == 640 and None not in [r["slot"] for r in got] and len({r["slot"] for r in got}) == 640
+    small = sorted((r["slot"], r["source"], r["block"]) for r in got if r["source"] != "hot")
+    due = sorted(((r["block"] + 1) / (1.0 if int(r["source"][1:]) % 2 else 0.5), r["source"], r["block"]) for r in got if r["source"] != "hot")
+    assert [x[1:] for x in small] == [x[1:] for x in due]
+    parts = {r["source"]: r["parts"] for r in mixing.whole_parts(weights, 20).collect()}
+    assert parts == {"hot": 15, None: 5}
+    done = dict.fromkeys((f"t{i}" for i in range(30)), 0)
+    for n, (_, name, _) in enumerate(small[:120], 1):
+        done[name] += 1
+        for s, k in done.items():
+            share = (1.0 if int(s[1:]) % 2 else 0.5) / 22.5
+            assert n * share - 1 - 1e-9 < k < n * share + 1 + 30 * share  # never a block behind
+
+
 def test_weights_empty_tables_and_sources_without_weight(spark):
     got = mixing.whole_parts(spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", -1.0)], "source string, weight double"), 10).collect()
     assert sorted((r["source"], r["parts"]) for r in got) == [("a", 4), ("b", 3), ("c", 3)]

@@ -61,9 +61,9 @@ def test_stages(spark, tmp_path, monkeypatch):
 
     mixed = p.source_mixing(spark, single, str(tmp_path))
     assert mixed.columns == docs.columns
-    marks = mixing.mix_sources(single).where("in_mix").select("id").collect()
+    places = {r["id"]: r["position"] for r in mixing.mix_sources(single).collect()}
     ids = [r["doc_id"] for r in mixed.collect()]
-    assert sorted(ids, key=str) == sorted((r["id"] for r in marks), key=str) and len(set(ids)) == len(ids) > 0
+    assert ids == sorted(places, key=places.get) and len(set(ids)) == len(ids) > 0
 
     packed = p.best_fit_packing(spark, mixed, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(ids)
@@ -97,13 +97,21 @@ def test_mixing_keeps_every_document(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing.mix_sources, "__defaults__", (None, "source", "doc_id", 10, 4))
     rows = [(i, f"t{i}", "en", "hot" if i < 600 else "mid" if i < 900 else None if i < 910 else f"tiny{i}", 1) for i in range(925)]
     docs = spark.createDataFrame([*rows, (None, "no id", "en", "hot", 5)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert mixing.mix_sources(docs).where("in_mix").count() < 926
+    got = mixing.mix_sources(docs).collect()
+    assert sum(r["in_mix"] for r in got) < 926
     mixed = [tuple(r) for r in p.source_mixing(spark, docs, str(tmp_path)).collect()]
     assert sorted(mixed, key=repr) == sorted(map(tuple, docs.collect()), key=repr)
-    slots = {r["id"]: (r["slot"], r["position"]) for r in mixing.mix_order(docs).collect()}
-    assert len(slots) == 926 and [slots[r[0]][0] for r in mixed] == sorted(s for s, _ in slots.values())
+    place = {r["id"]: r["position"] for r in got}
+    assert len(set(place.values())) == 926 and [place[r[0]] for r in mixed] == sorted(place.values())
     weights = {"hot": 601**0.7, "mid": 300**0.7, None: 10**0.7}
-    total = sum(weights.values()) + 15
     early = [r[3] for r in mixed[:400]]
     assert abs(early.count("mid") / early.count("hot") - weights["mid"] / weights["hot"]) < 0.25
-    assert {slots[i] for i in range(910, 925)} == {(-int(-total // 1) - 1, None)}
+    # Sources of one document, each below a part of the period, share its slots in turn, after the three blocks of the null source.
+    tiny = sorted(r["slot"] for r in got if r["id"] is not None and r["id"] >= 910)
+    assert len(set(tiny)) == 15 and tiny[0] < 40 and max(b - a for a, b in zip(tiny, tiny[1:])) <= 10
+
+
+def test_columns_may_be_named_like_the_operators_own(spark, tmp_path):
+    rows = [(i, f"t{i}", "en", f"s{i % 3}", 1, i, "x", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, place string, slot long")
+    assert sorted(map(tuple, p.source_mixing(spark, docs, str(tmp_path)).collect())) == rows
