@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from talus.llm.common import LOWER, SharedTable, Words, count_rows, text_chunks, word_hashes
 
 THRESHOLD = 0.6
+#: Tokens that a text must have to be a licence file by its text alone: a one-line notice is none.
+FILE_TOKENS = 50
+#: Directories that may be broadcast (two short strings each); more are joined by salts.
+SMALL_DIRS, SALTS = 200_000, 32
 # SPDX identifiers with notices that name the licence, and the openings of
 # licence files.
 TEMPLATES = [
@@ -136,7 +140,8 @@ def _members(on: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 def candidates(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, threshold: float) -> pa.ListArray:
     """By document, the segments that could reach the threshold if all tokens outside the
     vocabulary were in every document (and so had the least weight, 1): best template, dot
-    product, squared length of the known tokens, is it the whole text, and other tokens."""
+    product, squared length of the known tokens, is it a whole text of FILE_TOKENS or more,
+    and other tokens."""
     n = len(offsets) - 1
     w = _tokens(data, offsets)
     h = word_hashes(LOWER[data], w) if len(w.starts) else np.zeros(0, np.uint64)
@@ -162,7 +167,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, th
     doc = np.searchsorted(w.first, a, side="right") - 1
     order = np.argsort(doc, kind="stable")
     a, b, doc, top, dot, square = a[order], b[order], doc[order], top[order], dot[order], square[order]
-    entire = (a == w.first[doc]) & (b == w.first[doc + 1])
+    entire = (a == w.first[doc]) & (b == w.first[doc + 1]) & (b - a >= FILE_TOKENS)
     place, segment = _members(found < 0, a, b)
     other, segment, tf = _runs(h[place], segment)
     tokens = pa.StructArray.from_arrays([pa.array(other.view(np.int64)), pa.array(tf.astype(np.int64))], ["token", "tf"])
@@ -212,12 +217,13 @@ def scan_licenses(
 ) -> DataFrame:
     """(path, license, score, is_license_file, origin, inherited_from), a row per row.
 
-    origin is own, inherited or none; inherited_from is the directory ('' is the root). Null
+    A licence file is named as one (LICENSE, COPYING ...) or is as a whole like a template and
+    has FILE_TOKENS tokens or more. origin is own, inherited or none; inherited_from is the directory ('' is the root). Null
     and empty texts have no licence of their own; a null path inherits nothing. The licence
     of a directory is that of its licence file with the highest score, then smallest path.
     Repeated rows give a row each, an empty table none.
     """
-    own = own_licenses(files, path, text, templates, threshold).withColumn("dir", _directory("path"))
+    own = SharedTable(own_licenses(files, path, text, templates, threshold).withColumn("dir", _directory("path")), "own-licences").df
     by_dir = own.where("is_license_file and path is not null").groupBy("dir").agg(F.min(F.struct(-F.col("score"), "path", "license")).alias("b"))
     by_dir = by_dir.select(F.col("dir").alias("holder"), F.col("b.license").alias("dir_license"))
     # Directories rather than files are joined with their ancestors; a directory with many
@@ -228,6 +234,12 @@ def scan_licenses(
     ancestors = dirs.select("dir", F.posexplode(F.array_distinct(above)).alias("up", "holder"))
     nearest = ancestors.join(by_dir, "holder").groupBy("dir").agg(F.min(F.struct("up", "holder", "dir_license")).alias("b"))
     nearest = nearest.select(F.col("dir").alias("d"), F.col("b.holder").alias("inherited_from"), F.col("b.dir_license").alias("dir_license"))
-    joined = own.join(nearest, F.col("license").isNull() & (F.col("dir") == F.col("d")), "left")
+    nearest = SharedTable(nearest, "directories").df
+    same = F.col("license").isNull() & (F.col("dir") == F.col("d"))
+    if count_rows(nearest) <= SMALL_DIRS:
+        joined = own.join(F.broadcast(nearest), same, "left")
+    else:  # a directory may hold a third of all files
+        salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn("own_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own_salt") == F.col("salt")), "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
     return joined.select("path", F.coalesce("license", "dir_license").alias("license"), "score", "is_license_file", origin.alias("origin"), "inherited_from")

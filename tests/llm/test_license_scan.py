@@ -85,3 +85,13 @@ def test_common_words_outside_the_templates_weigh_little(spark):
     assert got["b/common.txt"]["license"] == "MIT" and round(got["b/common.txt"]["score"], 9) == round(want, 9)
     assert got["b/rare.txt"]["license"] is None and got["a/7.txt"]["license"] is None
     assert got["c/LICENSE.txt"]["license"] == "MIT" and got["c/LICENSE.txt"]["is_license_file"] and got["c/LICENSE.txt"]["score"] > 0.99
+
+
+def test_one_line_notice_is_no_licence_file(spark, monkeypatch):
+    mit = "Released under the MIT License."
+    rows = [("d/a.txt", mit), ("d/b.txt", "nothing here"), ("e/c.txt", "\n".join([mit] * 12)), ("e/f.txt", "nothing here")]
+    frame = spark.createDataFrame(rows, "path string, text string")
+    want = {"d/a.txt": ("MIT", False, "own"), "d/b.txt": (None, False, "none"), "e/c.txt": ("MIT", True, "own"), "e/f.txt": ("MIT", False, "inherited")}
+    for most in (s.SMALL_DIRS, 0):  # broadcast, and by salts
+        monkeypatch.setattr(s, "SMALL_DIRS", most)
+        assert {r["path"]: (r["license"], r["is_license_file"], r["origin"]) for r in s.scan_licenses(frame).collect()} == want
