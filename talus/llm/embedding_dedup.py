@@ -170,6 +170,7 @@ def embedding_components(
     Links are pairs of different rows with cosine >= min_cosine that meet in a bucket; none
     below it. Equal vectors are one node with a number of rows, and link with each other.
     Vectors that cannot be compared, and rows without an id, have no links and are kept.
+    Rows that repeat an id have the most links and the smallest component of their vectors.
     Vectors of different lengths don't link. An empty table gives no rows.
     """
     marked = SharedTable(normalised(vectors, id_col, vector).select("id", "unit", F.xxhash64("unit").alias("h")), "unit-vectors").df
@@ -200,7 +201,7 @@ def embedding_components(
     rows = marked.join(owners, (marked["h"] == owners["h"]) & (marked["unit"] == owners["u"])).select("id", "node")
     rows = rows.join(known, "node").select("id", "n_links", "component_id")
     every = vectors.select(F.col(id_col).cast("long").alias("__id"))
-    rows = rows.dropDuplicates(["id"])
+    rows = rows.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = every.join(rows, every["__id"] == rows["id"], "left")
     component = F.coalesce("component_id", "__id")
     return out.select(F.col("__id").alias("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("__id") == component, F.lit(True)).alias("kept"))

@@ -60,3 +60,9 @@ def test_empty_and_null_ids(spark):
     frame = spark.createDataFrame([(None, [1.0, 2.0], 0, "", 0), (4, [1.0, 2.0], 0, "", 0), (4, [1.0, 2.0], 0, "", 0)], SCHEMA)
     got = sorted((r["id"] or 0, r["component_id"] or 0, r["kept"]) for r in e.embedding_components(frame).collect())
     assert got == [(0, 0, True), (4, 4, True), (4, 4, True)]
+
+
+def test_repeated_ids_have_one_result(spark):
+    rows = [(1, [1.0, 0.0], 0, "", 0), (7, [1.0, 0.01], 0, "", 0), (7, [0.0, 1.0], 0, "", 0), (9, [1.0, 0.02], 0, "", 0)]
+    got = sorted((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in e.embedding_components(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 2, 1, True), (7, 2, 1, False), (7, 2, 1, False), (9, 2, 1, False)]
