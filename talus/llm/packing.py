@@ -298,10 +298,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     """`pieces` (id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Places in a sequence are gapless from 0. Shards have a bounded number of pieces at any
-    size of the corpus, because both numbers of shards follow the number of pieces.
+    size of the corpus, because both numbers of shards follow the number of pieces, and
+    repeated rows are dealt out like others.
     """
     shards = max(1, -(-count_rows(pieces) // SHARD_PIECES))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(shards)).cast("long"))
+    row = F.monotonically_increasing_id()  # `pieces` is a written table: a task that runs again numbers its rows alike
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32", row), F.lit(shards)).cast("long"))
     kind = ", ".join(f"{c} {t}" for c, t in dealt.dtypes) + ", sequence_id bigint, offset bigint, open boolean"
     first = SharedTable(dealt.groupBy("shard").applyInPandas(_packer(capacity, POOL_SEQUENCES), kind), "packed").df
     columns = [*pieces.columns, "sequence_id", "offset"]
