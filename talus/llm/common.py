@@ -20,9 +20,12 @@ CHUNK_BYTES = 2 << 20
 
 # ------------------------------------------------------------------ shared tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one in local mode
+    (one machine, as in tests) and an error on a cluster, whose executors share no local disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,17 +38,13 @@ def _fs(spark: SparkSession, path: str):
 
 class SharedTable:
     """A DataFrame written once to the shared folder and read back: its lineage is cut, and
-    it survives the loss of any executor. With `release`, shuffle files behind it go as soon
-    as it is written: Spark removes them once the driver has collected their plans, which is
-    asked for here instead of left to chance."""
+    it survives the loss of any executor."""
 
-    def __init__(self, df: DataFrame, name: str, release: bool = False):
+    def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        if release:
-            spark.sparkContext._jvm.System.gc()
 
     def drop(self) -> None:
         jpath, fs = _fs(self.df.sparkSession, self.path)
