@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into text blocks, each with the path of tags from the root. Text length and
-punctuation are aggregated per path; the ratios of text to tags and of punctuation to text
-are smoothed over neighbouring paths in page order, fused, and paths whose fused ratio is
-above the page's threshold are content. Blocks inside elements that are never article text
-(navigation, headers, forms, notices, adverts, comments of readers ...) take no part.
+punctuation are aggregated per path; the ratios of text and of punctuation to the nodes of a
+path are smoothed over its nearest paths in the tree, fused, and paths whose fused ratio
+reaches the page's threshold are content. What an element's name or class says (navigation,
+advert, article ...) is a weight in the fusion, so that it can tip the scale but not decide
+without the ratios. Headings, list items, table cells and other blocks that are no sentences
+follow the content that they stand beside.
 """
 
 from __future__ import annotations
@@ -21,10 +23,8 @@ from pyspark.sql import DataFrame
 # Element names of the HTML standard, by what they mean for the text.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-NEVER = {
-    "nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "menu", "dialog",
-    "svg", "math", "canvas", "audio", "video", "object", "applet", "head", "figcaption",
-}
+APART = {"nav", "header", "footer", "aside", "button", "select", "option", "label", "menu", "dialog", "svg", "math", "canvas", "audio", "video", "object", "applet", "head"}
+NO_SENTENCE = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "caption", "figcaption", "pre", "blockquote"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
@@ -38,26 +38,40 @@ CLOSED_BY = {
     "option": {"option"}, "thead": {"tr", "td", "th", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
 }
 SCOPE = {"table", "td", "th", "ul", "ol", "dl", "div", "article", "section", "main", "body", "html", "blockquote"}
-#: Words in class or id values of elements that are not article text.
-NOT_ARTICLE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adsbygoogle|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|gdpr|notice|"
-    r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|nav|navbar|navigation|menu|breadcrumbs?|pagination|"
-    r"pager|sidebar|side|widget|toolbar|header|masthead|footer|foot|copyright|legal|disclaimer|comments?|commentlist|respond|replies|reply|"
-    r"disqus|discussion|share|sharing|social|related|recommend(?:ed|ations)?|trending|popular|tags?|skip|search|hidden|outbrain|taboola)"
-    r"(?=$|[-_\s\d])",
+# Words in class or id values: of elements apart from the article, of elements that often are,
+# and of elements that hold it.
+_WORDS = r"(?:^|[-_\s])(?:{})(?=$|[-_\s\d])"
+APART_WORDS = re.compile(
+    _WORDS.format(
+        r"ads?|adverts?|advertisement|advertising|adsbygoogle|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|popup|modal|newsletter|subscribe"
+        r"|subscription|nav|navbar|navigation|menu|breadcrumbs?|pagination|sidebar|footer|copyright|comments?|commentlist|disqus|outbrain|taboola"
+    ),
+    re.I,
+)
+OFTEN_APART_WORDS = re.compile(
+    _WORDS.format(
+        r"banner|notice|alert|overlay|signup|sign-up|login|pager|side|widget|toolbar|header|masthead|foot|legal|disclaimer|respond|replies|reply|discussion"
+        r"|share|sharing|social|related|recommend(?:ed|ations)?|trending|popular|tags?|skip|search"
+    ),
     re.I,
 )
+ARTICLE_WORDS = re.compile(_WORDS.format(r"article|articlebody|post|entry|story|content|main|body|text"), re.I)
+#: Weights of an element in the fusion; of those around a block, the least below one counts, and ARTICLE once.
+APART_WEIGHT, OFTEN_APART_WEIGHT, ARTICLE_WEIGHT = 0.05, 0.25, 2.0
+#: Smoothing: weight of the path above or below, and of one beside. A path is content from this share of the page's best ratio on,
+#: and from LEAST on, which a few words apart from any article do not reach.
+NEAR, BESIDE, SHARE, LEAST = 0.1, 0.05, 0.7, 0.5
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+WEIGHT = re.compile(r"!([\d.]+)$")
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
-    dead: bool
+    path: tuple[str, ...]  # steps: tag.classes, with !weight where it isn't one
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -70,25 +84,32 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _is_dead(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    if tag in NEVER and not (tag == "header" and inside_article):
-        return True
-    if not attrs or tag in ("html", "body", "main", "article"):
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
+def _hidden(attrs: dict[str, str]) -> bool:
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    if "style" in attrs and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs["style"], re.I):
-        return True
-    return any(NOT_ARTICLE.search(attrs[k]) for k in ("class", "id") if attrs.get(k))
+    return "style" in attrs and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs["style"], re.I))
+
+
+def _weight(tag: str, attrs: dict[str, str], inside_article: bool) -> float:
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}" if attrs else ""
+    if tag in ("html", "body"):
+        return 1.0
+    if tag in ("main", "article"):
+        return ARTICLE_WEIGHT
+    if (tag in APART and not (tag == "header" and inside_article)) or attrs.get("role", "").lower() in ROLES or APART_WORDS.search(names):
+        return APART_WEIGHT
+    if tag == "form" or OFTEN_APART_WORDS.search(names):
+        return OFTEN_APART_WEIGHT
+    return ARTICLE_WEIGHT if ARTICLE_WORDS.search(names) else 1.0
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with their tag paths; character references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, its step in the path, dead
+    stack: list[tuple[str, str, bool]] = []  # tag, its step in the path, hidden
     now: Block | None = None
     path: tuple[str, ...] | None = ()
-    dead = links = 0  # open elements that are not article text, and open links
+    hidden = links = 0  # open elements that are not shown, and open links
 
     def end() -> None:
         nonlocal now
@@ -96,30 +117,32 @@ def blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal now, path
-        if now is not None and now.dead != (dead > 0):
-            now = None  # an inline element that isn't article text
+        if hidden:
+            return
+        if path is None:
+            path = tuple(s for t, s, _ in stack if t not in INLINE or "!" in s)
+        if now is not None and now.path != path:
+            now = None  # an inline element with a weight of its own
         if now is None:
             if not text or text.isspace():
                 return
-            if path is None:
-                path = tuple(s for t, s, _ in stack if t not in INLINE)
-            now = Block(path, dead > 0)
+            now = Block(path)
             out.append(now)
         now.parts.append(text)
         if links:
             now.linked += len(text)
 
-    def push(tag: str, step: str, is_dead: bool) -> None:
-        nonlocal dead, links, path
-        stack.append((tag, step, is_dead))
-        dead += is_dead
+    def push(tag: str, step: str, is_hidden: bool) -> None:
+        nonlocal hidden, links, path
+        stack.append((tag, step, is_hidden))
+        hidden += is_hidden
         links += tag == "a"
         path = None
 
     def pop_to(index: int) -> None:
-        nonlocal dead, links, path
-        for tag, _, is_dead in stack[index:]:
-            dead -= is_dead
+        nonlocal hidden, links, path
+        for tag, _, is_hidden in stack[index:]:
+            hidden -= is_hidden
             links -= tag == "a"
             if tag not in INLINE:
                 end()
@@ -174,60 +197,79 @@ def blocks(page: str) -> list[Block]:
         attrs = _attributes(m[3]) if m[3] else {}
         inside = tag == "header" and any(t in ("article", "main") for t, _, _ in stack)
         names = ".".join(sorted(set(attrs["class"].lower().split()))) if attrs.get("class") else ""
-        push(tag, f"{tag}.{names}" if names else tag, _is_dead(tag, attrs, inside))
+        weight = _weight(tag, attrs, inside)
+        push(tag, (f"{tag}.{names}" if names else tag) + (f"!{weight}" if weight != 1 else ""), bool(attrs) and _hidden(attrs))
     for b in out:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in out if b.text]
 
 
 # ------------------------------------------------------------------ tag-path ratios
-def _smooth(values: np.ndarray) -> np.ndarray:
-    """Gaussian smoothing over neighbours in page order, radius 1."""
-    if len(values) < 3:
-        return values
-    padded = np.concatenate((values[:1], values, values[-1:]))
-    return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
+def _smooth(order: list[tuple[str, ...]], values: np.ndarray) -> np.ndarray:
+    """Weighted means over each path, the one above, those right below and those beside."""
+    place = {p: i for i, p in enumerate(order)}
+    above = {}  # number and sum of the paths right below each one
+    for p, v in zip(order, values):
+        n, total = above.get(p[:-1], (0, 0.0))
+        above[p[:-1]] = (n + 1, total + v)
+    out = np.zeros(len(order))
+    for i, (p, v) in enumerate(zip(order, values)):
+        n, total = above[p[:-1]]
+        below, sums = above.get(p, (0, 0.0)) if p else (0, 0.0)
+        up = place.get(p[:-1]) if p else None
+        weight = 1 + BESIDE * (n - 1) + NEAR * (below + (up is not None))
+        out[i] = (v + BESIDE * (total - v) + NEAR * (sums + (values[up] if up is not None else 0.0))) / weight
+    return out
 
 
-def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
-    """Tag paths of content. Per path: characters and punctuation marks per node; both are
-    smoothed in the order in which paths appear, fused as a product, and compared with the
-    share of the page's greatest fused ratio that a threshold by spread leaves."""
-    live = [b for b in found if not b.dead]
-    if not live:
-        return set()
-    order = list(dict.fromkeys(b.path for b in live))
+def path_weight(path: tuple[str, ...]) -> float:
+    weights = [float(m[1]) for m in map(WEIGHT.search, path) if m]
+    return min([1.0, *weights]) * max([1.0, *weights])
+
+
+def fused_ratios(found: list[Block]) -> tuple[dict[tuple[str, ...], float], float]:
+    """(fused ratio of each path, the page's threshold). A path has its text that is in no
+    link and its punctuation marks for each node, both smoothed; their product on a logarithmic
+    scale is weighed by the share of text in no link and by what the elements' names say. The
+    threshold is a share of the best ratio, for which no name counts in favour."""
+    order = list(dict.fromkeys(b.path for b in found))
     place = {p: i for i, p in enumerate(order)}
     nodes, chars, marks, linked = (np.zeros(len(order)) for _ in range(4))
-    for b in live:
-        i, text = place[b.path], b.text
+    for b in found:
+        i = place[b.path]
         nodes[i] += 1
-        chars[i] += len(text)
-        marks[i] += len(PUNCTUATION.findall(text))
-        linked[i] += min(b.linked, len(text))
-    prose = np.maximum(chars - linked, 0)
-    text_ratio, mark_ratio = _smooth(prose / nodes), _smooth((1 + marks) / nodes)
-    fused = np.log1p(text_ratio) * np.log1p(mark_ratio) * (1 - linked / np.maximum(chars, 1))
-    threshold = min(0.5 * float(fused.std()), 0.3 * float(fused.max(initial=0.0)))
-    keep = {p for p, v, share in zip(order, fused, linked / np.maximum(chars, 1)) if v >= threshold and share < 0.6}
-    # Inside the article element that holds most prose, all that is live is content; so are
-    # headings beside content. Outside of it, nothing is.
-    anchors: dict[tuple[str, ...], float] = {}
-    for p, v in zip(order, prose):
-        cut = next((k + 1 for k, step in enumerate(p) if step.split(".")[0] in ("article", "main")), 0)
-        if cut:
-            anchors[p[:cut]] = anchors.get(p[:cut], 0) + v
-    if anchors and sum(anchors.values()) >= 0.4 * prose.sum():
-        best = [a for a in anchors if anchors[a] >= 0.2 * max(anchors.values())]
-        return {p for p in order if any(p[: len(a)] == a for a in best) and (p in keep or linked[place[p]] < 0.6 * chars[place[p]])}
-    parents = {p[:-1] for p in keep}
-    return keep | {p for p in order if p and p[-1].split(".")[0] in HEADINGS and p[:-1] in parents}
+        chars[i] += len(b.text)
+        marks[i] += len(PUNCTUATION.findall(b.text))
+        linked[i] += min(b.linked, len(b.text))
+    text, points = _smooth(order, (chars - linked) / np.maximum(nodes, 1)), _smooth(order, marks / np.maximum(nodes, 1))
+    free = 1 - linked / np.maximum(chars, 1)
+    plain = np.log1p(text * (points + 0.3)) * free
+    weight = np.array([path_weight(p) for p in order])
+    threshold = max(LEAST, SHARE * float((plain * np.minimum(weight, 1)).max(initial=0.0)))
+    return dict(zip(order, (plain * weight).tolist())), threshold
+
+
+def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
+    """Paths that reach the threshold, and paths of no sentences in the same element as one
+    of them, unless their names speak against it or most of their text is in links."""
+    ratios, threshold = fused_ratios(found)
+    keep = {p for p, v in ratios.items() if v >= threshold}
+    around = {p[:-1] for p in keep}
+    chars, linked = dict.fromkeys(ratios, 0), dict.fromkeys(ratios, 0)
+    for b in found:
+        chars[b.path] += len(b.text)
+        linked[b.path] += min(b.linked, len(b.text))
+    for p in ratios:
+        plain = p and p[-1].split(".")[0].split("!")[0] in NO_SENTENCE and path_weight(p) >= 1 and linked[p] < 0.6 * chars[p]
+        if plain and any(p[:k] in around for k in range(len(p))):
+            keep.add(p)
+    return keep
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     paths = content_paths(found)
-    return "\n".join(b.text for b in found if not b.dead and b.path in paths)
+    return "\n".join(b.text for b in found if b.path in paths)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

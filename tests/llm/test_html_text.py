@@ -1,6 +1,8 @@
+import math
+
 import pytest
 
-from talus.llm.html_text import blocks, extract_main_text, main_text
+from talus.llm.html_text import blocks, extract_main_text, fused_ratios, main_text
 
 PROSE = "The old mill stood by the river, and nobody had entered it for years. When the door opened at last, dust fell in long, slow curtains."
 PAGE = f"""<!DOCTYPE html><html><head><title>Mill</title><style>p {{color: red}}</style><script>var x = "<p>no</p>";</script></head><body>
@@ -48,3 +50,55 @@ def test_frame(spark):
     text = main_text(PAGE)
     assert got == [(0, "", 0), (1, text, len(text)), (1, text, len(text)), (2, "", 0)]
     assert extract_main_text(spark.createDataFrame([], frame.schema)).count() == 0
+
+
+BARE = (
+    "<html><body><div><a href=1>Home</a> <a href=2>News</a> <a href=3>Sport</a></div><div><div>Buy now, cheap shoes!</div><div><h2>The mill</h2>"
+    + "".join(f"<p>{x}</p>" for x in (PROSE, "Short one.", PROSE + " " + PROSE))
+    + "<ul><li>First point</li><li>Second, longer point</li></ul></div><div><div><span>Nice one, thanks.</span></div><div><span>I liked it.</span></div></div></div>"
+    "<div>Copyright 2020</div></body></html>"
+)
+
+
+def brute_ratios(found):
+    """The fused ratios and the threshold from their definition, path by path."""
+    paths = {b.path for b in found}
+    raw = {}
+    for p in paths:
+        mine = [b for b in found if b.path == p]
+        chars, linked = sum(len(b.text) for b in mine), sum(min(b.linked, len(b.text)) for b in mine)
+        raw[p] = ((chars - linked) / len(mine), sum(c in ".,;:!?…。，；：！？、" for b in mine for c in b.text) / len(mine), 1 - linked / chars)
+    out, plain = {}, {}
+    for p in paths:
+        near = {p: 1.0}
+        for q in paths - {p}:
+            if q[:-1] == p or (p and p[:-1] == q):
+                near[q] = 0.1
+            elif p and q and p[:-1] == q[:-1]:
+                near[q] = 0.05
+        mean = [sum(k * raw[q][i] for q, k in near.items()) / sum(near.values()) for i in (0, 1)]
+        weights = [float(s.rsplit("!", 1)[1]) for s in p if "!" in s]
+        plain[p] = math.log1p(mean[0] * (mean[1] + 0.3)) * raw[p][2]
+        out[p] = plain[p] * min([1, *weights]) * max([1, *weights])
+        plain[p] *= min(1, min([1, *weights]) * max([1, *weights]))
+    return out, max(0.5, 0.7 * max(plain.values()))
+
+
+@pytest.mark.parametrize("page", [PAGE, BARE, "<p>One, only.</p>", "text at the root, <i>alone</i>" + BARE])
+def test_ratios_match_brute_force(page):
+    (got, threshold), (want, limit) = fused_ratios(blocks(page)), brute_ratios(blocks(page))
+    assert got.keys() == want.keys() and threshold == pytest.approx(limit)
+    assert all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_ratios_decide_where_no_name_tells():
+    assert main_text(BARE).split("\n") == ["The mill", PROSE, "Short one.", PROSE + " " + PROSE, "First point", "Second, longer point"]
+    ratios, threshold = fused_ratios(blocks(BARE))
+    assert sum(ratios[b.path] < threshold for b in blocks(BARE)) >= 5  # menu, advert, two comments, copyright line
+
+
+def test_names_do_not_decide_alone():
+    page = f"<div class=share><p>{PROSE}</p><p>{PROSE}</p></div><div class=post><p>Tiny.</p></div>"
+    assert main_text(page).startswith(PROSE)
+    assert main_text(f"<form><table><tr><td><p>{PROSE}</p></td></tr></table></form>") == PROSE
+    assert main_text(f"<article><p>{PROSE}</p><figure><figcaption>A mill, seen from the road.</figcaption></figure><div class=ad>Buy, now!</div></article>").endswith("from the road.")
