@@ -31,9 +31,8 @@ SHARD_PIECES = 4096
 #: Shards whose emptiest sequences are packed again together, and how many each gives.
 POOL_SHARDS, POOL_SEQUENCES = 256, 8
 #: Search effort of a shard after best fit: nodes, and fillings that are tried at a node.
-NODES, FILLINGS = 400, 12
-#: Sequences of a shard that the search packs anew: the emptiest ones of best fit. Only they
-#: hold the waste that another packing could gather.
+NODES, FILLINGS = 2_000, 12
+#: Sequences that one search packs anew, the emptiest ones first.
 SEARCHED = 24
 #: Words whose ids a worker remembers at a time.
 CACHED_WORDS = 600_000
@@ -210,23 +209,30 @@ def _fillings(gap: int, values: list[int], left: dict[int, int]) -> list[tuple[i
 
 
 def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Indices of `sizes` by bin. Best fit is the incumbent; if it misses the lower bound,
-    depth-first bin completion looks for fewer bins within `nodes` nodes."""
+    """Indices of `sizes` by bin. Best fit is the incumbent; while it misses the lower bound,
+    depth-first bin completion looks for one bin less: among the SEARCHED emptiest bins, then
+    among the next emptiest, and from the start after each success, until `nodes` are spent."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     bins = best_fit(order, sizes, capacity)
-    if len(bins) <= lower_bound(np.array(sizes, np.int64), capacity):
-        return bins
-    if len(bins) > SEARCHED:
+    bound, at = lower_bound(np.array(sizes, np.int64), capacity), 0
+    while len(bins) > bound and at < len(bins) and nodes > 0:
         bins.sort(key=lambda b: sum(sizes[i] for i in b))
-        worst = [i for b in bins[:SEARCHED] for i in b]
-        return bins[SEARCHED:] + [[worst[i] for i in b] for b in bin_completion([sizes[i] for i in worst], capacity, nodes)]
+        part = [i for b in bins[at : at + SEARCHED] for i in b]
+        found, nodes = _complete([sizes[i] for i in part], capacity, len(bins[at : at + SEARCHED]) - 1, nodes)
+        if found is None:
+            at += SEARCHED
+        else:
+            bins, at = bins[:at] + [[part[i] for i in b] for b in found] + bins[at + SEARCHED :], 0
+    return bins
+
+
+def _complete(sizes: list[int], capacity: int, goal: int, nodes: int) -> tuple[list[list[int]] | None, int]:
+    """(indices by bin of a packing into `goal` bins, if the search finds one; nodes left)."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     left: dict[int, int] = {}
     for s in sizes:
         left[s] = left.get(s, 0) + 1
     total, best = sum(sizes), None
-    budget = nodes
-
-    goal = len(bins) - 1  # the search needs no more bins than this
     # An explicit stack: bins so far and, at each of them, the fillings not tried yet.
     stack: list[tuple[list[tuple[int, ...]], tuple[int, ...] | None, int]] = []
     waste, rest = 0, len(sizes)
@@ -246,9 +252,11 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
         waste += sign * (capacity - sum(filling))
         rest -= sign * len(filling)
 
+    if total > goal * capacity:
+        return None, nodes
     stack.append((options(), None, 0))
-    while stack and budget:
-        budget -= 1
+    while stack and nodes:
+        nodes -= 1
         choices, taken, _ = stack.pop()
         if taken:
             take(taken, -1)
@@ -266,11 +274,11 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
             break
         stack.append((options(), None, 0))
     if best is None:
-        return bins
+        return None, nodes
     by_size: dict[int, list[int]] = {}
     for i in order:
         by_size.setdefault(sizes[i], []).append(i)
-    return [[by_size[v].pop() for v in filling] for filling in best]
+    return [[by_size[v].pop() for v in filling] for filling in best], nodes
 
 
 # ------------------------------------------------------------------ all shards

@@ -65,3 +65,12 @@ def test_packing_round_trip(spark, monkeypatch):
     bound = packing.lower_bound(got.length.to_numpy(), 256)
     assert got.sequence_id.nunique() <= 1.03 * bound
     assert packing.pack_documents(spark.createDataFrame([], docs.schema)).count() == 0
+
+
+def test_search_goes_on_after_a_success():
+    """Sizes for which best fit is bins away from the bound, in more bins than one search takes."""
+    sizes = [6, 6, 5, 5, 4, 4] * 30  # 15 + 15 a pair of sixes, fives and fours: two full bins of 15 each
+    bins = packing.bin_completion(sizes, 15, nodes=20_000)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 15 for b in bins)
+    fit = packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 15)
+    assert len(bins) < len(fit) - 1 or len(fit) == packing.lower_bound(np.array(sizes), 15)
