@@ -3,6 +3,7 @@ expressions. Matching is case-insensitive with Unicode letters, whatever the JDK
 
 from __future__ import annotations
 
+import html
 import re
 
 import pandas as pd
@@ -54,8 +55,12 @@ EUROPE = (
 GENERIC_REMOTE = r"remote|anywhere|worldwide|home[\s-]?office|work\s+from\s+home|wfh|europe|european|emea|pan[\s-]?european"
 #: Place names by country, for a focus on some countries; callers may pass their own.
 PLACES = {
-    "it": r"ital(?:y|ia)|lombardi[ay]|lazio|toscana|tuscany|veneto|milan|milano|rom[ae]|turin|torino|naples|napoli|bologna|florence|firenze|venice|genoa|verona",
-    "nl": r"netherlands|nederland|holland|amsterdam|rotterdam|the\s+hague|den\s+haag|utrecht|eindhoven|groningen|delft|leiden|maastricht",
+    "it": r"ital(?:y|ia)|provincia\s+di|citt[aà]\s+metropolitana|piemonte|piedmont|lombardi[ay]|lazio|toscana|tuscany|veneto|emilia|milan|milano|rom[ae]"
+    r"|turin|torino|naples|napoli|bologna|florence|firenze|venice|venezia|genoa|genova|bari|palermo|verona|padua|padova|brescia|bergamo|modena|catania"
+    r"|novara|como|monza|varese|pavia|cremona|mantova|parma|rimini|piacenza|cameri",
+    "nl": r"netherlands|nederland|holland|noord[\s-]?holland|zuid[\s-]?holland|noord[\s-]?brabant|gelderland|overijssel|limburg|friesland|drenthe|zeeland"
+    r"|flevoland|amsterdam|rotterdam|the\s+hague|den\s+haag|utrecht|eindhoven|groningen|tilburg|breda|nijmegen|haarlem|arnhem|delft|leiden|hilversum"
+    r"|almere|maastricht|amersfoort|apeldoorn|zwolle|enschede|zaandam|'?s[\s-]?hertogenbosch|den\s+bosch",
     "de": r"german(?:y)?|deutschland|berlin|munich|m[uü]nchen|hamburg|frankfurt|cologne|k[oö]ln|stuttgart|d[uü]sseldorf|hannover|leipzig",
     "fr": r"france|paris|lyon|marseille|toulouse|bordeaux|nantes|nice|lille|strasbourg",
     "es": r"spain|espa[nñ]a|madrid|barcelona|valencia|seville|sevilla|m[aá]laga|bilbao",
@@ -64,6 +69,8 @@ PLACES = {
     "at": r"austria|vienna|wien", "pt": r"portugal|lisbon|lisboa|porto", "se": r"sweden|stockholm|gothenburg|malm[oö]",
     "dk": r"denmark|copenhagen|aarhus", "no": r"norway|oslo", "fi": r"finland|helsinki", "pl": r"poland|warsaw|krak[oó]w|wroc[lł]aw|gda[nń]sk",
     "cz": r"czech(?:ia)?|prague", "hu": r"hungary|budapest", "ro": r"romania|bucharest|cluj(?:-napoca)?|timisoara|iasi",
+    "bg": r"bulgaria|sofia", "lt": r"lithuania|vilnius", "lv": r"latvia|riga", "ee": r"estonia|tallinn", "cy": r"cyprus|nicosia", "hr": r"croatia|zagreb",
+    "sk": r"slovakia|bratislava", "si": r"slovenia|ljubljana", "lu": r"luxembourg", "mt": r"malta|valletta", "gr": r"greece|athens",
 }
 SOFT_WINDOW = 80
 SOFTENERS = (
@@ -233,9 +240,20 @@ GATE = T.StructType(
 )
 
 
-def _compiled(table: list[tuple[str, str]]) -> list[tuple[str, re.Pattern]]:
+_TABLES: dict[str, list[tuple[str, re.Pattern]]] = {}  # compiled once for each worker
+
+
+def _compiled(name: str, table: list[tuple[str, str]]) -> list[tuple[str, re.Pattern]]:
     full = lambda p: p.replace("LANG", LANGUAGE).replace("REQ", REQUIRED).replace("NEED", NEEDED)
-    return [(label, re.compile(full(p), re.I)) for label, p in table]
+    if name not in _TABLES:
+        _TABLES[name] = [(label, re.compile(full(p), re.I)) for label, p in table]
+    return _TABLES[name]
+
+
+def _shown(text: str | None) -> str:
+    """The text without tags, with its character references decoded and white space as one
+    space, so that phrases match across markup."""
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", text or "")).split())
 
 
 def _judge(texts: pd.Series, table: list[tuple[str, re.Pattern]]) -> pd.DataFrame:
@@ -243,9 +261,9 @@ def _judge(texts: pd.Series, table: list[tuple[str, re.Pattern]]) -> pd.DataFram
     it; and the labels whose matches have one."""
     soft = re.compile(rf"\b(?:{SOFTENERS})\b", re.I)
     out = []
-    for text in texts:
+    for text in map(_shown, texts):
         ok, label, snippet, softened = True, None, None, []
-        if text and len(text.strip()) >= 5:
+        if len(text) >= 5:
             for name, pattern in table:
                 for m in pattern.finditer(text):
                     if soft.search(text[m.end() : m.end() + SOFT_WINDOW]):
@@ -258,11 +276,11 @@ def _judge(texts: pd.Series, table: list[tuple[str, re.Pattern]]) -> pd.DataFram
 
 @F.pandas_udf(GATE)
 def language_gate(texts: pd.Series) -> pd.DataFrame:
-    """Fails on a language other than English that is required; texts without markup."""
-    return _judge(texts, _compiled(LANGUAGE_GATE))
+    """Fails on a language other than English that is required; markup is taken off first."""
+    return _judge(texts, _compiled("language", LANGUAGE_GATE))
 
 
 @F.pandas_udf(GATE)
 def visa_gate(texts: pd.Series) -> pd.DataFrame:
     """Fails on work permits that are required or sponsorship that is refused."""
-    return _judge(texts, _compiled(VISA_GATE))
+    return _judge(texts, _compiled("visa", VISA_GATE))

@@ -1,11 +1,12 @@
-"""Graph operators over edge tables: relaxation of paths, closures and levels, as bounded
-rounds of joins whose state is cut by checkpoints (survey group I)."""
+"""Graph operators over edge tables: relaxation of paths, closures and levels, as rounds of
+joins whose state is cut by checkpoints (survey group I). They run until nothing is left to
+do; `rounds` is a guard for runaway input, and passing it is an error, never an end."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,15 +14,21 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut in the shared checkpoint folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 20, src: str = "src", dst: str = "dst", cost: str = "cost") -> DataFrame:
+def _unfinished(rounds: int) -> RuntimeError:
+    return RuntimeError(f"not done after {rounds} rounds")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000, src: str = "src", dst: str = "dst", cost: str = "cost") -> DataFrame:
     """(source, node, cost, path): cheapest paths from each source; negative costs count as
     0, ties take the smallest path. Only nodes that a round improved are joined again."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.greatest(F.col(cost), F.lit(0)).cast("double").alias("w")).groupBy("a", "b").agg(F.min("w").alias("w"))
+    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.greatest(F.col(cost), F.lit(0)).cast("double").alias("w")).groupBy("a", "b").agg(F.min("w").alias("w")))
     start = sources.select(F.col(sources.columns[0]).alias("source")).distinct()
     best = cut(start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path")))
     frontier = best
@@ -34,30 +41,30 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 20, src:
         better = F.col("o").isNull() | (F.col("n.cost") < F.col("o.cost"))
         frontier = merged.where(F.col("n").isNotNull() & better).select("source", "node", "n.cost", "n.path")
         if frontier.isEmpty():
-            break
+            return best
         best = merged.select("source", "node", F.when(F.col("n").isNotNull() & better, F.col("n")).otherwise(F.col("o")).alias("x")).select("source", "node", "x.cost", "x.path")
-    return best
+    raise _unfinished(rounds)
 
 
-def closure(edges: DataFrame, rounds: int = 50, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, reaches, depth): everything reachable along edges, with the greatest depth on
-    acyclic input bounded by `rounds`; a node on a cycle doesn't reach itself."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct()
+def closure(edges: DataFrame, rounds: int = 10_000, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, reaches, depth): everything reachable along edges, with the least number of
+    steps; a node on a cycle doesn't reach itself."""
+    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct())
     known = cut(e.select(F.col("a").alias("node"), F.col("b").alias("reaches"), F.lit(1).alias("depth")))
     frontier = known
     for depth in range(2, rounds + 1):
         step = frontier.join(e, frontier["reaches"] == e["a"]).select("node", F.col("b").alias("reaches")).where("node <> reaches").distinct()
         new = cut(step.join(known.select("node", "reaches"), ["node", "reaches"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
-            break
+            return known
         known, frontier = cut(known.unionByName(new)), new
-    return known
+    raise _unfinished(rounds)
 
 
-def levels(edges: DataFrame, rounds: int = 100, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
+def levels(edges: DataFrame, rounds: int = 10_000, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
     """(levels, cyclic): src depends on dst. Level 0 has no dependency; others are one above
     their highest. What is never levelled lies on or behind a cycle."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
+    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     done = cut(nodes.join(e.select(F.col("a").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
     left = cut(nodes.join(done, "node", "left_anti"))
@@ -65,9 +72,9 @@ def levels(edges: DataFrame, rounds: int = 100, src: str = "src", dst: str = "ds
         open_deps = e.join(done.select(F.col("node").alias("b")), "b", "left_anti").select(F.col("a").alias("node")).distinct()
         ready = cut(left.join(open_deps, "node", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
-            break
+            return done, left
         done, left = cut(done.unionByName(ready)), cut(left.join(ready, "node", "left_anti").select("node"))
-    return done, left
+    raise _unfinished(rounds)
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, relation: str | None = None) -> DataFrame:
@@ -80,8 +87,6 @@ def learning_path(gaps: DataFrame, prerequisites: DataFrame, profile: str = "pro
     the skill itself, numbered once per profile. prerequisites: (node, reaches, depth)."""
     up = gaps.join(prerequisites, gaps[skill] == prerequisites["node"], "left")
     steps = up.select(profile, F.col("reaches").alias("s"), F.col("depth").alias("d")).where("s is not null").unionByName(gaps.select(profile, F.col(skill).alias("s"), F.lit(0).alias("d")))
-    from pyspark.sql import Window
-
     once = steps.groupBy(profile, "s").agg(F.max("d").alias("d"))
     place = F.row_number().over(Window.partitionBy(profile).orderBy(F.desc("d"), "s"))
     return once.select(profile, place.alias("step"), F.col("s").alias("skill"))

@@ -206,7 +206,7 @@ def remember(queries: DataFrame, memories: DataFrame, tenant: str, as_of: Column
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "memory_id"))).where(F.col("rank") <= k)
 
 
-def clusters(pairs: DataFrame, names: DataFrame, rounds: int = 30) -> DataFrame:
+def clusters(pairs: DataFrame, names: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(name, cluster): connected components of similar pairs (a, b), named by the smallest
     name. The greedy order-dependent form is not reproduced."""
     from talus.operators.graph import cut
@@ -221,7 +221,7 @@ def clusters(pairs: DataFrame, names: DataFrame, rounds: int = 30) -> DataFrame:
         if new.join(state.withColumnRenamed("cluster", "old"), "name").where("cluster <> old").isEmpty():
             return new
         state = new
-    return state
+    raise RuntimeError(f"not done after {rounds} rounds")
 
 
 # ------------------------------------------------------------------ health and cost

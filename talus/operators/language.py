@@ -9,13 +9,14 @@ from talus.operators.lookup import small
 
 #: Trigrams kept per language: bounds the model, so that it can be broadcast.
 PROFILE = 400
-#: Characters of a text that are looked at, and the least that are judged.
-WINDOW, LEAST = 3000, 50
+#: The least characters that are judged.
+LEAST = 50
 
 
 def _trigrams(text: Column) -> Column:
-    clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.substring(text, 1, WINDOW)), r"(?U)[^\p{L}]+", " ")), F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(clean) - 2)), lambda i: F.substring(clean, i, F.lit(3)))
+    """All trigrams of the whole text, in one pass: a match of no length at each place."""
+    clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
+    return F.regexp_extract_all(clean, F.lit("(?=(.{3}))"), F.lit(1))
 
 
 def fit_profiles(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -24,7 +25,7 @@ def fit_profiles(df: DataFrame, text: str, lang: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = grams.withColumn("r", place).where(F.col("r") <= PROFILE)
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
-    return top.join(F.broadcast(totals), "lang").select("lang", "gram", F.log(F.col("n") * PROFILE * 10 / F.col("total") + 1).alias("weight"))
+    return top.join(small(totals), "lang").select("lang", "gram", F.log(F.col("n") * PROFILE * 10 / F.col("total") + 1).alias("weight"))
 
 
 def detect(df: DataFrame, profiles: DataFrame, id_col: str, text: str) -> DataFrame:

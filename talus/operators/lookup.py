@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from talus.functions.text import count_of
 
-#: Dictionaries up to this many rows may be broadcast; beyond it they join by a token.
-BROADCAST_ROWS = 50_000
+#: Dictionaries up to this many rows may be broadcast; beyond it they join by grams.
+BROADCAST_ROWS, GRAM = 50_000, 3
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -17,6 +17,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def contained_pairs(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Rows of both tables where `text` contains `part`, which isn't empty. A small table of
+    parts is broadcast. A larger one is joined by its rarest gram of three letters, and parts
+    shorter than that by themselves, so that no text meets parts that share nothing with it."""
+    if parts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return texts.join(F.broadcast(parts.where(F.char_length(part) > 0)), F.contains(F.col(text), F.col(part)))
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - (n - 1))), lambda i: F.substring(F.col(c), i, F.lit(n))))
+    whole = parts.where(F.char_length(part) > 0).withColumn("__id", F.monotonically_increasing_id())
+    held = texts.select("*", F.explode(F.array_distinct(F.concat(*[grams(text, n) for n in range(1, GRAM + 1)]))).alias("__gram"))
+    counts = held.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    long_part = F.when(F.char_length(part) >= GRAM, grams(part, GRAM)).otherwise(F.array(F.col(part)))
+    keys = whole.select("*", F.explode(long_part).alias("__gram")).join(counts, "__gram", "left")
+    best = keys.groupBy("__id").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram"))["__gram"].alias("__gram"))
+    pairs = held.join(whole.join(best, "__id"), "__gram").where(F.contains(F.col(text), F.col(part)))
+    return pairs.drop("__gram", "__id")
+
+
 def flatten_dictionary(spark: SparkSession, dictionary: dict[str, list[str]]) -> DataFrame:
     """(term, category, pos): the last category wins for a term that repeats; pos is the
     place of the term's first mention."""
@@ -33,8 +50,11 @@ def lookup_join(df: DataFrame, name: Column, profiles: DataFrame, profile_name:
     named = df.withColumn("__name", name)
     sorted_profiles = profiles.select(F.col(profile_name).alias("__p"), order.alias("__o"), *values)
     names = named.select("__name").distinct().where("__name <> ''")
-    either = F.contains("__name", F.col("__p")) | F.contains("__p", F.col("__name"))
-    pairs = names.join(small(sorted_profiles.where("__p <> ''")), either)
+    held = sorted_profiles.where("__p <> ''")
+    if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pairs = names.join(F.broadcast(held), F.contains("__name", F.col("__p")) | F.contains("__p", F.col("__name")))
+    else:
+        pairs = contained_pairs(names, "__name", held, "__p").unionByName(contained_pairs(held, "__p", names, "__name"))
     exact = (F.col("__name") == F.col("__p")).cast("int")
     best = pairs.groupBy("__name").agg(F.min(F.struct((-exact).alias("e"), F.col("__o").alias("o"), *values)).alias("__b"))
     joined = named.join(best, "__name", "left")
@@ -46,7 +66,7 @@ def classify_titles(df: DataFrame, title: str, dictionary: DataFrame, default: s
     """Category of the dictionary title that equals the title, else of the longest one that
     the title contains, ties by dictionary order. Distinct titles are matched."""
     titles = df.select(F.lower(F.trim(title)).alias("__t")).distinct()
-    pairs = titles.join(small(dictionary.select("term", "category", "pos")), F.contains("__t", F.col("term")))
+    pairs = contained_pairs(titles, "__t", dictionary.select("term", "category", "pos"), "term")
     best = pairs.groupBy("__t").agg(F.min(F.struct(-F.char_length("term"), "pos", "category"))["category"].alias("category"))
     out = df.withColumn("__t", F.lower(F.trim(title))).join(best, "__t", "left").drop("__t")
     return out.withColumn("category", F.coalesce("category", F.lit(default)))

@@ -140,9 +140,12 @@ def acceptance(df: DataFrame, key: str, signal: str, positive: list[str], negati
     return g.select(key, "positives", "negatives", F.when(total > 0, F.bround(F.col("positives") / total, 4)).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def feedback_weights(df: DataFrame, target: str, signal: str, positive: list[str], negative: list[str], step: float = 5.0) -> DataFrame:
+def feedback_weights(df: DataFrame, target: str, signal: str, positive: list[str], negative: list[str], step: float = 5.0, weight: Column | None = None) -> DataFrame:
+    """(target, weight): steps up and down by signal, each times the weight of its row (1 if
+    there is none)."""
     sign = F.when(F.col(signal).isin(positive), step).when(F.col(signal).isin(negative), -step).otherwise(0.0)
-    return df.groupBy(target).agg(F.sum(sign).alias("weight"))
+    own = F.lit(1.0) if weight is None else F.coalesce(weight, F.lit(1.0))
+    return df.groupBy(target).agg(F.bround(F.sum(sign * own), 4).alias("weight"))
 
 
 def assign_scaled(unit: Column, experiment: str, variants: list[str]) -> Column:
@@ -190,12 +193,23 @@ def correlation_weights(df: DataFrame, features: list[str], label: str) -> DataF
     return one.select(F.explode(pairs).alias("p")).select("p.*")
 
 
+def below_counts(df: DataFrame, key: str, count: str, ranges: int = 256) -> DataFrame:
+    """`df` with `below`: the sum of `count` over smaller values of `key`, in ranges of it,
+    each summed for itself and moved by what the ranges before it hold."""
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 100 * ranges).alias("__cuts"))  # one row
+    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(key)))).drop("__cuts")
+    sums = ranged.groupBy("__range").agg(F.sum(count).alias("__n"))  # at most `ranges` rows
+    before = sums.select("__range", F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.coalesce(F.sum(count).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn("below", F.col("__own") + F.col("__before")).drop("__own", "__before", "__range")
+
+
 def pairwise_accuracy(df: DataFrame, score: str, label: str) -> DataFrame:
     """Share of (positive, negative) pairs whose positive scores higher; ties are wrong.
     Counts per distinct score replace the pairs."""
     g = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy().orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = g.withColumn("below", below).agg(F.sum(F.col("p") * F.col("below")).alias("good"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    t = below_counts(g, "s", "q").agg(F.sum(F.col("p") * F.col("below")).alias("good"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     pairs = F.col("p") * F.col("q")
     return t.select(F.when(pairs > 0, F.bround(F.col("good") / pairs, 4)).otherwise(F.lit(0.0)).alias("accuracy"), pairs.alias("pairs"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.text import PRIORITY_BANDS, band
+from talus.operators.graph import cut
 
 
 def row_numbers(df: DataFrame, order: list[Column], partition: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -14,29 +15,26 @@ def row_numbers(df: DataFrame, order: list[Column], partition: list[str] | None
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(*order)))
 
 
-def global_rank(df: DataFrame, order: list[Column], key: Column, buckets: int = 4096, name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], buckets: int = 256, name: str = "rank") -> DataFrame:
     """Contiguous numbers over a table of any size, ties by the rest of `order`.
 
-    `key` is a number that the first sort column follows downwards; rows are cut in ranges
-    of it by approximate quantiles, ranked in each range, and moved by what lies in the
-    ranges before. Any cuts give the same ranks; only a single value of `key` stays together.
+    Rows are range-partitioned by the whole of `order`, so that rows of one first value split
+    as well, numbered in each part, and
+    moved by what lies in the parts before. The parts are written once, in the checkpoint
+    folder; what is counted and what is numbered are the same rows.
     """
-    keyed = df.withColumn("__key", key.cast("double"))
-    shares = [i / buckets for i in range(1, buckets)] if buckets > 1 else [0.5]
-    cuts = keyed.agg(F.array_sort(F.array_distinct(F.percentile_approx("__key", F.array(*[F.lit(s) for s in shares]), 10 * buckets))).alias("__cuts"))
-    place = F.size(F.filter("__cuts", lambda c: c > F.col("__key")))
-    ranged = keyed.crossJoin(F.broadcast(cuts)).withColumn("__range", F.when(F.col("__key").isNull(), F.lit(buckets + 1)).otherwise(place)).drop("__cuts", "__key")
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy().orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` + 2 rows
-    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return ranged.withColumn("__own", own).join(F.broadcast(starts), "__range").withColumn(name, F.col("__own") + F.col("__start")).drop("__own", "__start", "__range")
+    parts = cut(df.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # at most `buckets` rows
+    before = Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__own", own).join(F.broadcast(starts), "__part").withColumn(name, F.col("__own") + F.col("__start")).drop("__own", "__start", "__part")
 
 
 def rank_jobs(df: DataFrame, score: str = "total_score", date: str = "fetched_date", id_col: str = "id", buckets: int = 64) -> DataFrame:
     """Score down (null as 0), date down (nulls last), id down; rank and priority band."""
     value = F.coalesce(F.col(score), F.lit(0))
-    ranked = global_rank(df, [value.desc(), F.desc_nulls_last(date), F.desc(id_col)], value, buckets)
+    ranked = global_rank(df, [value.desc(), F.desc_nulls_last(date), F.desc(id_col)], buckets)
     return ranked.withColumn("band", band(F.col(score), PRIORITY_BANDS))
 
 

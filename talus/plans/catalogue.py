@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.plans import insight, postings, ranked, reports, views
+from talus.plans import compose, insight, postings, ranked, reports, views
 
-_ALL = ranked.QUERIES | reports.QUERIES | postings.QUERIES | insight.QUERIES | views.QUERIES
+_ALL = ranked.QUERIES | reports.QUERIES | postings.QUERIES | insight.QUERIES | views.QUERIES | compose.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

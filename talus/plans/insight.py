@@ -36,17 +36,19 @@ TENURE = """SELECT c_custkey, ((2010 + c_custkey % 7 - 2000 - c_custkey % 10) *
 
 
 def memory_topk(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    q = c.where("turn = 1 and conv_id % 10 = 0").select(F.col("conv_id").alias("query_id"), F.lit("t").alias("tenant"), "text")
-    m = c.where("turn = 0").select(F.col("conv_id").alias("memory_id"), F.lit("t").alias("tenant"), "text", F.when(F.col("conv_id") % 7 == 0, F.lit("2024-01-01")).cast("timestamp").alias("expires_at"))
+    """Turns of every hundredth conversation as queries against all turns of all."""
+    c = read(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    q = c.where("conv_id % 100 = 0").select(F.col("id").alias("query_id"), F.lit("t").alias("tenant"), "text")
+    m = c.select(F.col("id").alias("memory_id"), F.lit("t").alias("tenant"), "text", F.when(F.col("conv_id") % 7 == 0, F.lit("2024-01-01")).cast("timestamp").alias("expires_at"))
     return intelligence.remember(q, m, "tenant", F.lit("2024-06-01").cast("timestamp"), 3, 0.05).select("query_id", "memory_id", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
 MEMORY = """
-WITH w AS (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS token FROM conversations WHERE (turn = 1 AND conv_id % 10 = 0) OR (turn = 0 AND conv_id % 7 <> 0)),
-t AS (SELECT conv_id, turn, token, count(*) AS tf FROM w WHERE token <> '' GROUP BY 1, 2, 3), n AS (SELECT conv_id, turn, sqrt(sum(tf * tf)) AS l FROM t GROUP BY 1, 2),
-d AS (SELECT a.conv_id AS query_id, b.conv_id AS memory_id, sum(a.tf * b.tf) AS d FROM t a JOIN t b ON a.turn = 1 AND b.turn = 0 AND a.token = b.token GROUP BY 1, 2),
-s AS (SELECT query_id, memory_id, round_even(d / (x.l * y.l), 6) AS similarity FROM d JOIN n x ON x.turn = 1 AND x.conv_id = query_id JOIN n y ON y.turn = 0 AND y.conv_id = memory_id)
+WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id % 100 = 0 AS q, conv_id % 7 <> 0 AS m, text FROM conversations),
+w AS (SELECT id, q, m, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS token FROM c),
+t AS (SELECT id, q, m, token, count(*) AS tf FROM w WHERE token <> '' GROUP BY ALL), n AS (SELECT id, sqrt(sum(tf * tf)) AS l FROM t GROUP BY 1),
+d AS (SELECT a.id AS query_id, b.id AS memory_id, sum(a.tf * b.tf) AS d FROM t a JOIN t b ON a.q AND b.m AND a.token = b.token GROUP BY 1, 2),
+s AS (SELECT query_id, memory_id, round_even(d / (x.l * y.l), 6) AS similarity FROM d JOIN n x ON x.id = query_id JOIN n y ON y.id = memory_id)
 SELECT * FROM (SELECT query_id, memory_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS rank FROM s WHERE similarity >= 0.05) WHERE rank <= 3"""
 
 

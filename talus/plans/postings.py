@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import gates, scoring, text
 from talus.operators import language, merge, ranking, vectors
+from talus.operators.lookup import small
 from talus.plans.ranked import read
 from talus.sources import postings as sources
 
@@ -41,14 +42,28 @@ FROM s"""
 
 
 def language_id(spark, sf_dir):
-    """Accuracy of the trigram profile model on the documents it was not fitted on."""
+    """The language of every document, by a profile fitted on the other half of them."""
     docs = read(spark, sf_dir, "documents")
-    model = language.fit_profiles(docs.where("doc_id % 2 = 0"), "text", "lang")
-    found = language.detect(docs.where("doc_id % 2 = 1"), model, "doc_id", "text")
-    joined = docs.select("doc_id", "lang").join(found, "doc_id")
+    out = None
+    for half in (0, 1):
+        model = language.fit_profiles(docs.where(F.col("doc_id") % 2 == 1 - half), "text", "lang")
+        found = language.detect(docs.where(F.col("doc_id") % 2 == half), model, "doc_id", "text")
+        out = found if out is None else out.unionByName(found)
+    joined = docs.select("doc_id", "lang").join(out, "doc_id")
     return joined.select("doc_id", "lang", F.col("language").alias("detected"), language.risk(F.col("language")).alias("risk"))
 
 
+LANGUAGE = r"""
+WITH c AS (SELECT doc_id, lang, doc_id % 2 AS half, text, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents),
+g AS (SELECT doc_id, lang, half, text, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) AS gram FROM c),
+n AS (SELECT half, lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL), s AS (SELECT half, lang, sum(n) AS total FROM n GROUP BY ALL),
+p AS (SELECT n.half, n.lang, gram, ln(n * 400 * 10 / total::DOUBLE + 1) AS weight FROM n JOIN s ON n.half = s.half AND n.lang = s.lang
+  QUALIFY row_number() OVER (PARTITION BY n.half, n.lang ORDER BY n DESC, gram) <= 400),
+x AS (SELECT doc_id, p.lang AS detected, round(sum(weight), 9) AS s FROM g JOIN p ON p.half = 1 - g.half AND p.gram = g.gram WHERE length(trim(g.text)) >= 50 GROUP BY ALL),
+b AS (SELECT doc_id, detected FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, detected DESC) = 1)
+SELECT d.doc_id, lang, coalesce(detected, 'Unknown') AS detected, CASE WHEN coalesce(detected, 'Unknown') IN ('en', 'Unknown') THEN 'LOW' ELSE 'HIGH' END AS risk FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id"""
+
+
 def ats_normalise(spark, sf_dir):
     """Customers and orders as raw ATS objects, read back through the normaliser."""
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -68,7 +83,7 @@ def bulk_similarity(spark, sf_dir):
     """Similarity of every vector to the centroid of its label."""
     e = read(spark, sf_dir, "embeddings")
     c = vectors.centroids(e, "label", "embedding")
-    return e.join(F.broadcast(c), "label").select("vec_id", F.bround(vectors.cosine(F.col("embedding"), F.col("centroid")), 5).alias("similarity"))
+    return e.join(small(c), "label").select("vec_id", F.bround(vectors.cosine(F.col("embedding"), F.col("centroid")), 5).alias("similarity"))
 
 
 BULK = """
@@ -77,15 +92,37 @@ p AS (SELECT label, unnest(range(0, 64)) AS i, unnest(v) AS x FROM u), m AS (SEL
 SELECT vec_id, round_even(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 5) AS similarity FROM u JOIN c USING (label)"""
 
 
+#: Locations as postings write them; customers have one each.
+LOCATIONS = [
+    "Milan, Italy", "Remote", "New York", "Berlin", "Tilburg", "Remote - Europe", "Anywhere, US", "Padova", "Riga", "", "Toronto (hybrid)", "Breda, Nederland",
+    "Home office, Paris", "Bengaluru", "Valletta", "Atlantis", "Remote, Athens", "London or Rotterdam",
+]
+
+
 def geography_report(spark, sf_dir):
-    """Suppliers by nation name: strict and coarse geography gates."""
-    s = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    place = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("Remote, "), F.initcap("n_name"))).when(F.col("s_suppkey") % 4 == 1, "Milan").when(F.col("s_suppkey") % 4 == 2, "Remote").otherwise(F.col("n_name"))
-    g = s.select("s_suppkey", gates.geography(place).alias("g"), gates.outside_focus(place, ["it", "nl"]).alias("away"), gates.geography(place, ["it", "nl"]).alias("f"))
-    return g.select("s_suppkey", F.col("g.ok").alias("ok"), F.col("g.reason").alias("reason"), F.col("f.ok").alias("focus_ok"), F.col("f.reason").alias("focus_reason"), "away")
+    """Customers at locations by key: strict and coarse geography gates, wide and in focus."""
+    c = read(spark, sf_dir, "customer")
+    place = F.element_at(F.array(*[F.lit(x) for x in LOCATIONS]), (F.col("c_custkey") % len(LOCATIONS)).cast("int") + 1)
+    rows = c.select("c_custkey", place.alias("place"))
+    g = rows.select("c_custkey", gates.geography(F.col("place")).alias("g"), gates.outside_focus(F.col("place"), ["it", "nl"]).alias("away"), gates.geography(F.col("place"), ["it", "nl"]).alias("f"))
+    return g.select("c_custkey", F.col("g.ok").alias("ok"), F.col("g.reason").alias("reason"), F.col("f.ok").alias("focus_ok"), F.col("f.reason").alias("focus_reason"), "away")
+
+
+def _matches(words: str) -> str:
+    return f"regexp_matches(place, '\\b(?:{words.replace(chr(39), chr(39) * 2)})\\b', 'i')"
+
 
+_OTHERS = _matches("|".join(v for k, v in gates.PLACES.items() if k not in ("it", "nl")))
+_FOCUS, _AWAY, _ANYWHERE = _matches(gates.PLACES["it"] + "|" + gates.PLACES["nl"]), _matches(gates.NOT_EUROPE), _matches("anywhere|worldwide")
+_REMOTE, _EUROPE = _matches(gates.GENERIC_REMOTE), _matches(gates.EUROPE)
+GEOGRAPHY = f"""
+WITH p AS (SELECT c_custkey, [{", ".join(f"'{x}'" for x in LOCATIONS)}][c_custkey % {len(LOCATIONS)} + 1] AS place FROM customer),
+r AS (SELECT c_custkey, place, CASE WHEN place = '' THEN 'no_location' WHEN {_AWAY} AND {_ANYWHERE} THEN 'remote_worldwide' WHEN {_AWAY} THEN 'non_eu' WHEN {_EUROPE} THEN 'eu' ELSE 'unknown_reject' END AS reason,
+  CASE WHEN place = '' THEN 'no_location' WHEN {_FOCUS} THEN 'in_focus' WHEN {_REMOTE} AND NOT {_OTHERS} AND NOT {_AWAY} THEN 'remote_in_focus' ELSE 'outside_focus' END AS focus_reason,
+  place <> '' AND NOT {_FOCUS} AND ({_OTHERS} OR ({_AWAY} AND NOT {_REMOTE})) AS away FROM p)
+SELECT c_custkey, reason NOT IN ('non_eu', 'unknown_reject') AS ok, reason, focus_reason <> 'outside_focus' AS focus_ok, focus_reason, away FROM r"""
 
 QUERIES = {
-    "posting_pipeline": (posting_pipeline, POSTING_PIPELINE), "language_id": (language_id, None), "ats_normalise": (ats_normalise, ATS), "bulk_similarity": (bulk_similarity, BULK),
-    "geography_report": (geography_report, None),
+    "posting_pipeline": (posting_pipeline, POSTING_PIPELINE), "language_id": (language_id, LANGUAGE), "ats_normalise": (ats_normalise, ATS), "bulk_similarity": (bulk_similarity, BULK),
+    "geography_report": (geography_report, GEOGRAPHY),
 }

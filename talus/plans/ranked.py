@@ -129,7 +129,7 @@ EIGHT = f"WITH {METRIC_SQL} SELECT job_id, mba_fit, ai_dt_fit, brand, interview_
 def weekly_plan(spark, sf_dir):
     rows = scoring.composite(scoring.eight_metrics(_components(spark, sf_dir)))
     order = [F.desc("composite"), F.desc("interview_prob"), F.desc("total_score"), F.asc("job_id")]
-    ranked = ranking.global_rank(rows, order, F.col("composite"), buckets=16)
+    ranked = ranking.global_rank(rows, order, buckets=16)
     return ranking.plan_slots(ranked).select("job_id", "composite", F.col("place").cast("long").alias("place"), "slot")
 
 
@@ -209,12 +209,12 @@ LABEL_SQL = """SELECT page_id, CASE WHEN contains(lower(url), 'spam') THEN 'spam
 
 
 def pii_mask_email(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
+    docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.sha2(text.mask_email(F.col("text")), 256).alias("masked_sha256"))
 
 
 EMAIL_SQL = r"""SELECT doc_id, sha256(regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+\-]*(@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})', '\1***\2', 'g')) AS masked_sha256
-FROM documents WHERE contains(text, '@')"""
+FROM documents"""
 
 
 def pii_mask_phone(spark, sf_dir):
@@ -222,6 +222,13 @@ def pii_mask_phone(spark, sf_dir):
     return docs.select("doc_id", F.sha2(text.mask_phone(text.mask_email(F.col("text"))), 256).alias("masked_sha256"))
 
 
+# Each match is cut into its pieces of digits to find its last two; matches are put back from the last piece to the first.
+PHONE_SQL = r"""
+WITH m AS (SELECT doc_id, regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+\-]*(@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})', '\1***\2', 'g') AS t FROM documents),
+p AS (SELECT doc_id, regexp_split_to_array(t, '\+?[0-9][0-9\s().\-]{6,}[0-9]') AS parts, regexp_extract_all(t, '\+?[0-9][0-9\s().\-]{6,}[0-9]') AS hits FROM m)
+SELECT doc_id, sha256(array_to_string(list_transform(parts, lambda x, i: x || CASE WHEN i <= len(hits) THEN '***' || right(regexp_replace(hits[i], '[^0-9]', '', 'g'), 2) ELSE '' END), '')) AS masked_sha256 FROM p"""
+
+
 def skill_mentions(spark, sf_dir):
     return lookup.term_mentions(read(spark, sf_dir, "documents"), "doc_id", "text", ["license", "that", "idiot", "$$$"])
 
@@ -274,13 +281,13 @@ GATE_SQL = """SELECT doc_id, doc_id % 5 <> 0 AS language_ok, CASE WHEN doc_id %
 
 def prefilter_reasons(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    key = text.natural_key(F.substring("text", 1, 40), F.col("lang"))
+    key = F.sha2(text.natural_key(F.col("text"), F.col("lang")), 256)
     reasons = [("expired", F.col("doc_id") % 17 == 0), ("geo_rejected", F.col("lang") == "es"), ("role_rejected", F.col("n_chars") < 200), ("seniority_rejected", F.col("source") == "src3")]
     return lookup.prefilter(docs, key, "doc_id", reasons).select("doc_id", "reason")
 
 
 PREFILTER_SQL = """
-WITH k AS (SELECT doc_id, trim(regexp_replace(lower(text[1:40]), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || '|' || lang AS key, doc_id % 17 = 0 AS expired,
+WITH k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || '|' || lang) AS key, doc_id % 17 = 0 AS expired,
   CASE WHEN lang = 'es' THEN 'geo_rejected' WHEN n_chars < 200 THEN 'role_rejected' WHEN source = 'src3' THEN 'seniority_rejected' END AS other FROM documents),
 f AS (SELECT key, min(doc_id) AS first_kept FROM k WHERE NOT expired AND other IS NULL GROUP BY key)
 SELECT k.doc_id, CASE WHEN k.expired THEN 'expired' WHEN coalesce(k.doc_id > f.first_kept, false) THEN 'duplicate' ELSE coalesce(k.other, 'kept') END AS reason
@@ -302,7 +309,7 @@ QUERIES = {
     "rank_bands": (rank_bands, RANK_BANDS), "topk_per_group": (topk_per_group, TOPK), "latest_per_key": (latest_order, LATEST), "bucket_order_export": (bucket_order_export, BUCKETS),
     "dashboard_order": (dashboard_order, DASHBOARD), "eight_metrics": (eight_metrics, EIGHT), "weekly_plan": (weekly_plan, WEEKLY), "recommend_v2": (recommend_v2, RECOMMEND2),
     "title_classify": (title_classify, TITLE_SQL), "keyword_categories": (keyword_categories, KEYWORD_SQL), "lookup_join_default": (lookup_join_default, LOOKUP_SQL),
-    "first_containment_label": (first_containment_label, LABEL_SQL), "pii_mask_email": (pii_mask_email, EMAIL_SQL), "pii_mask_phone": (pii_mask_phone, None),
+    "first_containment_label": (first_containment_label, LABEL_SQL), "pii_mask_email": (pii_mask_email, EMAIL_SQL), "pii_mask_phone": (pii_mask_phone, PHONE_SQL),
     "skill_mentions": (skill_mentions, MENTION_SQL), "token_estimate": (token_estimate, TOKEN_SQL), "html_strip": (html_strip, STRIP_SQL), "relative_date": (relative_date, DATE_SQL),
     "gate_report": (gate_report, GATE_SQL), "prefilter_reasons": (prefilter_reasons, PREFILTER_SQL), "opportunity_score": (opportunity_score, OPPORTUNITY_SQL),
 }

@@ -16,7 +16,8 @@ def one(spark, column, **values):
     [
         ("Italian required for this role.", False, "language_required"), ("Italian (fluent) is a plus, but not required.", True, None), ("Fluent German and English.", False, "fluent_language"),
         ("Native English speaker", True, None), ("You are a native speaker of English", True, None), ("native speaker wanted", False, "native_speaker"), ("", True, None), ("abcd", True, None), (None, True, None),
-        ("German required" + " " * 60 + "is a plus here", True, None), ("German required" + " " * 81 + "is a plus", False, "language_required"), ("Dutch-speaking role", False, "language_speaking_role"),
+        ("German required " + "x" * 60 + " is a plus here", True, None), ("German required " + "x" * 80 + " is a plus", False, "language_required"),
+        ("German required" + " " * 81 + "is a plus", True, None), ("Dutch-speaking role", False, "language_speaking_role"),
         ("C1 French", False, "c1c2_language"), ("French is nice to have", True, None),
     ],
 )
@@ -84,3 +85,19 @@ def test_scores(spark):
     assert scoring.composite(only).first()["composite"] == 30.0
     tiers = spark.createDataFrame([(65.0,), (64.99,), (50.0,), (49.99,)], ["interview_prob"]).select((F.col("interview_prob") / 0.3).alias("interview_prob"), *[F.lit(0).alias(c) for c in list(scoring.COMPOSITE)[1:]])
     assert [r["tier"] for r in scoring.composite(tiers).collect()] == [1, 2, 2, 3]
+
+
+def test_gates_read_text_behind_markup(spark):
+    rows = [
+        (1, "<p><strong>Italian</strong>&nbsp;(fluent)</p>"), (2, "<b>Italian</b>&nbsp;<i>required</i>"), (3, "Italian&nbsp;language required"), (4, "<b>Italian</b> is a <i>plus</i>"),
+        (5, "<li>No&nbsp;visa</li> <li>sponsorship</li>"), (6, None), (7, ""),
+    ]
+    got = {r["i"]: (r["l"], r["v"]) for r in spark.createDataFrame(rows, "i int, t string").select("i", gates.language_gate("t")["ok"].alias("l"), gates.visa_gate("t")["ok"].alias("v")).collect()}
+    assert got == {1: (False, True), 2: (False, True), 3: (False, True), 4: (True, True), 5: (True, False), 6: (True, True), 7: (True, True)}
+
+
+def test_every_country_may_be_a_focus(spark):
+    frame = spark.createDataFrame([(x,) for x in ("Athens, Greece", "Tallinn", "Padova", "Breda", "Remote", "Remote, Riga")], "place string")
+    greek = {r[0]: r[1] for r in frame.select("place", gates.geography(F.col("place"), ["gr", "ee"])["ok"]).collect()}
+    assert greek == {"Athens, Greece": True, "Tallinn": True, "Padova": False, "Breda": False, "Remote": True, "Remote, Riga": False}
+    assert {r[0] for r in frame.where(~gates.outside_focus(F.col("place"), ["it", "nl"])).collect()} == {"Padova", "Breda", "Remote"}

@@ -2,9 +2,10 @@ import datetime as dt
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from talus.operators import graph, language, lookup, merge, metrics, ranking, vectors
+from talus.operators import compose, graph, language, lookup, merge, metrics, ranking, vectors, views
 from talus.sources import postings
 
 
@@ -131,3 +132,44 @@ def test_top_k_of_more_queries_than_a_block(spark):
     for i in range(0, n, 37):
         s = np.round(v @ v[i], 6)
         assert [got[i][k] for k in (1, 2, 3)] == sorted((j for j in range(n) if j != i), key=lambda j: (-s[j], j))[:3]
+
+
+def test_graph_rounds_are_no_silent_end(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(30)], "src int, dst int, cost double")
+    start = spark.createDataFrame([(0,)], "src int")
+    assert graph.shortest_paths(chain, start).where("node = 30 and cost = 30").count() == 1
+    for run in (lambda: graph.shortest_paths(chain, start, rounds=5), lambda: graph.closure(chain, rounds=5), lambda: graph.levels(chain, rounds=5)):
+        with pytest.raises(RuntimeError, match="not done"):
+            run()
+
+
+def test_signature_counts_repeated_rows(spark):
+    one = spark.createDataFrame([("a", "b"), ("c", "d")], "x string, y string")
+    mark = lambda df: views.batch_signature(df, ["x", "y"]).first()["signature"]
+    assert mark(one) == mark(one.orderBy("y").repartition(3))
+    assert len({mark(one), mark(one.unionByName(one)), mark(one.unionByName(one).unionByName(one)), mark(one.where("false"))}) == 4
+
+
+def test_large_dictionaries_join_by_grams(spark, monkeypatch):
+    texts = ["senior data analyst", "ai", "data", "planner", "an", "xyz", "aanalyst"]
+    terms = ["analyst", "data", "ai", "an", "plan", "a", "senior data"]
+    frames = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(t,) for t in [*terms, ""]], "p string")
+    want = sorted((t, p) for t in texts for p in terms if p in t)
+    for bound in (50_000, 2):
+        monkeypatch.setattr(lookup, "BROADCAST_ROWS", bound)
+        assert sorted((r["t"], r["p"]) for r in lookup.contained_pairs(frames[0], "t", frames[1], "p").collect()) == want
+
+
+def test_ranks_of_one_value_are_split_and_whole(spark):
+    rows = spark.range(5000).select(F.col("id"), F.lit(7).alias("score"))
+    ranked = ranking.global_rank(rows, [F.desc("score"), F.asc("id")], 8)
+    assert ranked.where("rank <> id + 1").count() == 0 and ranked.count() == 5000
+
+
+def test_acquisition_and_publishing_on_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(1, "a", "u", 0), (2, "a", "v", 0), (3, "b", "u", 0), (4, None, None, 0), (5, None, None, 0), (6, "c", "w", 1)], "id int, h string, u string, bad int")
+    out = compose.acquire(rows, [("bad", F.col("bad") == 1)], [("content", F.col("h")), ("address", F.col("u"))], "id")
+    assert {r["id"]: r["outcome"] for r in out.collect()} == {1: "inserted", 2: "content", 3: "address", 4: "inserted", 5: "inserted", 6: "bad"}
+    old = spark.createDataFrame([(1, "k", "x")], "event_id int, kind string, key string")
+    new = spark.createDataFrame([(1, "k", "y"), (2, "k", "x"), (3, "k", "z"), (4, "k", "z"), (5, "k", None), (6, "k", None), (6, "k", None)], "event_id int, kind string, key string")
+    assert sorted(r["event_id"] for r in compose.publish_once(new, old, "event_id", "kind", "key", "event_id").collect()) == [3, 5, 6]
