@@ -116,7 +116,7 @@ def _small_slots(docs: DataFrame, weights: DataFrame, parts: DataFrame, table: D
     sizes = docs.groupBy(F.col(source).alias("name")).agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("long").alias("blocks"))
     blocks = sizes.join(shares, F.col("name").eqNullSafe(F.col("source"))).select("name", "weight", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
     due = SharedTable(blocks.withColumn("due", (F.col("b") + 1) / F.col("weight")), "small-blocks").df
-    ranked = global_rank(due, [F.asc("due"), F.asc_nulls_first("name"), F.asc("b")], -F.col("due"), buckets=min(4096, 1 + count_rows(due) // 4096), name="place")
+    ranked = global_rank(due, [F.asc("due"), F.asc_nulls_first("name"), F.asc("b")], buckets=min(4096, 1 + count_rows(due) // 4096), name="place")
     own = F.broadcast(table.where("small").select(F.col("k"), F.col("slot").alias("at"), "parts"))
     placed = ranked.crossJoin(F.broadcast(parts.where("small").select(F.col("parts").alias("n")))).withColumn("turn", F.floor((F.col("place") - 1) / F.col("n")))  # one row
     placed = placed.join(own, F.pmod(F.col("place") - 1, F.col("n")) == F.col("k"))
