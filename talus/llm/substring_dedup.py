@@ -114,7 +114,8 @@ def _anchor_blobs(window: int, gram: int, buckets: int):
         rows: list[tuple] = []
         for lo in range(0, int(several.sum()), 1 << 16):
             part = a[several][lo : lo + (1 << 16)]
-            rows.append((int(_bucket(part[:1], buckets)[0][0]), True, pack(np.diff(part, prepend=0), ids[several][lo : lo + (1 << 16)])))
+            own = ids[several][lo : lo + (1 << 16)]  # any bucket will do: not the one that every task's first shared anchor names
+            rows.append((int(_bucket(own[:1] ^ part[:1], buckets)[0][0]), True, pack(np.diff(part, prepend=0), own)))
         stand, ids = a[cut[:-1]], ids[cut[:-1]]
         bucket = _bucket(stand, buckets)[0]
         order = np.argsort(bucket, kind="stable")
@@ -258,7 +259,7 @@ def _contexts(window: int, gram: int, buckets: int, hot, most: int):
         for i in np.flatnonzero(wide).tolist():
             places = pack(doc[cut[i] : cut[i + 1]], mark[cut[i] : cut[i + 1]], first[cut[i] : cut[i + 1]])
             rids[i] = hashlib.blake2b(words[i] + b"\n" + places, digest_size=16).digest()
-            rows.append((int(bucket[i]), rids[i], None, None, places, None))
+            rows.append((int.from_bytes(rids[i][:8], "little") % buckets, rids[i], None, None, places, None))  # not the context's own bucket, which may be hot
         edge = _cuts(bucket)
         coder = zstandard.ZstdCompressor(level=3)
         for lo, hi in zip(edge.tolist(), edge[1:].tolist()):
