@@ -19,8 +19,9 @@ from talus.llm.common import spread, text_chunks, word_hashes, words_of
 
 #: Words in a passage, and buckets of hashed words among the features.
 PASSAGE_WORDS, BUCKETS = 64, 48
-#: Labelled documents used for fitting, at most: the bound of what the driver holds.
-FIT_ROWS = 4800
+#: Labelled documents used for fitting, and passages of each of them, spread over its whole
+#: text, at most: together the bound of what the driver holds (about 80 MB of features).
+FIT_ROWS, FIT_PASSAGES = 4800, 64
 HIDDEN, GATES, EPOCHS, BATCH, RATE, DECAY = 24, 12, 24, 200, 0.01, 1e-4
 THRESHOLD = 0.7
 
@@ -168,9 +169,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_passages: int = FIT_PASSAGES) -> Model:
     """Fit on at most `fit_rows` labelled documents outside the held-out fold, a third of them
-    of label 0 where there are as many, chosen by a hash of the id. Labels other than 0 and 1 are
+    of label 0 where there are as many, chosen by a hash of the id, and on at most
+    `fit_passages` passages of each, at equal distances. Scores cover all passages. Labels other than 0 and 1 are
     ignored; an id labelled more than once takes its greatest label. Without any labelled
     document the model scores 0.5 throughout."""
     named = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).alias("__y"))
@@ -183,10 +185,9 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", te
         for c in text_chunks(batches, text):
             x, doc = passages(c.data, c.offsets)
             ids, y = (c.batch.column(c.batch.schema.get_field_index(k)).take(pa.array(range(c.n))) for k in (id_col, "__y"))
-            for i in range(c.n):
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, 1).cast(pa.string()), y.slice(i, 1).cast(pa.int32()), pa.array([x[doc == i].tobytes()], pa.binary())], ["id", "y", "x"]
-                )
+            edge = np.searchsorted(doc, np.arange(c.n + 1))
+            bags = [x[a + np.unique(np.linspace(0, b - a - 1, min(b - a, fit_passages)).astype(np.int64))].tobytes() for a, b in zip(edge, edge[1:])]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.string()), y.cast(pa.int32()), pa.array(bags, pa.binary())], ["id", "y", "x"])
 
     got = sorted(rows.mapInArrow(run, "id string, y int, x binary").dropDuplicates(["id"]).limit(fit_rows).collect(), key=lambda r: r["id"])
     if not got:

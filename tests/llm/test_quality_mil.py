@@ -56,3 +56,32 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert q.quality_scores(spark.createDataFrame([], frame.schema), labels).count() == 0
     none = q.quality_scores(frame, labels.where("false")).collect()
     assert {r["score"] for r in none} == {0.5}
+
+
+def test_scores_match_a_naive_forward_pass():
+    rng = np.random.default_rng(4)
+    texts = ["", "One, two. " * 90, "BUY!! $$$ " * 40, "x", "Plain words here and there\n" * 70]
+    x, doc = q.passages(*chunk(texts))
+    model = q.fit(np.concatenate([x] * 3), np.concatenate([doc, doc + 5, doc + 10]), np.array([0, 1, 0, 0, 1] * 3, float))
+    score, weight = q.score_passages(model, x, doc)
+    p = {k: v.astype(float) for k, v in model.weights.items()}
+    for i in range(len(texts)):
+        codes, gates = [], []
+        for row in x[doc == i]:
+            h = np.tanh(np.clip((row - model.mean) / model.scale, -6, 6) @ p["w1"] + p["b1"])
+            codes.append(h)
+            gates.append(p["g"] @ (np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))))
+        a = np.exp(np.array(gates) - max(gates))
+        a /= a.sum()
+        z = sum(k * h for k, h in zip(a, codes))
+        np.testing.assert_allclose(score[i], 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))), rtol=1e-3, atol=1e-4)
+        np.testing.assert_allclose(weight[doc == i], a, rtol=1e-3, atol=1e-4)
+
+
+def test_fit_takes_passages_from_the_whole_text(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(q, "fit", lambda x, doc, y: seen.update(n=np.bincount(doc), x=x) or "model")
+    docs = spark.createDataFrame([(1, "word " * 64 * 500 + "last! $$$ " * 20), (3, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert q.fit_on_labels(docs, labels, fit_passages=10) == "model"
+    assert sorted(seen["n"].tolist()) == [1, 10]
