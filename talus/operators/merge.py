@@ -126,6 +126,9 @@ def scoped(df: DataFrame, tenant, column: str = "tenant_id") -> DataFrame:
 
 
 def rank_in_partitions(df: DataFrame, key: Column, seq: str, partitions: int) -> DataFrame:
-    """(…, partition, offset): contiguous places by `seq` within the key's partition."""
-    w = Window.partitionBy("partition").orderBy(seq)
-    return df.withColumn("partition", key % partitions).withColumn("offset", F.row_number().over(w) - 1)
+    """(…, partition, offset): contiguous places by `seq` within the key's partition, in more
+    tasks than there are partitions."""
+    from talus.operators.ranking import global_rank
+
+    placed = global_rank(df.withColumn("partition", key % partitions), [F.asc(seq)], 64, "offset", "partition")
+    return placed.withColumn("offset", F.col("offset") - 1)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talus.operators.lookup import small
+
 from talus.functions.text import hash_bucket, percent
 
 
@@ -122,7 +124,7 @@ def cost_rollup(df: DataFrame, dimensions: list[str], cost: str, tokens: str) ->
 def quota_check(usage: DataFrame, quotas: DataFrame, keys: list[str], amount: str) -> DataFrame:
     """(keys, used, limit, allowed): allowed without a limit or below it."""
     used = usage.groupBy(*keys).agg(F.sum(amount).alias("used"))
-    return used.join(F.broadcast(quotas), keys, "left").withColumn("allowed", F.col("limit").isNull() | (F.col("used") < F.col("limit")))
+    return used.join(small(quotas), keys, "left").withColumn("allowed", F.col("limit").isNull() | (F.col("used") < F.col("limit")))
 
 
 def running_budget(df: DataFrame, key: str, order: list[str], amount: str, budget: float, warn: float = 0.8) -> DataFrame:
@@ -161,7 +163,7 @@ def assign_modulo(unit: Column, experiment: str, variants: list[str]) -> Column:
 
 def rollout(unit: Column, flags: DataFrame, df: DataFrame, name: str = "unit") -> DataFrame:
     """(unit, flag, enabled): kill switch, then override, then percentage, then default."""
-    rows = df.select(unit.cast("string").alias(name)).crossJoin(F.broadcast(flags))
+    rows = df.select(unit.cast("string").alias(name)).crossJoin(small(flags))
     inside = (hash_bucket(F.col("flag"), F.col(name)) % 100) < F.col("rollout")
     return rows.select(name, "flag", F.when(F.col("killed"), F.lit(False)).otherwise(F.coalesce("forced", inside)).alias("enabled"))
 

@@ -15,20 +15,24 @@ def row_numbers(df: DataFrame, order: list[Column], partition: list[str] | None
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(*order)))
 
 
-def global_rank(df: DataFrame, order: list[Column], buckets: int = 256, name: str = "rank") -> DataFrame:
-    """Contiguous numbers over a table of any size, ties by the rest of `order`.
+def global_rank(df: DataFrame, order: list[Column], buckets: int = 256, name: str = "rank", within: str | None = None) -> DataFrame:
+    """Contiguous numbers over a table of any size, or over each value of the column `within`
+    however many rows it has, ties by the rest of `order`.
 
     Rows are range-partitioned by the whole of `order`, so that rows of one first value split
     as well, numbered in each part, and
     moved by what lies in the parts before. The parts are written once, in the checkpoint
     folder; what is counted and what is numbered are the same rows.
     """
-    parts = cut(df.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id()))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # at most `buckets` rows
-    before = Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return parts.withColumn("__own", own).join(F.broadcast(starts), "__part").withColumn(name, F.col("__own") + F.col("__start")).drop("__own", "__start", "__part")
+    group = [] if within is None else [within]
+    parts = cut(df.repartitionByRange(buckets, *group, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows of a group
+    starts = sizes.select("__part", *group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order))
+    # Without groups there are at most `buckets` rows to broadcast.
+    joined = parts.withColumn("__own", own).join(F.broadcast(starts) if within is None else starts, ["__part", *group])
+    return joined.withColumn(name, F.col("__own") + F.col("__start")).drop("__own", "__start", "__part")
 
 
 def rank_jobs(df: DataFrame, score: str = "total_score", date: str = "fetched_date", id_col: str = "id", buckets: int = 64) -> DataFrame:

@@ -543,6 +543,89 @@ MBA = f"""WITH d AS (SELECT doc_id, lang, text || ' ' || [{", ".join(f"'{x}'" fo
 SELECT doc_id, least(15, (lang = 'fr')::INT * 3 + {" + ".join(f"{_sql_has('t', p)}::INT * {n}" for n, p in scoring.MBA_PHRASES)})::BIGINT AS points FROM d"""
 
 
+def visa_points(spark, sf_dir):
+    """Visa phrases and places of postings, raised by what is known of the company."""
+    c = read(spark, sf_dir, "customer")
+    said = F.element_at(F.array(*[F.lit(x) for x in VISA_TEXTS]), (F.col("c_custkey") % len(VISA_TEXTS)).cast("int") + 1)
+    place = F.element_at(F.array(*[F.lit(x) for x in VISA_PLACES]), (F.col("c_nationkey") % len(VISA_PLACES)).cast("int") + 1)
+    known = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 11)
+    return c.select("c_custkey", scoring.international_friendliness(said, place, known, known + 1).cast("long").alias("points"))
+
+
+VISA_TEXTS = ["We offer visa sponsorship.", "A relocation package helps", "EU Blue Card", "international team", "fully remote", "plain words"]
+VISA_PLACES = ["Milan, Italy", "Remote", "Lyon", ""]
+VISA = f"""WITH c AS (SELECT c_custkey, [{", ".join(f"'{x}'" for x in VISA_TEXTS)}][c_custkey % {len(VISA_TEXTS)} + 1] AS t, [{", ".join(f"'{x}'" for x in VISA_PLACES)}][c_nationkey % {len(VISA_PLACES)} + 1] AS p,
+  CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 11 END AS k FROM customer),
+s AS (SELECT c_custkey, k, least(10, greatest({", ".join(f"CASE WHEN {_sql_has('t', w)} THEN {n} ELSE 0 END" for n, w in scoring.VISA_PHRASES)}) + CASE WHEN contains(lower(p), 'milan') THEN 2 WHEN p = 'Remote' THEN 1 ELSE 0 END) AS s FROM c)
+SELECT c_custkey, greatest(CASE WHEN s = 0 THEN 2 ELSE s END, coalesce(least(round_even((k + k + 1) / 2.0::DOUBLE, 0), 10), 0))::BIGINT AS points FROM s"""
+
+
+def pivot_points(spark, sf_dir):
+    """Phrases of a change of career in titles and texts by key."""
+    c = read(spark, sf_dir, "customer")
+    title, body = (F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("c_custkey") % len(xs)).cast("int") + 1) for xs in (PIVOT_TITLES, PIVOT_BODIES))
+    kind = F.when(F.col("c_custkey") % 4 == 0, "ai_strategy").otherwise("unknown")
+    return c.select("c_custkey", scoring.pivot_bonus(title, body, kind).cast("long").alias("points"))
+
+
+PIVOT_TITLES = ["AI Product Lead", "Data strategy analyst", "Clerk", "Digital work on product management", "Baker"]
+PIVOT_BODIES = ["We build an AI based product", "a technology strategy for banks", "AI for MBA graduates", "nothing of the kind", "strategy with AI", "bread", "tea"]
+_TITLE, _BODY = (f"[{', '.join(repr(x) for x in xs)}][c_custkey % {len(xs)} + 1]" for xs in (PIVOT_TITLES, PIVOT_BODIES))
+PIVOT = f"""WITH c AS (SELECT c_custkey, {_TITLE} AS t, {_BODY} AS b FROM customer)
+SELECT c_custkey, greatest(CASE WHEN {_sql_has("t", scoring.PIVOT_TITLE)} THEN 5 WHEN {_sql_has("b", scoring.PIVOT_TEXT)} THEN 3 ELSE 0 END, CASE WHEN {_sql_has("t", scoring.TECH_TITLE)} THEN 4 WHEN {_sql_has("b", scoring.TECH_TEXT)} THEN 2 ELSE 0 END,
+  CASE WHEN {_sql_has("b", scoring.BRIDGE_TEXT)} THEN 3 ELSE 0 END, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END)::BIGINT AS points FROM c"""
+
+
+def skill_profile(spark, sf_dir):
+    """Parts as profiles: proficiency of each word of their name by confidence and months."""
+    p = read(spark, sf_dir, "part")
+    word = lambda x: F.struct(x.alias("skill"), F.lit("name").alias("category"), (F.char_length(x) % 4 / 4).alias("confidence"))
+    rows = p.select("p_partkey", F.transform(F.array_distinct(F.split("p_name", " ")), word).alias("skills"), F.col("p_size").alias("months"))
+    return intelligence.skill_profiles(rows, "p_partkey", "skills", "months").select("p_partkey", "skill", "category", "proficiency")
+
+
+SKILL_PROFILE = """WITH s AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS skill, p_size AS m FROM part), c AS (SELECT *, length(skill) % 4 / 4::DOUBLE AS c FROM s)
+SELECT p_partkey, skill, 'name' AS category, round_even(least(100.0::DOUBLE, least(40.0::DOUBLE, 12.0::DOUBLE * greatest(1, round_even(c * 3, 0))) + least(40.0::DOUBLE, 8.0::DOUBLE * m / 12.0::DOUBLE) + 20.0::DOUBLE * c), 2) AS proficiency FROM c"""
+
+
+def sources_union(spark, sf_dir):
+    """Orders as raw objects of four boards, each through its own reader, as one posting table."""
+    j, day = _jobs(spark, sf_dir), F.lit("2024-01-01").cast("date")
+    text_id = F.col("job_id").cast("string")
+    of = lambda k: j.where(F.col("job_id") % 4 == k)
+    made = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("T10:00:00Z"))
+    green = of(0).select(text_id.alias("title"), F.col("company").alias("_company_name"), F.struct(F.col("location").alias("name")).alias("location"), F.concat(F.lit("g/"), text_id).alias("absolute_url"), F.lit("<p>Tea &amp; cake</p>").alias("content"), made.alias("updated_at"))
+    ash = of(1).select(text_id.alias("title"), F.col("location"), F.concat(F.lit("a/"), text_id).alias("jobUrl"), F.col("category").alias("descriptionHtml"), F.lit(None).cast("string").alias("publishedDate"))
+    smart = of(2).select(text_id.alias("name"), F.struct(F.col("location").alias("city"), F.lit("it").alias("country")).alias("location"), F.concat(F.lit("s/"), text_id).alias("ref"), made.alias("releasedDate"))
+    adz = of(3).select(F.when(F.col("job_id") % 8 == 3, F.lit(" ")).otherwise(text_id).alias("title"), F.struct(F.col("company").alias("display_name")).alias("company"), F.concat(F.lit("z/"), text_id).alias("redirect_url"), F.col("priority").alias("description"), made.alias("created"))
+    every = sources.union_sources(sources.greenhouse(green, day), sources.ashby(ash, F.lit("Ash"), day), sources.smartrecruiters(smart, F.lit("Smart"), day), sources.aggregator(adz, "nl", day))
+    return sources.required_fields(every).select("title", "company", "location", "job_board", "url", "description", "posted_date")
+
+
+UNION = f"""WITH {J} SELECT job_id::VARCHAR AS title, company, coalesce(location, '') AS location, 'greenhouse' AS job_board, 'g/' || job_id AS url, 'Tea & cake' AS description, day AS posted_date FROM j WHERE job_id % 4 = 0
+UNION ALL SELECT job_id::VARCHAR, 'Ash', coalesce(location, ''), 'ashby', 'a/' || job_id, category, DATE '2024-01-01' FROM j WHERE job_id % 4 = 1
+UNION ALL SELECT job_id::VARCHAR, 'Smart', concat_ws(', ', location, 'it'), 'smartrecruiters', 's/' || job_id, '', day FROM j WHERE job_id % 4 = 2
+UNION ALL SELECT job_id::VARCHAR, company, 'NL', 'adzuna', 'z/' || job_id, priority, day FROM j WHERE job_id % 4 = 3 AND job_id % 8 <> 3"""
+
+
+def keyset_page(spark, sf_dir):
+    """The page after a key, and the open postings of a scan: both have the operator's limit."""
+    j = _jobs(spark, sf_dir).select(F.col("job_id").alias("id"), (F.col("status") == "F").alias("is_expired"))
+    return sources.keyset_page(j, "id", 500, 100).withColumn("scan", F.lit("page")).unionByName(sources.open_postings(j, 100).withColumn("scan", F.lit("open")))
+
+
+KEYSET = f"""WITH {J} (SELECT job_id AS id, status = 'F' AS is_expired, 'page' AS scan FROM j WHERE job_id > 500 ORDER BY job_id LIMIT 100)
+UNION ALL (SELECT job_id, false, 'open' FROM j WHERE status <> 'F' ORDER BY job_id LIMIT 100)"""
+
+
+def unexpired_events(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("expires"))
+    return views.unexpired(e, "expires", F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id")
+
+
+UNEXPIRED = "SELECT event_id FROM events WHERE event_id % 3 = 0 OR ts > TIMESTAMP '2024-01-15'"
+
+
 def feature_sets(spark, sf_dir):
     """Labelled documents with the columns of the newest version of a feature set."""
     versions = read(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "base").otherwise("wide").alias("name"), F.col("n_nationkey").alias("version"))
@@ -610,6 +693,7 @@ QUERIES = {
     "position_upsert": (position_upsert, UPSERT), "conflicts": (conflicts, CONFLICTS), "output_invariants": (output_invariants, INVARIANTS), "evolve_table": (evolve_table, EVOLVE), "batch_signature": (batch_signature, SIGNATURE),
     "profile_phrases": (profile_phrases, PHRASES), "profile_chunks": (profile_chunks, CHUNKS), "profile_mapping": (profile_mapping, MAPPING), "company_seeds": (company_seeds, SEEDS),
     "category_weights": (category_weights, WEIGHTS), "raw_enrichment": (raw_enrichment, ENRICH), "isolated_parse": (isolated_parse, ISOLATED), "content_hashes": (content_hashes, HASHES),
-    "ordered_unique": (ordered_unique, UNIQUE), "score_parts": (score_parts, SCORE_PARTS), "mba_points": (mba_points, MBA), "feature_sets": (feature_sets, FEATURE_SETS), "promote_model": (promote_model, PROMOTE),
+    "ordered_unique": (ordered_unique, UNIQUE), "score_parts": (score_parts, SCORE_PARTS), "mba_points": (mba_points, MBA), "visa_points": (visa_points, VISA), "pivot_points": (pivot_points, PIVOT), "skill_profile": (skill_profile, SKILL_PROFILE),
+    "sources_union": (sources_union, UNION), "keyset_page": (keyset_page, KEYSET), "unexpired_events": (unexpired_events, UNEXPIRED), "feature_sets": (feature_sets, FEATURE_SETS), "promote_model": (promote_model, PROMOTE),
     "conversation_context": (conversation_context, CONTEXT), "role_demand": (role_demand, ROLE_DEMAND), "slug_registry": (slug_registry, SLUGS),
 }

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.operators import intelligence, vectors
+from talus.operators.lookup import small
 from talus.plans.ranked import read
 
 
@@ -102,7 +103,7 @@ def label_clusters(spark, sf_dir):
     """Labels whose centroids are alike, as connected components."""
     c = vectors.centroids(read(spark, sf_dir, "embeddings"), "label", "embedding")  # a row per label
     other = c.select(F.col("label").alias("b"), F.col("centroid").alias("cb"))
-    pairs = c.join(F.broadcast(other), (F.col("label") < F.col("b")) & (vectors.cosine(F.col("centroid"), F.col("cb")) >= 0.05)).select(F.col("label").alias("a"), "b")
+    pairs = c.join(small(other), (F.col("label") < F.col("b")) & (vectors.cosine(F.col("centroid"), F.col("cb")) >= 0.05)).select(F.col("label").alias("a"), "b")
     return intelligence.clusters(pairs, c.select("label"))
 
 

@@ -150,7 +150,7 @@ SELECT stage, n::BIGINT AS n, reached, CASE WHEN f > 0 THEN round_even(100.0::DO
 
 def conversion_sets(spark, sf_dir):
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = o.join(lookup.small(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = o.select(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.col("o_orderpriority").alias("priority"), (F.col("o_orderstatus") == "F").alias("offer"), (F.col("o_totalprice") > 200000).alias("interview"))
     return metrics.conversion_sets(rows, ["segment", "nation", "priority"], {"interview": F.col("interview"), "offer": F.col("offer")})
 

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from talus.operators.lookup import small
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,6 +91,6 @@ def replay(events: DataFrame, kinds: list[str] | None = None, since: int | None
 def poll(events: DataFrame, commits: DataFrame, per_partition: int, total: int) -> DataFrame:
     """The next events of each partition after its committed offset: at most per_partition
     of each and `total` in all, by offset then partition."""
-    left = events.join(F.broadcast(commits), "partition", "left").where(F.col("offset") >= F.coalesce("committed", F.lit(0)))
+    left = events.join(small(commits), "partition", "left").where(F.col("offset") >= F.coalesce("committed", F.lit(0)))
     ahead = left.where(F.col("offset") < F.coalesce("committed", F.lit(0)) + per_partition)
     return ahead.drop("committed").orderBy("offset", "partition").limit(total)
