@@ -221,7 +221,11 @@ def _variant_links(postings: DataFrame, max_bits: int) -> DataFrame:
 def near_links(fps: DataFrame, max_bits: int = 4, hot_list: int = HOT_LIST) -> DataFrame:
     """Edges (u, v) over `fps` (fp distinct, node) that connect just what Hamming distance
     <= max_bits connects. Two fingerprints that share a variant of max_bits / 2 flipped bits
-    are within max_bits, so both ways give true links only."""
+    are within max_bits, so both ways give true links only.
+
+    Two choices follow the size and change the cost, never the links: keys of three byte
+    positions below FOUR_BYTE_KEYS_FROM fingerprints and of four from there on, and lists of
+    more than `hot_list` fingerprints by shared variants. Tests cover both sides of each."""
     if not 0 <= max_bits <= 4 or max_bits % 2:
         raise ValueError("max_bits must be 0, 2 or 4")
     size = 3 if count_rows(fps) < FOUR_BYTE_KEYS_FROM else 4
