@@ -55,6 +55,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return SharedTable(df, name).df
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores behind it until none of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import SharedTable
+from talus.llm.common import SharedTable, free_name
 
 #: White space that a line's key loses at both ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -87,14 +87,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", id_col
     keep the lines that the document keeps; rows without an id keep all lines and take none
     from others. An empty table gives no rows.
     """
-    own = docs.drop("n_lines", "n_dropped", "drop_runs", "kept_text")
-    marks = keep_bitmaps(docs, min_chars, text, id_col).withColumnRenamed("id", "__id")
-    joined = own.join(marks, own[id_col] == marks["__id"], "left").drop("__id")
-    lines = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "drop_runs", "kept_text")]
+    # The document's columns stay in one struct, so that none of their names can clash.
+    row = free_name(names, "row")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(row))
+    joined = own.join(keep_bitmaps(docs, min_chars, text, id_col), F.col(f"{row}.`{id_col}`") == F.col("id"), "left")
+    whole = F.col(f"{row}.`{text}`")
+    lines = F.size(F.split(F.coalesce(whole, F.lit("")), "\n", -1)).cast("long")
     return joined.select(
-        *[own[c] for c in own.columns],
+        *[F.col(f"{row}.`{c}`") for c in names],
         lines.alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         "drop_runs",
-        kept_text(F.col(text), F.col("drop_runs")).alias("kept_text"),
+        kept_text(whole, F.col("drop_runs")).alias("kept_text"),
     )

@@ -47,3 +47,11 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
 def test_plan_is_native(spark):
     plan = line_dedup.dedup_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_columns_may_be_named_like_the_operators_own(spark):
+    line = "a line that both documents hold"
+    rows = [(1, line, 7, "p", 1), (2, line + "\nown line of two", 8, "q", 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id long, row string, pos int")
+    got = sorted((r["doc_id"], r["id"], r["row"], r["pos"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(frame).collect())
+    assert got == [(1, 7, "p", 1, 0, line), (2, 8, "q", 2, 1, "own line of two")]

@@ -113,5 +113,5 @@ def test_mixing_keeps_every_document(spark, tmp_path, monkeypatch):
 
 def test_columns_may_be_named_like_the_operators_own(spark, tmp_path):
     rows = [(i, f"t{i}", "en", f"s{i % 3}", 1, i, "x", i) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, place string, slot long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, row string, slot long")
     assert sorted(map(tuple, p.source_mixing(spark, docs, str(tmp_path)).collect())) == rows

@@ -65,3 +65,23 @@ def test_the_last_chunk_is_judged():
     assert q.band(q.CHUNK + len(junk))[0] <= share <= q.band(q.CHUNK + len(junk))[1]
     assert (n_chunks, n_stray, verdict) == (2, 1, "incompressible")
     assert q.compression(coder, long[: q.CHUNK + 2000])[1:] == (2, 0, "ok")
+
+
+def test_verdicts_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = ["ka", "loren", "mi", "tasou", "persin", "dov"]
+    texts = [None, "", "x"] + [" ".join(rng.choice(words, rng.integers(1, 4000))) + rng.bytes(int(rng.integers(0, 3000))).hex() * int(rng.integers(0, 3)) for _ in range(60)]
+    got = {r["id"]: r for r in q.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    share = lambda b: len(q.zstandard.compress(b, q.LEVEL)) / len(b)
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        parts = [raw[a : a + 4096] for a in range(0, len(raw), 4096)] if len(raw) > 4096 else []
+        low = sum(share(c) < q.band(len(c))[0] for c in parts)
+        high = sum(share(c) > q.band(len(c))[1] for c in parts)
+        want = "ok"
+        if raw and (share(raw) < q.band(len(raw))[0] or low > 0.2 * len(parts)):
+            want = "repetitive"
+        elif raw and (share(raw) > q.band(len(raw))[1] or high > 0.2 * len(parts)):
+            want = "incompressible"
+        assert (got[i]["verdict"], got[i]["n_stray_chunks"], got[i]["n_chunks"]) == (want, low + high, len(parts))
+    assert len({r["verdict"] for r in got.values()}) > 1
