@@ -2,8 +2,8 @@
 
 Normalised vectors are projected on random directions; quantised projections of one table,
 taken together, are its bucket. Two unit vectors with cosine c are sqrt(2 - 2c) apart, so
-near ones share most quantised projections. Every pair that meets in a bucket is checked by
-its exact cosine; a pair counts in the first table in which it meets, which both sides can
+near ones share most quantised projections. Every pair that meets in a bucket is compared in
+single precision, and in double precision where rounding could decide; a pair counts in the first table in which it meets, which both sides can
 tell from their own bucket numbers, so that nothing has to be deduplicated. Buckets yield
 numbers of links and spanning links, never all their pairs. Hot buckets are split in blocks
 of bounded size, and every two blocks of one bucket meet in a task.
@@ -11,12 +11,14 @@ of bounded size, and every two blocks of one bucket meet in a task.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,11 @@ from talus.llm.components import connected_components
 
 #: Width of a quantised step, and the share of linked pairs that the tables miss at most.
 WIDTH, MISSED = 2.2, 0.005
-#: Vectors in a block of a bucket, and rows of a slot of buckets on average.
-BLOCK, SLOT_ROWS = 1024, 8192
+#: Unrelated vectors that share a bucket at most on average; vectors in a block of a bucket,
+#: rows of a block that are compared at once, and rows of a slot of buckets on average.
+BUCKET, BLOCK, STRIP, SLOT_ROWS = 1000, 4096, 512, 8192
+#: Large buckets whose numbers are broadcast at most, and groups that are hot at most.
+LARGE_BUCKETS, HOT_GROUPS = 100_000, 2000
 
 
 def agreement(distance: float, width: float = WIDTH) -> float:
@@ -40,7 +45,7 @@ def plan_tables(n: int, min_cosine: float, width: float = WIDTH) -> tuple[int, i
     vectors, so that unrelated ones keep sharing buckets of the same size; tables follow so
     that a pair at min_cosine meets in one of them but for MISSED."""
     near, far = agreement(math.sqrt(2 - 2 * min(min_cosine, 0.999)), width), agreement(math.sqrt(2), width)
-    projections = max(6, math.ceil(math.log(max(n, 2) / 500) / -math.log(far)))
+    projections = max(6, math.ceil(math.log(max(n, 2) / BUCKET) / -math.log(far)))
     return math.ceil(math.log(MISSED) / math.log(1 - near**projections)), projections
 
 
@@ -50,92 +55,120 @@ def _family(dim: int, tables: int, projections: int, width: float, seed: int) ->
 
 
 def _hash(unit: np.ndarray, tables: int, projections: int, width: float, seed: int) -> np.ndarray:
-    """Bucket numbers, a row per vector and a column per table."""
+    """Bucket numbers of 32 bits, a row per vector and a column per table."""
     a, b = _family(unit.shape[1], tables, projections, width, seed)
     cells = np.floor((unit @ a + b) / width).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, projections)
     out = np.zeros((len(unit), tables), np.uint64)
     for k in range(projections):
         out = (out ^ cells[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def normalised(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, unit): distinct usable rows in double precision. Vectors that are null, empty or
-    zero or hold null or non-finite components are left out."""
-    whole = F.col(vector).cast("array<double>")
-    good = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    top = F.array_max(F.transform(whole, F.abs))
-    scaled = F.transform("v", lambda x: x / F.col("top"))  # squares of tiny or huge numbers stay finite
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda t, x: t + x * x))
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & good & (F.size(vector) > 0))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), top.alias("top")).where("top > 0")
-    return rows.select("id", scaled.alias("s")).select("id", F.transform("s", lambda x: x / norm).alias("unit"))
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, digest, vec): rows that can be compared, with the components as bytes of floats
+    (doubles where the column has wider numbers) and 128 bits of their BLAKE2 digest. Vectors
+    that are null, empty or zero or hold null or non-finite components, and rows without an
+    id, are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = pc.list_flatten(batch.column(1))
+            flat = pc.fill_null(values, float("nan")).to_numpy(zero_copy_only=False) + 0  # -0.0 becomes 0.0
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))))
+            bad, some = (np.concatenate(([0], np.cumsum(x)))[ends] for x in (~np.isfinite(flat), flat != 0))
+            at = np.flatnonzero((np.diff(bad) == 0) & (np.diff(some) > 0))
+            vecs = [flat[ends[i] : ends[i + 1]].tobytes() for i in at]
+            digests = [hashlib.blake2b(v, digest_size=16).digest() for v in vecs]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary())], ["id", "digest", "vec"])
+
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("vec")).where("id is not null")
+    return rows.mapInArrow(run, "id bigint, digest binary, vec binary")
+
+
+def _units(vecs: list[bytes], kind: type) -> np.ndarray:
+    """Unit vectors in double precision, of vectors of one length."""
+    v = np.frombuffer(b"".join(vecs), kind).reshape(len(vecs), -1).astype(float)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # squares of tiny or huge numbers stay finite
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _bucketed(items: DataFrame, tables: int, projections: int, width: float, seed: int) -> DataFrame:
-    """(node, n, unit, packed, keys): every item with its bucket numbers in all tables."""
+def _bucketed(items: DataFrame, kind: type, tables: int, projections: int, width: float, seed: int) -> DataFrame:
+    """(node, n, digest, vec, packed, keys): items with their bucket numbers in all tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(2).to_numpy(zero_copy_only=False)
-            sizes = np.array([len(u) for u in vectors])
-            keys: list = [None] * len(vectors)
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                for i, row in zip(at, _hash(np.stack([vectors[i] for i in at]), tables, projections, width, seed + int(d))):
-                    keys[i] = row
-            units = pa.array([u.astype(np.float64).tobytes() for u in vectors], pa.binary())
+            vecs = batch.column(3).to_pylist()
+            sizes = np.array([len(v) for v in vecs])
+            keys = np.zeros((len(vecs), tables), np.int32)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                unit = _units([vecs[i] for i in at], kind)
+                keys[at] = _hash(unit, tables, projections, width, seed + unit.shape[1])
             packed = pa.array([k.tobytes() for k in keys], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], units, packed, pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "unit", "packed", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed, pa.array(list(keys), pa.list_(pa.int32()))], [*batch.schema.names, "packed", "keys"])
 
-    return items.select("node", "n", "unit").mapInArrow(run, "node bigint, n bigint, unit binary, packed binary, keys array<bigint>")
+    items = items.select("node", "n", "digest", "vec")
+    return items.mapInArrow(run, "node bigint, n bigint, digest binary, vec binary, packed binary, keys array<int>")
 
 
-def _rows(column: pd.Series, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+def _near(u: np.ndarray, v: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in u, in v) of the pairs with cosine >= min_cosine in double precision. Single
+    precision decides where its rounding, at most `slack`, cannot matter."""
+    rough = u.astype(np.float32) @ v.astype(np.float32).T
+    slack = np.float32((u.shape[1] + 8) * 2.0**-22)
+    rows, cols = np.nonzero(rough >= min_cosine - slack)
+    unsure = np.flatnonzero(rough[rows, cols] <= min_cosine + slack)
+    ok = np.ones(len(rows), bool)
+    for i in range(0, len(unsure), 4096):
+        at = unsure[i : i + 4096]
+        ok[at] = (u[rows[at]] * v[cols[at]]).sum(axis=1) >= min_cosine
+    return rows[ok], cols[ok]
 
 
-def _meet(min_cosine: float):
+def _meet(kind: type, min_cosine: float):
     """Links in all blocks of a slot: blocks with themselves, and two blocks of one bucket."""
 
-    def block_links(table: int, sides: list[pd.DataFrame], same: bool) -> tuple[list, list]:
-        (u, ku, nu, iu), (v, kv, nv, iv) = ((_rows(s["unit"], float), _rows(s["packed"], np.int64), s["n"].to_numpy(), s["node"].to_numpy()) for s in sides)
-        near = u @ v.T >= min_cosine
-        if same:
-            np.fill_diagonal(near, False)
-        rows, cols = np.nonzero(near)
-        for t in range(table):  # a pair that has met in an earlier table counted there
-            new = ku[rows, t] != kv[cols, t]
-            rows, cols = rows[new], cols[new]
-        counts = [(iu, np.bincount(rows, weights=nv[cols], minlength=len(u)).astype(np.int64))]
-        if not same:
-            counts.append((iv, np.bincount(cols, weights=nu[rows], minlength=len(v)).astype(np.int64)))
-        return counts, [_spanning(iu[rows], iv[cols])]
-
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["t", "bucket", "one", "two", "block"], kind="stable")
         key = group[["t", "bucket", "one", "two"]].to_numpy(np.int64)
+        block, node, n, vec, packed = (group[c].to_numpy() for c in ("block", "node", "n", "vec", "packed"))
         starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
         nodes, links, others = [], [], []
+
+        def count(at: np.ndarray, weights: np.ndarray, size: int, base: int) -> None:
+            found = np.bincount(at, weights=weights, minlength=size).astype(np.int64)
+            some = np.flatnonzero(found)
+            nodes.append(node[base + some])
+            links.append(found[some])
+            others.append(np.full(len(some), -1))
+
         for at, to in zip(starts, [*starts[1:], len(key)]):
-            if to - at < 2:
+            table, _, one, two = key[at]
+            same = one == two
+            cut = at if same else at + int(np.searchsorted(block[at:to], two))  # rows of `one` come first
+            if to - at < 2 or (not same and cut in (at, to)):
                 continue
-            part, (table, _, one, two) = group.iloc[at:to], key[at]
-            first = part if one == two else part[part["block"] == one]
-            second = part if one == two else part[part["block"] == two]
-            if not len(first) or not len(second):
-                continue
-            counts, spans = block_links(int(table), [first, second], one == two)
-            for node, n in counts:
-                some = n > 0
-                nodes.append(node[some])
-                links.append(n[some])
-                others.append(np.full(some.sum(), -1))
-            for a, b in spans:
-                nodes.append(a)
-                links.append(np.zeros(len(a), np.int64))
-                others.append(b)
+            unit = _units(list(vec[at:to]), kind)
+            keys = np.frombuffer(b"".join(packed[at:to]), np.int32).reshape(to - at, -1)[:, :table]
+            end = (to if same else cut) - at
+            for low in range(0, end, STRIP):
+                high = min(low + STRIP, end)
+                right = low if same else end
+                rows, cols = _near(unit[low:high], unit[right:], min_cosine)
+                rows, cols = rows + low, cols + right
+                new = rows < cols  # each pair once, and no vector with itself
+                for t in range(table):  # a pair that has met in an earlier table counted there
+                    new &= keys[rows, t] != keys[cols, t]
+                rows, cols = rows[new], cols[new]
+                if len(rows):
+                    count(rows, n[at + cols], to - at, at)
+                    count(cols, n[at + rows], to - at, at)
+                    a, b = _spanning(node[at + rows], node[at + cols])
+                    nodes.append(a)
+                    links.append(np.zeros(len(a), np.int64))
+                    others.append(b)
         one_array = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
         return pd.DataFrame({"node": one_array(nodes), "links": one_array(links), "other": one_array(others)})
 
@@ -172,36 +205,46 @@ def embedding_components(
     Vectors that cannot be compared, and rows without an id, have no links and are kept.
     Rows that repeat an id have the most links and the smallest component of their vectors.
     Vectors of different lengths don't link. An empty table gives no rows.
+
+    A vector travels once to its node and once for each table; all other joins carry numbers.
     """
-    marked = SharedTable(normalised(vectors, id_col, vector).select("id", "unit", F.xxhash64("unit").alias("h")), "unit-vectors").df
-    nodes = marked.groupBy("h", "unit").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
-    tables, projections = plan_tables(count_rows(marked), min_cosine, width)
-    nodes = SharedTable(_bucketed(nodes, tables, projections, width, seed), "bucketed").df
+    kind = np.float32 if dict(vectors.dtypes)[vector] == "array<float>" else np.float64
+    marked = SharedTable(usable(vectors, id_col, vector), "vectors")
+    total = count_rows(marked.df)
+    nodes = marked.df.groupBy("digest", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
+    tables, projections = plan_tables(total, min_cosine, width)
+    nodes = SharedTable(_bucketed(nodes, kind, tables, projections, width, seed), "bucketed").df
     # Vectors of other lengths never meet: the length is a part of the bucket.
-    spread = nodes.select("node", "n", "unit", "packed", F.posexplode("keys").alias("t", "key"))
-    posts = spread.select("node", "n", "unit", "packed", "t", F.xxhash64("key", F.octet_length("unit")).alias("bucket"))
-    sizes = SharedTable(posts.select("t", "bucket").groupBy("t", "bucket").count().where("count > 1"), "bucket-sizes").df
-    # A bucket with one block meets itself; a hot one is dealt to blocks, each pair of which
+    bucket = F.xxhash64("key", F.octet_length("vec")).alias("bucket")
+    spread = nodes.select("node", "n", "vec", "packed", F.posexplode("keys").alias("t", "key"))
+    posts = spread.select("node", "n", "vec", "packed", "t", bucket)
+    # A bucket of one block meets itself; a larger one is dealt to blocks, each pair of which
     # meets once: block i goes to the tasks (i, j) and (j, i) of all blocks j.
-    sizes = sizes.select("t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    posts = posts.join(sizes, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = posts.groupBy("t", "bucket").count().where(F.col("count") > BLOCK)
+    large = SharedTable(large.select("t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-buckets").df
+    posts = posts.join(F.broadcast(large) if count_rows(large) <= LARGE_BUCKETS else large, ["t", "bucket"], "left")
+    posts = posts.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    posts = posts.select("t", "bucket", F.least("block", "j").alias("one"), F.greatest("block", "j").alias("two"), "block", "node", "n", "unit", "packed")
+    posts = posts.select("t", "bucket", F.least("block", "j").alias("one"), F.greatest("block", "j").alias("two"), "block", "node", "n", "vec", "packed")
     # Many small buckets go to one slot; the number of slots follows the number of vectors,
     # so that a slot's rows stay bounded.
-    slots = max(1, -(-count_rows(marked) * tables // SLOT_ROWS))
+    slots = max(1, -(-total * tables // SLOT_ROWS))
     posts = posts.withColumn("slot", F.pmod(F.xxhash64("t", "bucket", "one", "two"), F.lit(slots)))
-    met = posts.groupBy("slot").applyInPandas(_meet(min_cosine), "node bigint, links bigint, other bigint")
+    met = posts.groupBy("slot").applyInPandas(_meet(kind, min_cosine), "node bigint, links bigint, other bigint")
     met = SharedTable(met, "links").df
     links = met.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(met.where("links = 0").select(F.col("node").alias("u"), F.col("other").alias("v")))
-    known = nodes.select("node", "n").join(links, "node", "left").join(parts, "node", "left")
-    known = known.select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    owners = marked.groupBy("h", "unit").agg(F.min("id").alias("node")).select("h", F.col("unit").alias("u"), "node")
-    rows = marked.join(owners, (marked["h"] == owners["h"]) & (marked["unit"] == owners["u"])).select("id", "node")
-    rows = rows.join(known, "node").select("id", "n_links", "component_id")
+    known = nodes.select("node", "n", "digest").join(links, "node", "left").join(parts, "node", "left")
+    n_links = (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    known = known.select("digest", "n", n_links, F.coalesce("component", "node").alias("component_id"))
+    # Fewer than HOT_GROUPS vectors can have more than that part of all rows each: they are
+    # broadcast, so that no task gets all rows of a hot one.
+    rows, is_hot = marked.df.select("id", "digest"), F.col("n") * HOT_GROUPS > total
+    hot, cold = known.where(is_hot).drop("n"), known.where(~is_hot).drop("n")
+    of_hot = rows.join(F.broadcast(hot), "digest")
+    of_cold = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest")
+    rows = of_hot.unionByName(of_cold).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     every = vectors.select(F.col(id_col).cast("long").alias("__id"))
-    rows = rows.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = every.join(rows, every["__id"] == rows["id"], "left")
     component = F.coalesce("component_id", "__id")
     return out.select(F.col("__id").alias("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("__id") == component, F.lit(True)).alias("kept"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from talus.llm import embedding_dedup as e
 
@@ -24,8 +25,12 @@ def brute(rows, c):
     return out
 
 
-def test_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("large, hot", [(100_000, 2000), (0, 11)])
+def test_matches_brute_force(spark, monkeypatch, large, hot):
     monkeypatch.setattr(e, "BLOCK", 20)  # several blocks in a bucket
+    monkeypatch.setattr(e, "STRIP", 7)
+    monkeypatch.setattr(e, "LARGE_BUCKETS", large)  # their numbers broadcast, or joined
+    monkeypatch.setattr(e, "HOT_GROUPS", hot)  # all vectors hot, or the copies alone
     rng = np.random.default_rng(9)
     centres = rng.standard_normal((12, 16))
     rows = [(i, [float(x) for x in centres[i % 12] + rng.standard_normal(16) * (0.05 if i % 3 else 0.25)]) for i in range(300)]
@@ -66,3 +71,23 @@ def test_repeated_ids_have_one_result(spark):
     rows = [(1, [1.0, 0.0], 0, "", 0), (7, [1.0, 0.01], 0, "", 0), (7, [0.0, 1.0], 0, "", 0), (9, [1.0, 0.02], 0, "", 0)]
     got = sorted((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in e.embedding_components(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(1, 2, 1, True), (7, 2, 1, False), (7, 2, 1, False), (9, 2, 1, False)]
+
+
+def test_double_precision_decides_at_the_threshold():
+    rng = np.random.default_rng(3)
+    u = e._units([rng.standard_normal(48).tobytes() for _ in range(200)], float)
+    side = rng.standard_normal(u.shape)
+    side -= (side * u).sum(1)[:, None] * u
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = 0.9 + rng.choice([-1, 1], 200) * 10.0 ** rng.integers(-12, -4, 200)
+    v = cosine[:, None] * u + np.sqrt(1 - cosine**2)[:, None] * side
+    rows, cols = e._near(u, v, 0.9)
+    exact = (u[:, None, :] * v[None, :, :]).sum(2) >= 0.9
+    assert set(zip(rows.tolist(), cols.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(exact))))
+    assert 0 < (rows == cols).sum() < 200
+
+
+def test_wider_columns_and_null_components(spark):
+    rows = [(1, [1e300, 0.0]), (2, [1e-300, 1e-310]), (3, [None, 1.0]), (4, [0.0, -0.0])]
+    got = sorted(e.embedding_components(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).collect())
+    assert [(r["id"], r["n_links"], r["component_id"]) for r in got] == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
