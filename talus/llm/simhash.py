@@ -31,6 +31,8 @@ COUNTED_SHINGLES = 1 << 17
 HOT_LIST = 16_384
 #: Distinct fingerprints from which keys of four bytes are used: lists of three grow long.
 FOUR_BYTE_KEYS_FROM = 50_000_000
+#: A fingerprint with more than one in HOT_GROUPS of all rows is hot; fewer than HOT_GROUPS are.
+HOT_GROUPS = 2000
 
 
 # ------------------------------------------------------------------ fingerprints
@@ -249,11 +251,16 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, tex
     empty table gives no rows. Extra columns are not read.
     """
     marked = SharedTable(fingerprints(docs, shingle, text, id_col), "fingerprints").df
-    fps = SharedTable(marked.groupBy("fp").agg(F.min("id").alias("node")), "nodes").df
-    named = fps.where("node is not null")
+    fps = SharedTable(marked.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes").df
+    named = fps.where("node is not null").select("fp", "node")
     parts = connected_components(near_links(named, max_bits)).select("node", "component")
-    place = fps.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(place, "fp").select("id", "fp", "component_id")
+    place = fps.join(parts, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    # Hot fingerprints are broadcast, so that no task gets all rows of one.
+    is_hot = F.col("n") * HOT_GROUPS > (fps.agg(F.sum("n")).first()[0] or 0)
+    of_hot = marked.join(F.broadcast(place.where(is_hot).drop("n")), "fp")
+    cold = marked.join(F.broadcast(fps.where(is_hot).select("fp")), "fp", "left_anti")
+    of_cold = cold.join(place.where(~is_hot).drop("n"), "fp")
+    return of_hot.unionByName(of_cold).select("id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -33,7 +33,9 @@ def brute_components(items, near):
     return {k: root(k) for k, _ in items}
 
 
-def test_fingerprints_and_components_match_brute_force(spark):
+@pytest.mark.parametrize("hot_groups", [0, 4, 2000])
+def test_fingerprints_and_components_match_brute_force(spark, hot_groups, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_GROUPS", hot_groups)  # none, some and all groups are hot
     rng = np.random.default_rng(5)
     base = [" ".join(rng.choice(["alpha", "Beta", "gam\tma", "de  lta", "é", "x\n", "Z"], 60)) for _ in range(12)]
     texts = [None, "", " \n\t", "one", "Two words", "a b c d", *base, *base[:3]]
