@@ -172,9 +172,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_passages: int = FIT_PASSAGES) -> Model:
     """Fit on at most `fit_rows` labelled documents outside the held-out fold, a third of them
     of label 0 where there are as many, chosen by a hash of the id, and on at most
-    `fit_passages` passages of each, at equal distances. Scores cover all passages. Labels other than 0 and 1 are
-    ignored; an id labelled more than once takes its greatest label. Without any labelled
-    document the model scores 0.5 throughout."""
+    `fit_passages` passages of each, at equal distances. Scores cover all passages. Labels
+    other than 0 and 1 are ignored; an id labelled more than once takes its greatest label,
+    and of several texts with one id the one with the smallest features is fitted on. Without
+    any labelled document the model scores 0.5 throughout."""
     named = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).alias("__y"))
     share = {0: fit_rows // 3, 1: fit_rows - fit_rows // 3}
     pick = lambda y: named.where(F.col("__y") == y).orderBy(F.xxhash64(id_col), id_col).limit(share[y])
@@ -189,7 +190,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", te
             bags = [x[a + np.unique(np.linspace(0, b - a - 1, min(b - a, fit_passages)).astype(np.int64))].tobytes() for a, b in zip(edge, edge[1:])]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.string()), y.cast(pa.int32()), pa.array(bags, pa.binary())], ["id", "y", "x"])
 
-    got = sorted(rows.mapInArrow(run, "id string, y int, x binary").dropDuplicates(["id"]).limit(fit_rows).collect(), key=lambda r: r["id"])
+    by_id = rows.mapInArrow(run, "id string, y int, x binary").groupBy("id").agg(F.min(F.struct("y", "x")).alias("bag"))
+    got = sorted(by_id.select("id", "bag.*").collect(), key=lambda r: r["id"])  # an id of `chosen` each
     if not got:
         zero = np.zeros((FEATURES, HIDDEN), np.float32)
         parts = {"w1": zero, "b1": zero[0], "v": zero[:HIDDEN, :GATES], "u": zero[:HIDDEN, :GATES], "g": zero[0, :GATES], "c": zero[0], "d": zero[0, :1]}

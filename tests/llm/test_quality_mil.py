@@ -85,3 +85,13 @@ def test_fit_takes_passages_from_the_whole_text(spark, monkeypatch):
     labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
     assert q.fit_on_labels(docs, labels, fit_passages=10) == "model"
     assert sorted(seen["n"].tolist()) == [1, 10]
+
+
+def test_fit_does_not_depend_on_the_order_of_rows_that_share_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda x, doc, y: seen.append(x.tolist()) or "model")
+    rows = [(1, f"text number {i} of one id, " * (i + 1)) for i in range(6)]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for order in (rows, rows[::-1]):
+        q.fit_on_labels(spark.createDataFrame(order, "doc_id long, text string").repartition(3), labels)
+    assert seen[0] == seen[1]
