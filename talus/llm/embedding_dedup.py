@@ -3,10 +3,11 @@
 Normalised vectors are projected on random directions; quantised projections of one table,
 taken together, are its bucket. Two unit vectors with cosine c are sqrt(2 - 2c) apart, so
 near ones share most quantised projections. Every pair that meets in a bucket is compared in
-single precision, and in double precision where rounding could decide; a pair counts in the first table in which it meets, which both sides can
-tell from their own bucket numbers, so that nothing has to be deduplicated. Buckets yield
-numbers of links and spanning links, never all their pairs. Hot buckets are split in blocks
-of bounded size, and every two blocks of one bucket meet in a task.
+single precision, and in double precision where rounding could decide. A pair counts in the
+first table in which it meets, which both sides can tell from their own bucket numbers, so
+that nothing has to be deduplicated. Buckets yield numbers of links and spanning links, never
+all their pairs. Hot buckets are split in blocks of bounded size, and every two blocks of one
+bucket meet in a task.
 """
 
 from __future__ import annotations
