@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles at most (a longer document is one step of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 
 # ------------------------------------------------------------------ shared tables
