@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import embedding_dedup, html_text, license_scan, line_dedup, mixing, packing, quality_mil, quality_rules, simhash, substring_dedup
+from talus.llm import embedding_dedup, html_text, license_scan, line_dedup, mixing, packing, quality_mil, quality_rules, simhash, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.fit_urls(url_filter.labelled_urls(spark), label="label")
+    out = url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), weights)
+    return out.select("page_id", "host", "path", "rule", "verdict", "block_ppm")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op13_url_filters": op13_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -191,4 +198,5 @@ WITH parts AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op13_url_filters": url_filter.filter_sql(url_filter.labelled_rows()),
 }
