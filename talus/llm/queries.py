@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import embedding_dedup, html_text, license_scan, line_dedup, mixing, packing, quality_mil, quality_rules, simhash, substring_dedup, url_filter
+from talus.llm import embedding_dedup, html_text, license_scan, line_dedup, mixing, packing, periodic_runs, quality_mil, quality_rules, simhash, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_digest(docs: DataFrame) -> DataFrame:
+    runs = periodic_runs.collapse_runs(docs, alter=periodic_runs.periodic_tenth).withColumn("best", periodic_runs.longest_by_exponent(F.col("runs")))
+    return runs.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_digest(_read(spark, sf_dir, "documents"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.fit_urls(url_filter.labelled_urls(spark), label="label")
     out = url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), weights)
@@ -82,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_url_filters": op13_url_filters,
 }
 
