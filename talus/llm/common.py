@@ -122,12 +122,12 @@ class Words:
         return np.diff(self.first)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Word boundaries; a word never crosses a document."""
+def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> Words:
+    """Word boundaries; a word never crosses a document. `space` marks the bytes between words."""
     n = len(data)
     if not n:
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
-    word = ~_SPACE[data]
+    word = ~space[data]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     stop = word.copy()
@@ -196,3 +196,22 @@ def within_documents(w: Words, size: int) -> np.ndarray:
 def spread(first: np.ndarray) -> np.ndarray:
     """Document number (in the chunk) of each word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def joined_words(data: np.ndarray, w: Words, words: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The named words joined by one space inside each group, and the groups' byte offsets;
+    group g has words[first[g] : first[g + 1]]."""
+    size = w.ends[words] - w.starts[words]
+    has = np.diff(first) > 0
+    joined = size + 1  # a space behind each word but a group's last one
+    joined[first[1:][has] - 1] -= 1
+    begin = np.concatenate(([0], np.cumsum(joined)))
+    out = np.full(int(begin[-1]), 0x20, np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin[:-1], size) + within] = data[np.repeat(w.starts[words], size) + within]
+    return out.tobytes(), begin[first]
+
+
+def string_array(text: bytes, offsets: np.ndarray) -> pa.Array:
+    """Arrow strings from one buffer of UTF-8 bytes."""
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text)).cast(pa.string())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import _BASE, _BASE_INV, TextChunk, Words, _powers, mix64, spread, text_chunks, window_hashes, within_documents, word_hashes, words_of
+from talus.llm.common import _BASE, _BASE_INV, TextChunk, Words, _powers, joined_words, mix64, spread, string_array, text_chunks, window_hashes, within_documents, word_hashes, words_of
 
 MIN_WORDS, MIN_PERIODS = 24, 3
 #: (id, words) -> (first changed word, period), or None to leave the text as it is.
@@ -185,19 +185,6 @@ def _stretches(x: np.ndarray, w: Words, window: int) -> np.ndarray:
     return np.stack((first, behind, doc[first]), axis=1) if len(first) else np.zeros((0, 3), np.int64)
 
 
-def _gather(data: np.ndarray, w: Words, words: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The named words of each document joined by one space, and the documents' byte offsets."""
-    size = w.ends[words] - w.starts[words]
-    has = np.diff(first) > 0
-    joined = size + 1  # a space behind each word but a document's last one
-    joined[first[1:][has] - 1] -= 1
-    begin = np.concatenate(([0], np.cumsum(joined)))
-    out = np.full(int(begin[-1]), 0x20, np.uint8)
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(begin[:-1], size) + within] = data[np.repeat(w.starts[words], size) + within]
-    return out.tobytes(), begin[first]
-
-
 def _collapse(c: TextChunk, ids: list, alter: Alter | None, min_words: int, min_periods: int) -> tuple[np.ndarray, list[list[tuple[int, int, int]]], bytes, np.ndarray]:
     w = words_of(c.data, c.offsets)
     counts, source = w.counts(), np.arange(len(w.starts))
@@ -218,7 +205,7 @@ def _collapse(c: TextChunk, ids: list, alter: Alter | None, min_words: int, min_
             edge[first + start + length] -= 1
     kept = np.cumsum(edge[:-1]) == 0
     before = np.concatenate(([0], np.cumsum(kept)))
-    text, offsets = _gather(c.data, w, source[kept], before[w.first])
+    text, offsets = joined_words(c.data, w, source[kept], before[w.first])
     return counts.astype(np.int64), runs, text, offsets
 
 
@@ -246,8 +233,8 @@ def collapse_runs(
             flat = [r for of in runs for r in of]
             starts = np.concatenate(([0], np.cumsum([len(of) for of in runs]))).astype(np.int32)
             items = pa.StructArray.from_arrays([pa.array([r[k] for r in flat], pa.int64()) for k in range(3)], ["start", "length", "period"])
-            texts = pa.LargeStringArray.from_buffers(c.n, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(kept)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.ListArray.from_arrays(pa.array(starts), items).cast(run_type), texts], ["id", "n_words", "runs", "kept_text"])
+            lists = pa.ListArray.from_arrays(pa.array(starts), items).cast(run_type)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts), lists, string_array(kept, offsets)], ["id", "n_words", "runs", "kept_text"])
 
     return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n_words bigint, runs array<struct<start:bigint,length:bigint,period:bigint>>, kept_text string")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import embedding_dedup, html_text, license_scan, line_dedup, mixing, packing, periodic_runs, quality_mil, quality_rules, simhash, substring_dedup, url_filter
+from talus.llm import collocations, embedding_dedup, html_text, license_scan, line_dedup, mixing, packing, periodic_runs, quality_mil, quality_rules, simhash, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(_read(spark, sf_dir, "documents"))
+
+
 def op12_digest(docs: DataFrame) -> DataFrame:
     runs = periodic_runs.collapse_runs(docs, alter=periodic_runs.periodic_tenth).withColumn("best", periodic_runs.longest_by_exponent(F.col("runs")))
     return runs.select(
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_url_filters": op13_url_filters,
 }
@@ -217,5 +222,35 @@ WITH parts AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), totals AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), grams AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) t(m))
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, m, phrase, f, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), parts AS (
+  SELECT *, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail FROM cuts
+), scored AS (
+  SELECT c.lang, c.m, c.phrase, c.f AS a, min({'score': ((1000::HUGEINT * c.f * t.n) // (h.f::HUGEINT * r.f))::BIGINT, 'k': c.k, 'l': h.f, 'r': r.f, 'n': t.n}) AS cut
+  FROM parts c JOIN f h ON c.lang = h.lang AND c.head = h.phrase JOIN f r ON c.lang = r.lang AND c.tail = r.phrase JOIN totals t ON c.lang = t.lang
+  GROUP BY ALL
+), inner_ AS (
+  SELECT lang, a, size, phrase, unnest(range(1, m - size + 2)) AS i FROM scored, range(2, 5) t(size) WHERE size < m
+), held AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + size - 1], ' ') AS phrase, max(a) AS around FROM inner_ GROUP BY ALL
+), ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.cut.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.cut.l AS l, s.cut.r AS r, s.cut.n AS n, s.cut.score AS score
+  FROM scored s LEFT JOIN held h ON s.lang = h.lang AND s.phrase = h.phrase WHERE h.around IS NULL OR 100 * h.around < 100 * s.a
+)
+SELECT * FROM ranked WHERE rank <= 2000""",
     "op13_url_filters": url_filter.filter_sql(url_filter.labelled_rows()),
 }
