@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from talus.functions import gates
 from talus.functions.text import PROFICIENCY_BANDS, band, percent, slugify
-from talus.operators import vectors
+from talus.operators import similarity
 
 # ------------------------------------------------------------------ fixed values
 # Vocabularies and phrases of resumes and eligibility; equal results need them as they are.
@@ -195,33 +195,18 @@ def skill_profiles(df: DataFrame, key: str, skills: str, months: str) -> DataFra
 # ------------------------------------------------------------------ memory
 def remember(queries: DataFrame, memories: DataFrame, tenant: str, as_of: Column, k: int, least: float) -> DataFrame:
     """(query_id, memory_id, similarity, rank): the k memories of the query's tenant that
-    haven't expired and whose bags of words are most alike. queries: (query_id, tenant,
-    text); memories: (memory_id, tenant, text, expires_at)."""
+    haven't expired and whose bags of words are most alike, at `least` > 0 or more. queries:
+    (query_id, tenant, text); memories: (memory_id, tenant, text, expires_at)."""
     alive = memories.where(F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
-    q, m = vectors.token_counts(queries, ["query_id", tenant], "text"), vectors.token_counts(alive, ["memory_id", tenant], "text")
-    length = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias(name))
-    dots = q.withColumnRenamed("tf", "a").join(m.withColumnRenamed("tf", "b"), [tenant, "token"]).groupBy("query_id", "memory_id").agg(F.sum(F.col("a") * F.col("b")).alias("d"))
-    scored = dots.join(length(q, "query_id", "x"), "query_id").join(length(m, "memory_id", "y"), "memory_id")
-    scored = scored.select("query_id", "memory_id", F.bround(F.col("d") / (F.col("x") * F.col("y")), 6).alias("similarity")).where(F.col("similarity") >= least)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "memory_id"))).where(F.col("rank") <= k)
-
-
-def clusters(pairs: DataFrame, names: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(name, cluster): connected components of similar pairs (a, b), named by the smallest
-    name. The greedy order-dependent form is not reproduced."""
-    from talus.operators.graph import cut
-
-    links = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    state = cut(names.select(F.col(names.columns[0]).alias("name")).distinct().withColumn("cluster", F.col("name")))
-    for _ in range(rounds):
-        near = links.join(state, F.col("b") == F.col("name")).groupBy(F.col("a").alias("name")).agg(F.min("cluster").alias("c"))
-        new = state.join(near, "name", "left").select("name", F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"))
-        jump = new.select(F.col("name").alias("cluster"), F.col("cluster").alias("up"))
-        new = cut(new.join(jump, "cluster", "left").select("name", F.coalesce("up", "cluster").alias("cluster")))
-        if new.join(state.withColumnRenamed("cluster", "old"), "name").where("cluster <> old").isEmpty():
-            return new
-        state = new
-    raise RuntimeError(f"not done after {rounds} rounds")
+    q, m = similarity.bags(queries, ["query_id", tenant], "text"), similarity.bags(alive, ["memory_id", tenant], "text")
+    out = similarity.sparse_top_k(q, m, "query_id", "memory_id", tenant, k, least)
+    return out.select(F.col("query").alias("query_id"), F.col("memory").alias("memory_id"), "similarity", "rank")
+
+
+def clusters(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, cluster): each name with the first leader of a single greedy pass that it is
+    similar to. pairs: (a, b) of similar names."""
+    return similarity.greedy_leaders(pairs, names).select("name", F.col("leader").alias("cluster"))
 
 
 # ------------------------------------------------------------------ health and cost

@@ -33,16 +33,16 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def top_k(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int) -> DataFrame:
     """(query, id, similarity, rank): a query set of any size against all rows. Up to
-    QUERY_BLOCK queries are broadcast; more are dealt out in blocks of about that size, each
-    of which meets every partition of the corpus. The k best per query are kept by a partial
-    ranking in each task before the shuffle."""
-    n = queries.count()
+    QUERY_BLOCK queries are broadcast and read the corpus once, the k best per query kept by a
+    partial ranking in each task; more go through the cluster-pruned index, which gives the
+    same rows without comparing all pairs. Null vectors have similarity 0."""
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        from talus.operators.similarity import dense_top_k
+
+        return dense_top_k(queries, corpus, query_id, corpus_id, vector, k)[0]
     q = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("__q"), norm(F.col(vector)).alias("__ql"))
     c = corpus.select(F.col(corpus_id).alias("id"), F.col(vector).alias("__v"), norm(F.col(vector)).alias("__vl"))
-    if n > QUERY_BLOCK:  # a join without keys whose sides are both dealt out
-        scored = c.hint("shuffle_replicate_nl").join(q.repartition(-(-n // QUERY_BLOCK)), F.col("id") != F.col("query"))
-    else:
-        scored = c.join(F.broadcast(q), F.col("id") != F.col("query"))
+    scored = c.join(F.broadcast(q), F.col("id") != F.col("query"))
     both = F.col("__ql") * F.col("__vl")
     alike = F.when(both > 0, dot(F.col("__q"), F.col("__v")) / both).otherwise(F.lit(0.0))
     scored = scored.select("query", "id", F.bround(alike, 6).alias("similarity"))

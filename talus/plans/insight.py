@@ -100,7 +100,7 @@ SELECT event_type, kind, shard, round_even(CASE WHEN kind = 'gauge' THEN max(val
 
 
 def label_clusters(spark, sf_dir):
-    """Labels whose centroids are alike, as connected components."""
+    """Labels whose centroids are alike, clustered around leaders by one greedy pass."""
     c = vectors.centroids(read(spark, sf_dir, "embeddings"), "label", "embedding")  # a row per label
     other = c.select(F.col("label").alias("b"), F.col("centroid").alias("cb"))
     pairs = c.join(small(other), (F.col("label") < F.col("b")) & (vectors.cosine(F.col("centroid"), F.col("cb")) >= 0.05)).select(F.col("label").alias("a"), "b")
@@ -111,7 +111,11 @@ CLUSTERS = """
 WITH RECURSIVE u AS (SELECT label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
 p AS (SELECT label, unnest(range(0, 64)) AS i, unnest(v) AS x FROM u), m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY 1),
 e AS (SELECT a.label AS a, b.label AS b FROM c a JOIN c b ON a.label <> b.label WHERE list_dot_product(a.c, b.c) / sqrt(list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c)) >= 0.05),
-r AS (SELECT label AS name, label AS x FROM c UNION SELECT name, b FROM r JOIN e ON r.x = e.a) SELECT name, min(x) AS cluster FROM r GROUP BY name"""
+n AS (SELECT row_number() OVER (ORDER BY label) AS pos, label, (SELECT coalesce(list(b), []) FROM e WHERE a = label) AS near FROM c),
+g AS (SELECT 0::BIGINT AS pos, []::INT[] AS leaders, NULL::INT AS name, NULL::INT AS cluster
+  UNION ALL SELECT pos, CASE WHEN hit IS NULL THEN list_append(leaders, label) ELSE leaders END, label, coalesce(hit, label)
+  FROM (SELECT n.pos, leaders, label, list_filter(leaders, lambda x: list_contains(near, x))[1] AS hit FROM g JOIN n ON n.pos = g.pos + 1))
+SELECT name, cluster FROM g WHERE name IS NOT NULL"""
 
 QUERIES = {
     "eligibility_scores": (eligibility_scores, ELIGIBILITY), "resume_tenure": (resume_tenure, TENURE), "memory_topk": (memory_topk, MEMORY), "run_rates": (run_rates, RATES),
