@@ -8,7 +8,8 @@ counters taken off a phrase, at most mass / (capacity + 1), stay below the thres
 every frequent n-gram survives. N-grams travel as 40-bit hashes here; equal hashes of
 different n-grams only let more of them survive.
 
-Second pass: n-grams that meet a survivor's hash are counted by their texts.
+Second pass: n-grams that meet a survivor's hash are counted by their texts, packed by the
+same hash partitions, which add them up.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -33,11 +35,11 @@ BETWEEN, BREAKS = " \t", ".,;:!?\n\x0b\x0c\r"
 #: N-grams that a task counts at a time.
 COUNTED = 2_000_000
 #: A hash partition gets the n-grams of about so many bytes of text; there are MIN_PARTS at least.
-PART_BYTES, MIN_PARTS = 512 << 20, 64
+PART_BYTES, MIN_PARTS = 128 << 20, 64
 #: Bits of an n-gram's hash inside its partition.
 KEY_BITS = 40
 #: Up to so many survivors go to the tasks as a filter of 2 ** (FILTER_BITS + 1) bits (16 MB,
-#: whatever the input); more of them meet the n-grams in a join.
+#: whatever the input); more of them meet the n-grams in their hash partition.
 FILTER_KEYS, FILTER_BITS = 4_000_000, 26
 
 _BREAK = np.zeros(256, bool)
@@ -224,12 +226,17 @@ def _passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ok
 
 
+#: What a task counted of one hash partition, as it travels.
+_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
+
+
 def _count(parts: int, most: int, shipped) -> Callable:
-    """Counts by text of the n-grams that pass the filter (all, without one), and, with a null
-    phrase, of the words of each language."""
+    """Counts by text of the n-grams that pass the filter (all, without one), packed by hash
+    partition, and, with a null phrase, of the words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if shipped is None else np.frombuffer(shipped.value, np.uint8)
+        packer = zstandard.ZstdCompressor(level=1)
 
         def send(held: list[_Grams]) -> pa.RecordBatch:
             at_byte = np.cumsum([0] + [len(g.data) for g in held])
@@ -254,15 +261,17 @@ def _count(parts: int, most: int, shipped) -> Callable:
             first, size, key = first[one], size[one].astype(np.int64), key[one]
             bounds = np.concatenate(([0], np.cumsum(size)))
             text, offsets = joined_words(data, w, np.repeat(first - bounds[:-1], size) + np.arange(bounds[-1]), bounds)
-            langs, known = list(names), np.bincount(lang_of, minlength=len(names))
-            word = pa.array(langs, pa.string())
-            nulls = pa.nulls(len(langs), pa.string())
-            zero = np.zeros(len(langs), np.int64)
-            columns = [
-                (word.take(pa.array(lang_of[first])), word), (string_array(text, offsets), nulls), (pa.array(size), pa.array(zero)), (pa.array(counts.astype(np.int64)), pa.array(known.astype(np.int64))),
-                (pa.array(_part_of(key, parts).astype(np.int64)), pa.array(zero)), (pa.array((key & _LOW).astype(np.int64)), pa.array(zero)),
-            ]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(pair) for pair in columns], ["lang", "phrase", "words", "n", "part", "key"])
+            word = pa.array(list(names), pa.string())
+            lang = word.take(pa.array(lang_of[first]))
+            grams = pa.RecordBatch.from_arrays([lang, string_array(text, offsets), pa.array(size), pa.array(counts.astype(np.int64)), pa.array((key & _LOW).astype(np.int64))], schema=_COUNTED)
+            part = _part_of(key, parts).astype(np.int64)  # never falls: the keys are in order
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
+            rows = [(int(part[a]), packer.compress(grams.slice(a, b - a).serialize().to_pybytes())) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            known = np.bincount(lang_of, minlength=len(names)).astype(np.int64)
+            nulls, zero = pa.nulls(len(names), pa.string()), pa.array(np.zeros(len(names), np.int64))
+            totals = pa.RecordBatch.from_arrays([word, nulls, zero, pa.array(known), pa.nulls(len(names), pa.int64())], schema=_COUNTED)
+            rows.append((0, packer.compress(totals.serialize().to_pybytes())))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "key", "counted"])
 
         held, n = [], 0
         for grams in _tokens(batches):
@@ -279,6 +288,47 @@ def _count(parts: int, most: int, shipped) -> Callable:
     return run
 
 
+def _add_up(min_count: int, only_survivors: bool) -> Callable:
+    """Sums of the counts of each partition by language and text; with `only_survivors` the
+    partition's surviving keys come before its counts, and other keys are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        part, keys, waiting, n = -1, [], [], 0
+
+        def total() -> pa.Table:
+            sums = pa.Table.from_batches(waiting, _COUNTED).group_by(["lang", "phrase"]).aggregate([("words", "max"), ("n", "sum"), ("key", "max")])
+            return sums.select(["lang", "phrase", "words_max", "n_sum", "key_max"]).rename_columns(_COUNTED.names)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                sums = total()
+                often = pc.or_(pc.greater_equal(sums["n"], min_count), pc.is_null(sums["phrase"]))
+                yield from sums.filter(often).drop_columns(["key"]).to_batches()
+
+        for batch in batches:
+            for p, key, blob in zip(*[c.to_pylist() for c in batch.columns]):
+                if p != part:
+                    yield from done()
+                    part, keys, waiting, n = p, [], [], 0
+                if blob is None:
+                    keys.append(key)
+                    continue
+                counted = pa.ipc.read_record_batch(pa.py_buffer(unpacker.decompress(blob)), _COUNTED)
+                if only_survivors:
+                    if not isinstance(keys, pa.Array):
+                        keys = pa.array(keys, pa.int64())
+                    counted = counted.filter(pc.or_(pc.is_null(counted["phrase"]), pc.is_in(counted["key"], keys)))
+                waiting.append(counted)
+                n += counted.num_rows
+                if n >= COUNTED:  # sums take less room than what they add up
+                    waiting = total().to_batches()
+                    n = sum(b.num_rows for b in waiting) // 2
+        yield from done()
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS, text: str = "text", lang: str = "lang", filter_keys: int = FILTER_KEYS) -> DataFrame:
     """(lang, phrase, words, n): all phrases of one to `most` words with `min_count` occurrences
     or more in their language, and a row with a null phrase and words 0 for each language
@@ -289,12 +339,12 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, most: int = MA
     kept = SharedTable(surviving_keys(texts, parts, min_count, most), "surviving-keys")
     few = count_rows(kept.df) <= filter_keys
     shipped = docs.sparkSession.sparkContext.broadcast(filter_bits(kept.df)) if few else None
-    counted = texts.mapInArrow(_count(parts, most, shipped), "lang string, phrase string, words bigint, n bigint, part bigint, key bigint")
+    counted = texts.mapInArrow(_count(parts, most, shipped), "part int, key bigint, counted binary")
     if not few:
-        keyed = counted.where("phrase is not null").join(kept.df.select(F.col("part").cast("long").alias("part"), "key"), ["part", "key"], "left_semi")
-        counted = keyed.select(counted.columns).unionByName(counted.where("phrase is null"))
-    totals = counted.groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("n").alias("n"))
-    out = SharedTable(totals.where((F.col("n") >= min_count) | F.col("phrase").isNull()), "frequent-phrases")
+        counted = counted.unionByName(kept.df.select("part", "key", F.lit(None).cast("binary").alias("counted")))
+    by_part = counted.repartition(parts, "part").sortWithinPartitions("part", F.col("counted").isNotNull())
+    # All counts of a phrase are in one partition, the totals of the languages in the first.
+    out = SharedTable(by_part.mapInArrow(_add_up(min_count, not few), "lang string, phrase string, words bigint, n bigint"), "frequent-phrases")
     kept.drop()
     return out.df
 
