@@ -5,20 +5,30 @@ do; `rounds` is a guard for runaway input, and passing it is an error, never an
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def checkpoint_dir(spark) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one in local mode where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut in the shared checkpoint folder."""
+    """`df` with its lineage cut by a table in the shared checkpoint folder: what is read from
+    it again was computed once, has a known size, and survives the loss of any executor."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint()
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _unfinished(rounds: int) -> RuntimeError:

@@ -142,7 +142,6 @@ def prefilter(df: DataFrame, key: Column, seq: str, reasons: list[tuple[str, Col
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles by nearest rank: the value at index round(q * (n - 1)), half to even."""
-    w = Window.partitionBy(*group)
-    placed = df.where(F.col(value).isNotNull()).withColumns({"__n": F.count(F.lit(1)).over(w), "__i": F.row_number().over(w.orderBy(value)) - 1})
-    aggs = [F.max(F.when(F.col("__i") == F.bround(F.lit(q) * (F.col("__n") - 1)), F.col(value))).alias(name) for name, q in shares.items()]
-    return placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    from talus.operators.quantiles import nearest_rank_quantiles
+
+    return nearest_rank_quantiles(df, group, value, shares)

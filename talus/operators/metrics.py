@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.operators.lookup import small
+from talus.operators.quantiles import linear_quantiles
 
 from talus.functions.text import hash_bucket, percent
 
@@ -80,9 +81,9 @@ def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
 # ------------------------------------------------------------------ market
 def benchmark(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, p25, p50, p75): linear percentiles of positive values."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.where(F.col(value) > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-    return out.select(*keys, "n", *[F.bround(F.col("q")[i], 4).alias(p) for i, p in enumerate(("p25", "p50", "p75"))])
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    out = linear_quantiles(df.where(F.col(value) > 0).select(*keys, value), keys, value, shares)
+    return out.select(*keys, "n", *[F.bround(p, 4).alias(p) for p in shares])
 
 
 def growth(snapshots: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:

@@ -52,9 +52,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str,
 
 def similarity_bounds(df: DataFrame, value: str, fallback: tuple[float, float] = (0.30, 0.82), least: int = 20, spread: float = 0.05) -> DataFrame:
     """(floor, ceil, n): P10 and P90, or the fallback for few or flat samples."""
-    g = df.agg(F.count(value).alias("n"), F.percentile(value, F.array(F.lit(0.1), F.lit(0.9))).alias("p"))
-    good = (F.col("n") >= least) & (F.col("p")[1] - F.col("p")[0] >= spread)
-    return g.select(F.when(good, F.col("p")[0]).otherwise(fallback[0]).alias("floor"), F.when(good, F.col("p")[1]).otherwise(fallback[1]).alias("ceil"), "n")
+    from talus.operators.quantiles import linear_quantiles
+
+    p = linear_quantiles(df.select(value), [], value, {"lo": 0.1, "hi": 0.9})
+    g = df.sparkSession.range(1).join(p, F.lit(True), "left")  # one row, with or without a value
+    good = F.coalesce((F.col("n") >= least) & (F.col("hi") - F.col("lo") >= spread), F.lit(False))
+    return g.select(F.when(good, F.col("lo")).otherwise(fallback[0]).alias("floor"), F.when(good, F.col("hi")).otherwise(fallback[1]).alias("ceil"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def similarity_score(value: Column, floor: Column, ceil: Column, top: int = 25) -> Column:
