@@ -26,7 +26,7 @@ from talus.llm.components import connected_components
 
 BYTES = 8
 #: Shingles whose bits are counted in one numpy step.
-COUNTED_SHINGLES = 1 << 17
+COUNTED_SHINGLES = 1 << 15
 #: Posting lists with more distinct fingerprints than this are resolved by bit variants.
 HOT_LIST = 16_384
 #: Distinct fingerprints from which keys of four bytes are used: lists of three grow long.
