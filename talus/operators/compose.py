@@ -194,9 +194,11 @@ def profile_mapping(df: DataFrame, key: str, flat: str, nested: Column, prefixes
     return df.select(key, *[F.coalesce(F.try_element_at(nested, F.lit(field)), lists(p)).alias(field) for field, p in prefixes.items()])
 
 
-def seed_missing(target: DataFrame, seeds: DataFrame, key: str, valid: Column) -> DataFrame:
-    """Valid seed rows whose key the target lacks; the first by key of each."""
-    return seeds.where(F.coalesce(valid, F.lit(False))).dropDuplicates([key]).join(target.select(key), key, "left_anti")
+def seed_missing(target: DataFrame, seeds: DataFrame, key: str, valid: Column, seq: str) -> DataFrame:
+    """Valid seed rows whose key the target lacks; of each key the first by `seq`."""
+    from talus.operators.merge import first_per_key
+
+    return first_per_key(seeds.where(F.coalesce(valid, F.lit(False))), [key], seq).join(target.select(key), key, "left_anti")
 
 
 def category_weights(df: DataFrame, role: str, primary: str, secondary: str) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,35 +57,58 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000, s
     raise _unfinished(rounds)
 
 
-def closure(edges: DataFrame, rounds: int = 10_000, src: str = "src", dst: str = "dst") -> DataFrame:
+def closure(edges: DataFrame, rounds: int = 40, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, reaches, depth): everything reachable along edges, with the least number of
-    steps; a node on a cycle doesn't reach itself."""
-    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct())
-    known = cut(e.select(F.col("a").alias("node"), F.col("b").alias("reaches"), F.lit(1).alias("depth")))
-    frontier = known
-    for depth in range(2, rounds + 1):
-        step = frontier.join(e, frontier["reaches"] == e["a"]).select("node", F.col("b").alias("reaches")).where("node <> reaches").distinct()
-        new = cut(step.join(known.select("node", "reaches"), ["node", "reaches"], "left_anti").withColumn("depth", F.lit(depth)))
+    steps; a node on a cycle doesn't reach itself.
+
+    Path doubling: round i finds the pairs that are more than 2 ** (i - 1) and at most 2 ** i
+    steps apart, as those that lie exactly 2 ** (i - 1) apart followed by any known pair. A
+    chain of n nodes takes log2(n) rounds, and the pairs of a round are written once, beside
+    those of the rounds before.
+    """
+    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("reaches")).where("node <> reaches").distinct()
+    known = [cut(e.withColumn("depth", F.lit(1)))]
+    reach = 1
+    for _ in range(rounds):
+        all_known = reduce(DataFrame.unionByName, known)
+        ends = known[-1].where(F.col("depth") == reach).select("node", F.col("reaches").alias("mid"))
+        step = ends.join(all_known.select(F.col("node").alias("mid"), "reaches", "depth"), "mid").where("node <> reaches")
+        found = step.groupBy("node", "reaches").agg((F.min("depth") + reach).alias("depth"))
+        new = cut(found.join(all_known.select("node", "reaches"), ["node", "reaches"], "left_anti"))
         if new.isEmpty():
-            return known
-        known, frontier = cut(known.unionByName(new)), new
+            return all_known
+        known.append(new)
+        reach *= 2
     raise _unfinished(rounds)
 
 
-def levels(edges: DataFrame, rounds: int = 10_000, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
+def levels(edges: DataFrame, rounds: int = 40, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
     """(levels, cyclic): src depends on dst. Level 0 has no dependency; others are one above
-    their highest. What is never levelled lies on or behind a cycle."""
-    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
-    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    done = cut(nodes.join(e.select(F.col("a").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
-    left = cut(nodes.join(done, "node", "left_anti"))
-    for level in range(1, rounds + 1):
-        open_deps = e.join(done.select(F.col("node").alias("b")), "b", "left_anti").select(F.col("a").alias("node")).distinct()
-        ready = cut(left.join(open_deps, "node", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            return done, left
-        done, left = cut(done.unionByName(ready)), cut(left.join(ready, "node", "left_anti").select("node"))
-    raise _unfinished(rounds)
+    their highest. What has no level lies on or behind a cycle.
+
+    A level is the length of the longest walk. Walks of exactly 1, 2, 4, ... steps are the
+    relation joined with itself; a walk of as many steps as there are nodes means a cycle. The binary
+    digits of each level then follow from the longest walks down, each kept where one more of
+    its length can be walked. Both halves take log2(depth) rounds.
+    """
+    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct())
+    nodes = cut(e.select(F.col("a").alias("node")).union(e.select("b")).distinct())
+    n = nodes.count()
+    walks, length = [e], 1
+    for _ in range(rounds):
+        if length >= n or walks[-1].isEmpty():
+            break
+        last = walks[-1]
+        walks.append(cut(last.select("a", F.col("b").alias("m")).join(last.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()))
+        length *= 2
+    else:
+        raise _unfinished(rounds)
+    cyclic = cut(walks[-1].select(F.col("a").alias("node")).distinct()) if length >= n else nodes.limit(0)
+    at = cut(nodes.join(cyclic, "node", "left_anti").select("node", F.col("node").alias("at"), F.lit(0).alias("level")))
+    for i in reversed(range(len(walks))):
+        moved = cut(at.join(walks[i].select(F.col("a").alias("at"), "b"), "at").select("node", F.col("b").alias("at"), (F.col("level") + 2**i).alias("level")).distinct())
+        at = cut(moved.unionByName(at.join(moved.select("node").distinct(), "node", "left_anti")))
+    return at.groupBy("node").agg(F.max("level").alias("level")), cyclic
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, relation: str | None = None) -> DataFrame:

@@ -81,9 +81,9 @@ def stale_research(jobs: DataFrame, research: DataFrame, as_of: Column, days: in
 
 def batch_signature(df: DataFrame, columns: list[str]) -> DataFrame:
     """(n, signature): an order-free mark of a batch that any number of tasks can add up.
-    Rows count as often as they come: sums of hashes, in two halves, cannot cancel."""
+    Rows count as often as they come: two sums of hashes, in decimals that hold any table's."""
     line = F.concat_ws("|", *columns)
-    half = lambda h: F.hex(F.sum(F.pmod(h, F.lit(1 << 40))))  # noqa: E731  2 ** 23 rows and more fit in a long
+    half = lambda h: F.sum(h.cast("decimal(20,0)")).cast("string")
     return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.concat_ws("-", half(F.xxhash64(line)), half(F.xxhash64(F.lit(1), line))), F.lit("")).alias("signature"))
 
 

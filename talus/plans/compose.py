@@ -443,12 +443,15 @@ MAPPING = "SELECT p_partkey, replace(p_name, ' ', ',') || ',' || p_brand AS firs
 
 
 def company_seeds(spark, sf_dir):
-    """Suppliers as seeds of a company table that has some of them; rows with a bad balance are passed over."""
-    s = read(spark, sf_dir, "supplier").select(text.norm_company(F.col("s_name")).alias("name"), F.col("s_acctbal").alias("tier"))
-    return compose.seed_missing(s.where("tier > 8000"), s, "name", F.col("tier") >= 0)
+    """Suppliers as seeds, eight of which share a name, of a company table that has some of the
+    names; rows with a bad balance are passed over, the first of a name counts."""
+    name = F.concat(F.lit("Supplier "), (F.col("s_suppkey") % 13).cast("string"), F.lit(" Inc."))
+    s = read(spark, sf_dir, "supplier").select(text.norm_company(name).alias("name"), F.col("s_acctbal").alias("tier"), "s_suppkey")
+    return compose.seed_missing(s.where("tier > 9500"), s, "name", F.col("tier") >= 0, "s_suppkey").select("name", "tier")
 
 
-SEEDS = "SELECT lower(s_name) AS name, s_acctbal AS tier FROM supplier WHERE s_acctbal BETWEEN 0 AND 8000"
+SEEDS = """WITH s AS (SELECT 'supplier ' || s_suppkey % 13 AS name, s_acctbal AS tier, s_suppkey FROM supplier)
+SELECT name, arg_min(tier, s_suppkey) AS tier FROM s WHERE tier >= 0 AND name NOT IN (SELECT name FROM s WHERE tier > 9500) GROUP BY name"""
 
 
 def category_weights(spark, sf_dir):

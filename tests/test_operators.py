@@ -1,3 +1,4 @@
+import random
 import datetime as dt
 import json
 
@@ -138,11 +139,59 @@ def test_graph_rounds_are_no_silent_end(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(30)], "src int, dst int, cost double")
     start = spark.createDataFrame([(0,)], "src int")
     assert graph.shortest_paths(chain, start).where("node = 30 and cost = 30").count() == 1
-    for run in (lambda: graph.shortest_paths(chain, start, rounds=5), lambda: graph.closure(chain, rounds=5), lambda: graph.levels(chain, rounds=5)):
+    for run in (lambda: graph.shortest_paths(chain, start, rounds=5), lambda: graph.closure(chain, rounds=3), lambda: graph.levels(chain, rounds=3)):
         with pytest.raises(RuntimeError, match="not done"):
             run()
 
 
+def test_closure_and_levels_take_logarithmic_rounds(spark):
+    chain = spark.range(1023).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    known = graph.closure(chain, rounds=11)
+    assert known.where("depth = reaches - node").count() == known.count() == 1023 * 1024 // 2
+    long = spark.range(4095).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    done, cyclic = graph.levels(long.unionByName(spark.createDataFrame([(9000, 9001), (9001, 9000), (9002, 9001)], "src long, dst long")), rounds=14)
+    assert done.where("level = 4095 - node").count() == done.count() == 4096
+    assert {r["node"] for r in cyclic.collect()} == {9000, 9001, 9002}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_levels_and_closure_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    n = 24
+    edges = {(a, b) for a in range(n) for b in range(n) if (b < a or seed == 3) and rng.random() < 0.09}
+    df = spark.createDataFrame([*edges, *list(edges)[:3]], "src int, dst int")
+    reach, todo = dict.fromkeys(edges, 1), list(edges)
+    while todo:
+        new = {}
+        for a, b in todo:
+            for c, d in edges:
+                if b == c and (a, d) not in reach and (a, d) not in new:
+                    new[a, d] = reach[a, b] + 1
+        reach.update(new)
+        todo = list(new)
+    assert {(r["node"], r["reaches"]): r["depth"] for r in graph.closure(df).collect()} == {p: d for p, d in reach.items() if p[0] != p[1]}
+    nodes = {x for e in edges for x in e}
+    on_cycle = {a for a, b in reach if a == b}
+    bad = on_cycle | {a for a, b in reach if b in on_cycle}
+    level = {}
+
+    def longest(x):
+        if x not in level:
+            level[x] = max((longest(b) + 1 for a, b in edges if a == x), default=0)
+        return level[x]
+
+    done, cyclic = graph.levels(df)
+    assert {r["node"] for r in cyclic.collect()} == bad
+    assert {r["node"]: r["level"] for r in done.collect()} == {x: longest(x) for x in nodes - bad}
+
+
+def test_checksums_do_not_overflow(spark):
+    equal = spark.range(20_000_000).select(F.lit("x").alias("x"), F.lit("y").alias("y"))
+    r = merge.verify_copy(equal, equal).first()
+    assert r["same_count"] and r["same_rows"]
+    assert views.batch_signature(equal, ["x", "y"]).first()["n"] == 20_000_000
+
+
 def test_signature_counts_repeated_rows(spark):
     one = spark.createDataFrame([("a", "b"), ("c", "d")], "x string, y string")
     mark = lambda df: views.batch_signature(df, ["x", "y"]).first()["signature"]
