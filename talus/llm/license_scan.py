@@ -176,8 +176,11 @@ def candidates(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, th
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), parts)
 
 
-def own_licenses(files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, license, score, is_license_file), a row per row of `files`. All tokens weigh by
+def own_licenses(
+    files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str | None = None
+) -> DataFrame:
+    """(path, license, score, is_license_file), a row per row of `files`, and `id` beside the
+    path if `id_col` names a column. All tokens weigh by
     the documents they are in. score is the best cosine of the segments that could reach the
     threshold, 0 if there is none."""
     vocabulary = Vocabulary(TEMPLATES if templates is None else templates)
@@ -189,10 +192,11 @@ def own_licenses(files: DataFrame, path: str = "path", text: str = "text", templ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in text_chunks(batches, text):
             paths = c.batch.column(c.batch.schema.get_field_index(path))
-            yield pa.RecordBatch.from_arrays([paths, candidates(c.data, c.offsets, vocabulary, threshold)], ["path", "segments"])
+            ids = c.batch.column(c.batch.schema.get_field_index(id_col or path))
+            yield pa.RecordBatch.from_arrays([paths, ids, candidates(c.data, c.offsets, vocabulary, threshold)], ["path", "id", "segments"])
 
-    schema = "path string, segments array<struct<template int, dot double, square double, entire boolean, others array<struct<token bigint, tf bigint>>>>"
-    rows = SharedTable(files.select(path, text).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "segments").df
+    schema = f"path string, id {dict(files.dtypes)[id_col or path]}, segments array<struct<template int, dot double, square double, entire boolean, others array<struct<token bigint, tf bigint>>>>"
+    rows = SharedTable(files.select(*dict.fromkeys([path, id_col or path, text])).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "segments").df
     segments = rows.select("row", F.posexplode("segments").alias("s", "x")).select("row", "s", "x.*")
     others = segments.select("row", "s", F.explode("others").alias("o")).select("row", "s", "o.token", "o.tf")
     needed = counts.join(others.select("token").distinct(), "token", "left_semi")
@@ -202,10 +206,13 @@ def own_licenses(files: DataFrame, path: str = "path", text: str = "text", templ
     scored = segments.drop("others").join(rest, ["row", "s"], "left").withColumn("cosine", cosine)
     best = scored.groupBy("row").agg(F.min(F.struct(-F.col("cosine"), "template")).alias("b"), F.max(F.when(F.col("entire"), F.col("cosine"))).alias("whole"))
     best = best.select("row", (-F.col("b.col1")).alias("score"), F.col("b.template").alias("template"), "whole")
-    out = rows.select("path", "row").join(best, "row", "left").withColumn("good", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    kept = ["path"] if id_col is None else ["path", "id"]
+    out = rows.select(*kept, "row").join(best, "row", "left").withColumn("good", F.coalesce(F.col("score") >= threshold, F.lit(False)))
     name = F.element_at(F.array(*[F.lit(x) for x in vocabulary.names]), F.col("template") + 1)
     holds = F.coalesce(F.col("whole") >= threshold, F.lit(False)) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
-    return out.select("path", F.when(F.col("good"), name).alias("license"), F.coalesce("score", F.lit(0.0)).alias("score"), (F.col("good") & holds).alias("is_license_file"))
+    # Roundings may lift a cosine a little above 1.
+    score = F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0))
+    return out.select(*kept, F.when(F.col("good"), name).alias("license"), score.alias("score"), (F.col("good") & holds).alias("is_license_file"))
 
 
 def _directory(path: str):
@@ -213,9 +220,10 @@ def _directory(path: str):
 
 
 def scan_licenses(
-    files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD
+    files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str | None = None
 ) -> DataFrame:
-    """(path, license, score, is_license_file, origin, inherited_from), a row per row.
+    """(path, license, score, is_license_file, origin, inherited_from), a row per row, and `id`
+    beside the path if `id_col` names a column: any id, null or not, stays with its row.
 
     A licence file is named as one (LICENSE, COPYING ...) or is as a whole like a template and
     has FILE_TOKENS tokens or more. origin is own, inherited or none; inherited_from is the directory ('' is the root). Null
@@ -223,7 +231,7 @@ def scan_licenses(
     of a directory is that of its licence file with the highest score, then smallest path.
     Repeated rows give a row each, an empty table none.
     """
-    own = SharedTable(own_licenses(files, path, text, templates, threshold).withColumn("dir", _directory("path")), "own-licences").df
+    own = SharedTable(own_licenses(files, path, text, templates, threshold, id_col).withColumn("dir", _directory("path")), "own-licences").df
     by_dir = own.where("is_license_file and path is not null").groupBy("dir").agg(F.min(F.struct(-F.col("score"), "path", "license")).alias("b"))
     by_dir = by_dir.select(F.col("dir").alias("holder"), F.col("b.license").alias("dir_license"))
     # Directories rather than files are joined with their ancestors; a directory with many
@@ -242,4 +250,4 @@ def scan_licenses(
         salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = own.withColumn("own_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own_salt") == F.col("salt")), "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
-    return joined.select("path", F.coalesce("license", "dir_license").alias("license"), "score", "is_license_file", origin.alias("origin"), "inherited_from")
+    return joined.select("path", *([] if id_col is None else ["id"]), F.coalesce("license", "dir_license").alias("license"), "score", "is_license_file", origin.alias("origin"), "inherited_from")

@@ -35,9 +35,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of their sources: source/language/doc_id.txt."""
     docs = _read(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    out = license_scan.scan_licenses(docs.select(path.alias("path"), "text"))
-    doc_id = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
-    return out.select(doc_id.alias("doc_id"), "path", "license", "score", "is_license_file", "origin", "inherited_from")
+    out = license_scan.scan_licenses(docs.select(path.alias("path"), "doc_id", "text"), id_col="doc_id")
+    return out.select(F.col("id").alias("doc_id"), "path", "license", "score", "is_license_file", "origin", "inherited_from")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

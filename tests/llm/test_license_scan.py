@@ -95,3 +95,21 @@ def test_one_line_notice_is_no_licence_file(spark, monkeypatch):
     for most in (s.SMALL_DIRS, 0):  # broadcast, and by salts
         monkeypatch.setattr(s, "SMALL_DIRS", most)
         assert {r["path"]: (r["license"], r["is_license_file"], r["origin"]) for r in s.scan_licenses(frame).collect()} == want
+
+
+def test_query_keeps_null_negative_and_repeated_ids(spark, tmp_path):
+    from talus.llm.queries import QUERIES
+
+    template = s.TEMPLATES[0][1]
+    rows = [(None, template, "en", "web"), (-5, template, "en", "web"), (5, template, "en", "web"), (5, "plain words", "en", "web"), (7, None, None, None), (8, "", "en", None), (2**62, template, None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted((r[0] for r in rows), key=repr)
+    assert all(0 <= r.score <= 1 for r in got)
+    assert {r.license for r in got if r.doc_id in (None, -5, 2**62)} == {s.TEMPLATES[0][0]}
+
+
+def test_ties_between_templates_take_the_first(spark):
+    templates = [("B", "alpha beta gamma delta"), ("A", "alpha beta gamma delta")]
+    got = s.own_licenses(spark.createDataFrame([("a", "alpha beta gamma delta")], "path string, text string"), templates=templates).first()
+    assert got.license == "B"
