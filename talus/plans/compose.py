@@ -445,7 +445,7 @@ MAPPING = "SELECT p_partkey, replace(p_name, ' ', ',') || ',' || p_brand AS firs
 def company_seeds(spark, sf_dir):
     """Suppliers as seeds, eight of which share a name, of a company table that has some of the
     names; rows with a bad balance are passed over, the first of a name counts."""
-    name = F.concat(F.lit("Supplier "), (F.col("s_suppkey") % 13).cast("string"), F.lit(" Inc."))
+    name = F.concat(F.lit("Supplier "), (F.col("s_suppkey") % 13).cast("string"), F.lit(" Inc"))
     s = read(spark, sf_dir, "supplier").select(text.norm_company(name).alias("name"), F.col("s_acctbal").alias("tier"), "s_suppkey")
     return compose.seed_missing(s.where("tier > 9500"), s, "name", F.col("tier") >= 0, "s_suppkey").select("name", "tier")
 
