@@ -95,7 +95,7 @@ class _Reader(DataSourceReader):
         """Bounds of the key narrow the ranges. Spark applies all filters again: a bound that
         isn't whole, or that other filters narrow too, stays right."""
         for f in filters:
-            if getattr(f, "attribute", None) == (self.table.key,) and isinstance(f.value, int):
+            if getattr(f, "attribute", None) == (self.table.key,) and isinstance(getattr(f, "value", None), int):
                 if isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
                     low = f.value - (not isinstance(f, GreaterThan))
                     self.after = low if self.after is None else max(self.after, low)
