@@ -12,16 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import spread, text_chunks, word_hashes, words_of
+from talus.llm.common import SharedTable, spread, text_chunks, word_hashes, words_of
 
 #: Words in a passage, and buckets of hashed words among the features.
 PASSAGE_WORDS, BUCKETS = 64, 48
-#: Labelled documents used for fitting, and passages of each of them, spread over its whole
-#: text, at most: together the bound of what the driver holds (about 80 MB of features).
-FIT_ROWS, FIT_PASSAGES = 4800, 64
+#: Labelled documents used for fitting, and their passages together, at most: the bound of
+#: what the driver holds (about 80 MB of features). A document is fitted on whole or not at all.
+FIT_ROWS, FIT_TOTAL = 4800, 300_000
 HIDDEN, GATES, EPOCHS, BATCH, RATE, DECAY = 24, 12, 24, 200, 0.01, 1e-4
 THRESHOLD = 0.7
 
@@ -169,11 +169,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_passages: int = FIT_PASSAGES) -> Model:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_total: int = FIT_TOTAL) -> Model:
     """Fit on at most `fit_rows` labelled documents outside the held-out fold, a third of them
-    of label 0 where there are as many, chosen by a hash of the id, and on at most
-    `fit_passages` passages of each, at equal distances. Scores cover all passages. Labels
-    other than 0 and 1 are ignored; an id labelled more than once takes its greatest label,
+    of label 0 where there are as many, chosen by a hash of the id, in whose order documents
+    are taken as long as all their passages together are `fit_total` at most (one that is longer by
+    itself is passed over). Scores cover all passages. Labels other than 0 and 1 are ignored; an id labelled more than once takes its greatest label,
     and of several texts with one id the one with the smallest features is fitted on. Without
     any labelled document the model scores 0.5 throughout."""
     named = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).alias("__y"))
@@ -187,11 +187,15 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", te
             x, doc = passages(c.data, c.offsets)
             ids, y = (c.batch.column(c.batch.schema.get_field_index(k)).take(pa.array(range(c.n))) for k in (id_col, "__y"))
             edge = np.searchsorted(doc, np.arange(c.n + 1))
-            bags = [x[a + np.unique(np.linspace(0, b - a - 1, min(b - a, fit_passages)).astype(np.int64))].tobytes() for a, b in zip(edge, edge[1:])]
+            bags = [x[a:b].tobytes() for a, b in zip(edge, edge[1:])]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.string()), y.cast(pa.int32()), pa.array(bags, pa.binary())], ["id", "y", "x"])
 
     by_id = rows.mapInArrow(run, "id string, y int, x binary").groupBy("id").agg(F.min(F.struct("y", "x")).alias("bag"))
-    got = sorted(by_id.select("id", "bag.*").collect(), key=lambda r: r["id"])  # an id of `chosen` each
+    held = SharedTable(by_id.select("id", "bag.*", (F.octet_length("bag.x") / (4 * FEATURES)).cast("long").alias("n")), "labelled-bags")  # an id of `chosen` each
+    upto = F.sum("n").over(Window.partitionBy().orderBy(F.xxhash64("id"), "id"))  # `fit_rows` rows at most
+    taken = held.df.where(F.col("n") <= fit_total).select("id", "n").withColumn("upto", upto).where(F.col("upto") <= fit_total)
+    got = sorted(held.df.join(F.broadcast(taken.select("id")), "id").collect(), key=lambda r: r["id"])
+    held.drop()
     if not got:
         zero = np.zeros((FEATURES, HIDDEN), np.float32)
         parts = {"w1": zero, "b1": zero[0], "v": zero[:HIDDEN, :GATES], "u": zero[:HIDDEN, :GATES], "g": zero[0, :GATES], "c": zero[0], "d": zero[0, :1]}

@@ -39,6 +39,8 @@ SHARD_CONTEXTS = 6_000
 HOT_ANCHOR, MOST_HOT = 2_000, 1_000_000
 #: Anchors, and contexts, that a task gathers before it hands them on.
 HELD_ANCHORS, HELD_CONTEXTS = 1_000_000, 100_000
+#: Bytes of text whose anchors, and whose contexts, go to one bucket on average, at most.
+ANCHOR_BYTES, CONTEXT_BYTES = 8 << 20, 4 << 20
 #: A context with more places in one task than this does not take them along to its shard.
 WIDE = 16
 SUBS = 256
@@ -93,8 +95,10 @@ def _bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (mixed % np.uint64(buckets)).astype(np.int64), (mixed // np.uint64(buckets) % np.uint64(SUBS)).astype(np.int64)
 
 
-def _buckets(df: DataFrame, for_each: int) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * for_each
+def bucket_number(partitions: int, text_bytes: int, bucket_bytes: int) -> int:
+    """Buckets for texts of so many bytes: their number follows the texts, so that a bucket,
+    which one task holds, stays as large at any size; more of them where there are more tasks."""
+    return max(1, partitions, -(-text_bytes // bucket_bytes))
 
 
 # ------------------------------------------------------------------ shared anchors
@@ -469,7 +473,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
         raise ValueError("window must be gram to gram + 14 words")
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    buckets = _buckets(docs, 2)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = bucket_number(2 * partitions, size, ANCHOR_BYTES)
     blobs = named.where("doc is not null").mapInArrow(_anchor_blobs(window, gram, buckets), "bucket bigint, proven boolean, blob binary")
     met = blobs.groupBy("bucket").applyInArrow(_shared(HOT_ANCHOR), "doc bigint, anchor bigint, places bigint")
     shared = SharedTable(met, "shared-anchors")
@@ -478,7 +484,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
     texts = _packed(named)
     # In one order, so that a task that runs again gathers the same contexts.
     placed = texts.join(by_doc, "doc").select("doc", "packed", F.sort_array("anchors").alias("anchors")).sortWithinPartitions("doc", "packed")
-    buckets = _buckets(docs, 4)
+    buckets = bucket_number(4 * partitions, size, CONTEXT_BYTES)
     contexts = placed.mapInArrow(_contexts(window, gram, buckets, hot, WIDE), CONTEXTS)
     matches = SharedTable(contexts.groupBy("bucket").applyInArrow(_search(window, SHARD_CONTEXTS), MATCHES), "matches")
     shared.drop()

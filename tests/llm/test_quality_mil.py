@@ -78,13 +78,17 @@ def test_scores_match_a_naive_forward_pass():
         np.testing.assert_allclose(weight[doc == i], a, rtol=1e-3, atol=1e-4)
 
 
-def test_fit_takes_passages_from_the_whole_text(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(q, "fit", lambda x, doc, y: seen.update(n=np.bincount(doc), x=x) or "model")
-    docs = spark.createDataFrame([(1, "word " * 64 * 500 + "last! $$$ " * 20), (3, "a b")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
-    assert q.fit_on_labels(docs, labels, fit_passages=10) == "model"
-    assert sorted(seen["n"].tolist()) == [1, 10]
+def test_fit_reads_whole_texts_within_its_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda x, doc, y: seen.append((len(x), np.bincount(doc).tolist(), y.tolist())) or "model")
+    sizes = {i: 1 + i % 5 for i in range(40)} | {41: 400}
+    docs = spark.createDataFrame([(i, " ".join(["word"] * (n * q.PASSAGE_WORDS - 3))) for i, n in sizes.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in sizes], "doc_id long, quality int")
+    assert q.fit_on_labels(docs, labels) == "model"
+    assert q.fit_on_labels(docs, labels, fit_total=30) == "model"
+    free = [i for i in sizes if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(seen[0][1]) == sorted(sizes[i] for i in free)  # every passage of every document
+    assert 25 < seen[1][0] <= 30 and all(n in (1, 2, 3, 4, 5) for n in seen[1][1])  # whole documents, none cut
 
 
 def test_fit_does_not_depend_on_the_order_of_rows_that_share_an_id(spark, monkeypatch):

@@ -75,3 +75,15 @@ def test_matches_brute_force(spark, hot, shard, wide, monkeypatch):
 
 def test_empty(spark):
     assert s.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_buckets_follow_the_texts():
+    """The largest bucket of anchors stays as large from 1 to 8 times the texts."""
+    rng = np.random.default_rng(2)
+    largest = []
+    for times in (1, 2, 4, 8):
+        keys = rng.integers(0, 2**47, 40_000 * times)
+        buckets = s.bucket_number(4, times * 20 * s.ANCHOR_BYTES, s.ANCHOR_BYTES)
+        largest.append(np.bincount(s._bucket(keys, buckets)[0], minlength=buckets).max())
+    assert max(largest) < 1.2 * min(largest)
+    assert s.bucket_number(50, 0, s.ANCHOR_BYTES) == 50 and s.bucket_number(0, 1, s.ANCHOR_BYTES) == 1
