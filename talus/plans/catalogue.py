@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.plans import compose, insight, platform, postings, ranked, reports, similar, views
+from talus.plans import compose, exports, insight, platform, postings, ranked, reports, similar, views
 
-_ALL = ranked.QUERIES | reports.QUERIES | postings.QUERIES | insight.QUERIES | views.QUERIES | compose.QUERIES | similar.QUERIES | platform.QUERIES
+_ALL = ranked.QUERIES | reports.QUERIES | postings.QUERIES | insight.QUERIES | views.QUERIES | compose.QUERIES | similar.QUERIES | platform.QUERIES | exports.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
