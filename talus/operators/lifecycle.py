@@ -155,3 +155,50 @@ def append_once(batch: DataFrame, target: str, markers: str, run_id: str, keys:
     accepted = spark.read.schema(batch.schema).parquet(f"{target}/{name}").count()
     spark.createDataFrame([(run_id, signature, fetched, accepted)], MARKERS).coalesce(1).write.mode("append").parquet(markers)
     return True, _table(spark, markers, MARKERS).where((F.col("run_id") == run_id) & (F.col("signature") == signature))
+
+
+# ------------------------------------------------------------------ versions of a table
+VERSIONS = "version int, name string, rows bigint"
+
+
+def migrate(spark: SparkSession, path: str, steps: list[tuple[int, str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """Bring the table at `path`, whose first state is path/v=0, through the steps (version,
+    name, change) in the order of their versions, each into a folder v=version, and return
+    (version, name, rows) of all recorded ones.
+
+    A step is recorded behind its folder: one that broke runs again and replaces what it
+    wrote, one that is recorded never does, and a step below the last recorded version is an error.
+    """
+    log = f"{path}/versions"
+    done = {r.version for r in _table(spark, log, VERSIONS).collect()}
+    last = max(done, default=0)
+    for version, name, change in sorted(steps, key=lambda s: s[0]):
+        if version in done:
+            continue
+        if version <= last:
+            raise ValueError(f"version {version} comes after {last}, which is recorded")
+        out = change(spark.read.parquet(f"{path}/v={last}"))
+        out.write.mode("overwrite").parquet(f"{path}/v={version}")
+        rows = spark.read.parquet(f"{path}/v={version}").count()
+        spark.createDataFrame([(version, name, rows)], VERSIONS).coalesce(1).write.mode("append").parquet(log)
+        last = version
+    return _table(spark, log, VERSIONS)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table at `path` in its last recorded version."""
+    last = _table(spark, f"{path}/versions", VERSIONS).agg(F.max("version")).first()[0] or 0
+    return spark.read.parquet(f"{path}/v={last}")
+
+
+# ------------------------------------------------------------------ tenants
+def write_scoped(df: DataFrame, path: str, tenant: str, column: str = "tenant_id") -> None:
+    """Replace the tenant's rows of the table at `path`. Every row is written as the tenant's,
+    whatever its own column says; other tenants' rows are not touched."""
+    named = df.withColumn(column, F.lit(tenant))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def read_scoped(spark: SparkSession, path: str, tenant: str, column: str = "tenant_id") -> DataFrame:
+    """The tenant's rows; the scan lists no other tenant's folder."""
+    return spark.read.parquet(path).where(F.col(column) == tenant)

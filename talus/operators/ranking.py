@@ -90,3 +90,16 @@ def precision_ndcg(df: DataFrame, group: str, rank: str, relevant: str, k: int)
     best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int"))), F.lit(0.0), lambda t, i: t + 1 / F.log2(i + 1))
     ideal = F.when(F.col("n_relevant") > 0, best)
     return got.select(group, F.bround(F.col("hits") / F.lit(float(k)), 4).alias("precision_at_k"), F.bround(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 4).alias("ndcg_at_k"))
+
+
+def precision_ndcg_at(df: DataFrame, group: str, order: list[Column], relevant: str, k: int) -> DataFrame:
+    """precision_ndcg of the rows in `order`. Only the first k of a group are ranked, by a
+    partial ranking in each task; what is relevant is counted by an aggregate."""
+    first = top_per_group(df, [group], order, k)
+    gain = F.when(F.col(relevant), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
+    got = first.groupBy(group).agg(F.sum(F.col(relevant).cast("int")).alias("hits"), F.sum(gain).alias("dcg"))
+    counts = df.groupBy(F.col(group).alias("__g")).agg(F.sum(F.col(relevant).cast("int")).alias("n_relevant"))
+    both = got.join(counts, F.col(group).eqNullSafe(F.col("__g")))
+    best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int"))), F.lit(0.0), lambda t, i: t + 1 / F.log2(i + 1))
+    ideal = F.when(F.col("n_relevant") > 0, best)
+    return both.select(group, F.bround(F.col("hits") / F.lit(float(k)), 4).alias("precision_at_k"), F.bround(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 4).alias("ndcg_at_k"))

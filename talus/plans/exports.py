@@ -1,12 +1,15 @@
 """Driver queries of the report tables and their checks, over orders as postings (survey A19,
-B12, B14, B22, C6, C7, D3, E13, E37, L14), with their SQL."""
+B12, B14, B22, C6, C7, C29, D3, E13, E33, E37, G10, L8, L13, L14), with their SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from talus.functions import gates, text
-from talus.operators import compose, exports
+from talus.functions import gates, sentences, text
+from talus.operators import compose, exports, lifecycle, merge
+from talus.operators.graph import checkpoint_dir
 from talus.plans.ranked import read
 
 PLACES = ["Milano, Italy", "London", "Berlin", "Duke Street 1", "Remote - Europe", " Oslo ", "Nowhere", "", "New York, USA", "Amsterdam"]
@@ -16,6 +19,10 @@ TITLES = ["Product Intern", "Senior Director", "Strategy Internship", "Data Engi
 TEXTS = ["English speaking team, hybrid work. " * 2, "Italian required for this role, fluent.", "German is a plus, but not required here.", "Fully remote position for analysts."]
 
 
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _pick(values, key):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int") + 1)
 
@@ -160,7 +167,74 @@ def watchlist_flags(spark, sf_dir):
 
 WATCHED = "SELECT c_custkey, lower(c_name) IN (SELECT lower(c_name) FROM customer WHERE c_acctbal > 5000) AS watched FROM customer"
 
+def match_explanations(spark, sf_dir):
+    """Parts as matches: reasons by their coverage, demand and gaps."""
+    k = F.col("p_partkey")
+    gaps = F.slice(F.array(*[F.lit(x) for x in ("sql", "go", "rust", "excel", "r")]), 1, (k % 6).cast("int"))
+    reasons = F.when(k % 7 > 0, sentences.match_reasons((k % 201) / 200, k % 4, gaps))
+    return read(spark, sf_dir, "part").select("p_partkey", sentences.explain(reasons, F.col("p_name"), (k % 201) / 2).alias("explanation"))
+
+
+EXPLAIN = """WITH p AS (SELECT p_partkey AS k, p_name, ['sql', 'go', 'rust', 'excel', 'r'][1:p_partkey % 6] AS g FROM part)
+SELECT k AS p_partkey, CASE WHEN k % 7 = 0 THEN 'Recommended ' || p_name || ' (score ' || round_even(k % 201 / 2.0::DOUBLE, 0)::INT || '/100).' ELSE
+  concat_ws(' ', round_even(k % 201 / 200.0::DOUBLE * 100, 0)::INT || '% skill-match with the role.', CASE WHEN k % 4 > 0 THEN 'Strong market demand (' || k % 4 || ' recent postings).' END,
+  CASE WHEN k % 6 = 0 THEN 'No remaining skill gaps — apply-ready.' ELSE k % 6 || ' skill gap(s) to close: ' || array_to_string(g[1:3], ', ') || '.' END) END AS explanation FROM p"""
+
+
+def plan_summary(spark, sf_dir):
+    """Orders as recommendations, customers as prioritised roles, parts as planned ones."""
+    kinds = sentences.KINDS + ["OTHER"]
+    r = read(spark, sf_dir, "orders").select(_pick(kinds, F.col("o_orderkey")).alias("kind"))
+    p = read(spark, sf_dir, "customer").select((1 + F.col("c_custkey") % 4).alias("tier"))
+    w = read(spark, sf_dir, "part").select(_pick(["this_week", "next_week", "later"], F.col("p_partkey")).alias("slot"))
+    return sentences.plan_summary(r, p, w)
+
+
+SUMMARY = """WITH o AS (SELECT o_orderkey % 6 AS k FROM orders), c AS (SELECT c_custkey % 4 AS t FROM customer), p AS (SELECT p_partkey % 3 AS s FROM part)
+SELECT (SELECT count(*) FROM o) || ' recommendations: ' || (SELECT count(*) FROM c WHERE t = 0) || ' Tier-1, ' || (SELECT count(*) FROM c WHERE t = 1) || ' Tier-2, ' || (SELECT count(*) FROM c WHERE t > 1) || ' Tier-3. '
+  || (SELECT count(*) FROM p WHERE s = 0) || ' role(s) planned this week, ' || (SELECT count(*) FROM p WHERE s = 1) || ' next week.' AS application_status,
+  'Focus: ' || (SELECT count(*) FROM o WHERE k = 0) || ' apply-immediately, ' || (SELECT count(*) FROM o WHERE k = 1) || ' apply-this-week, ' || (SELECT count(*) FROM o WHERE k = 2) || ' stretch, ' || (SELECT count(*) FROM o WHERE k = 3) || ' monitor.' AS recommended_focus"""
+
+
+def tenant_writes(spark, sf_dir):
+    """Two tenants' orders written under their name, one of them twice: what the first one reads."""
+    o, path = read(spark, sf_dir, "orders").select("o_orderkey", F.lit("other").alias("tenant_id")), _folder(spark, "tenants")
+    for tenant, rows in (("a", o.where("o_orderkey % 2 = 0")), ("b", o), ("a", o.where("o_orderkey % 5 = 0"))):
+        lifecycle.write_scoped(rows, path, tenant)
+    return lifecycle.read_scoped(spark, path, "a").unionByName(lifecycle.read_scoped(spark, path, "b").where("o_orderkey % 100 = 1"))
+
+
+TENANTS = "SELECT o_orderkey, 'a' AS tenant_id FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'b' FROM orders WHERE o_orderkey % 100 = 1"
+
+
+def recorded_migration(spark, sf_dir):
+    """Customers through three recorded versions: a column more, its values, a column less; run twice."""
+    path = _folder(spark, "migrated")
+    read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name").write.parquet(f"{path}/v=0")
+    steps = [
+        (1, "expand", lambda df: df.withColumn("tier", F.lit(None).cast("int"))), (2, "backfill", lambda df: df.withColumn("tier", F.when(F.col("c_acctbal") > 5000, 1).otherwise(2))), (3, "contract", lambda df: df.drop("c_acctbal")),
+    ]
+    lifecycle.migrate(spark, path, steps[:2])
+    lifecycle.migrate(spark, path, steps)
+    versions = lifecycle.migrate(spark, path, steps).agg(F.count(F.lit(1)).alias("versions"))  # one row
+    return lifecycle.latest(spark, path).crossJoin(F.broadcast(versions)).select("c_custkey", "c_name", F.col("tier").cast("long").alias("tier"), "versions")
+
+
+MIGRATED = "SELECT c_custkey, c_name, (CASE WHEN c_acctbal > 5000 THEN 1 ELSE 2 END)::BIGINT AS tier, 3::BIGINT AS versions FROM customer"
+
+
+def flag_upserts(spark, sf_dir):
+    """Flags by segment and nation, some set anew and some added: a conflict of both keys updates."""
+    c = read(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    old, new = c.where("c_nationkey < 15").withColumn("flag", F.lit("old")), c.where("c_nationkey % 2 = 0").withColumn("flag", F.lit("new"))
+    return merge.upsert(old, new.withColumn("n", F.col("n") + 1), ["c_mktsegment", "c_nationkey"])
+
+
+FLAGS = """WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2)
+SELECT c_mktsegment, c_nationkey, CASE WHEN c_nationkey % 2 = 0 THEN n + 1 ELSE n END AS n, CASE WHEN c_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS flag FROM c WHERE c_nationkey < 15 OR c_nationkey % 2 = 0"""
+
 QUERIES = {
+    "match_explanations": (match_explanations, EXPLAIN), "plan_summary": (plan_summary, SUMMARY), "tenant_writes": (tenant_writes, TENANTS), "recorded_migration": (recorded_migration, MIGRATED), "flag_upserts": (flag_upserts, FLAGS),
     "country_fields": (country_fields, COUNTRIES), "jobs_master": (jobs_master, MASTER), "report_sheets": (report_sheets, SHEETS), "acquisition_gates": (acquisition_gates, ACQUIRE),
     "score_offenders": (score_offenders, OFFENDERS), "geography_audit": (geography_audit, AUDIT), "run_statistics": (run_statistics, STATISTICS), "document_metrics": (document_metrics, DOCUMENTS),
     "watchlist_flags": (watchlist_flags, WATCHED),

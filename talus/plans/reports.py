@@ -372,8 +372,7 @@ SELECT conv_id, n, sha256(CASE WHEN length(s) > 200 THEN s[1:200] || '…' ELSE
 
 def precision_ndcg(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    ranked = ranking.row_numbers(docs, [F.desc("n_chars"), F.asc("doc_id")], ["source"]).withColumn("good", F.col("quality") == 0)
-    return ranking.precision_ndcg(ranked, "source", "rank", "good", 5)
+    return ranking.precision_ndcg_at(docs.withColumn("good", F.col("quality") == 0), "source", [F.desc("n_chars"), F.asc("doc_id")], "good", 5)
 
 
 NDCG = """

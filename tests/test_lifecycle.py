@@ -70,3 +70,36 @@ def test_a_run_counts_once(spark, tmp_path):
     assert run(one, "r2")[1].first().accepted == 0  # another run of the same rows adds nothing new
     rows = spark.read.option("recursiveFileLookup", "true").schema(one.schema).parquet(target)
     assert sorted(map(tuple, rows.collect())) == [("a", 0), ("b", 2), ("c", 6)]
+
+
+def test_versions_are_recorded_and_run_once(spark, tmp_path):
+    path, ran = str(tmp_path / "t"), []
+    spark.range(5).write.parquet(f"{path}/v=0")
+
+    def step(version, fails=False):
+        def change(df):
+            ran.append(version)
+            if fails and ran.count(version) == 1:
+                raise RuntimeError("broke")
+            return df.withColumn(f"c{version}", F.lit(version))
+
+        return (version, f"step {version}", change)
+
+    steps = [step(2, fails=True), step(1)]
+    with pytest.raises(RuntimeError, match="broke"):
+        lifecycle.migrate(spark, path, steps)
+    assert [r.version for r in lifecycle.migrate(spark, path, steps).orderBy("version").collect()] == [1, 2]
+    assert ran == [1, 2, 2] and lifecycle.latest(spark, path).columns == ["id", "c1", "c2"]
+    lifecycle.migrate(spark, path, [*steps, step(5)])
+    with pytest.raises(ValueError):
+        lifecycle.migrate(spark, path, [step(3)])
+
+
+def test_a_tenant_writes_and_reads_its_own_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "b"), (2, None)], "k int, tenant_id string")
+    lifecycle.write_scoped(df, path, "a")
+    lifecycle.write_scoped(df.where("k = 1"), path, "b")
+    lifecycle.write_scoped(df.where("k = 2"), path, "a")
+    assert [tuple(r) for r in lifecycle.read_scoped(spark, path, "a").collect()] == [(2, "a")]
+    assert [tuple(r) for r in lifecycle.read_scoped(spark, path, "b").collect()] == [(1, "b")]
