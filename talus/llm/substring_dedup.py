@@ -40,7 +40,7 @@ HOT_ANCHOR, MOST_HOT = 2_000, 1_000_000
 #: Anchors, and contexts, that a task gathers before it hands them on.
 HELD_ANCHORS, HELD_CONTEXTS = 1_000_000, 100_000
 #: Bytes of text whose anchors, and whose contexts, go to one bucket on average, at most.
-ANCHOR_BYTES, CONTEXT_BYTES = 8 << 20, 4 << 20
+ANCHOR_BYTES, CONTEXT_BYTES = 4 << 20, 1 << 20
 #: A context with more places in one task than this does not take them along to its shard.
 WIDE = 16
 SUBS = 256
