@@ -4,8 +4,10 @@ A page is read into text blocks, each with the path of tags from the root. Text
 punctuation are aggregated per path; the ratios of text and of punctuation to the nodes of a
 path are smoothed over its nearest paths in the tree, fused, and paths whose fused ratio
 reaches the page's threshold are content. What an element's name or class says (navigation,
-advert, article ...) is a weight in the fusion, so that it can tip the scale but not decide
-without the ratios. Headings, list items, table cells and other blocks that are no sentences
+advert, article ...) is a weight in the fusion. Names that mean an element apart (nav, footer,
+advert ...) weigh so much that they decide for texts that look like the article's; names that
+often mean one only tip the scale; and no name of an element that holds a page's main heading and
+nearly all of its text counts. Headings, list items, table cells and other blocks that are no sentences
 follow the content that they stand beside.
 """
 
@@ -57,7 +59,9 @@ OFTEN_APART_WORDS = re.compile(
 )
 ARTICLE_WORDS = re.compile(_WORDS.format(r"article|articlebody|post|entry|story|content|main|body|text"), re.I)
 #: Weights of an element in the fusion; of those around a block, the least below one counts, and ARTICLE once.
-APART_WEIGHT, OFTEN_APART_WEIGHT, ARTICLE_WEIGHT = 0.05, 0.25, 2.0
+APART_WEIGHT, OFTEN_APART_WEIGHT, ARTICLE_WEIGHT = 0.05, 0.5, 2.0
+#: An element with the main heading and this share of a page's text outside links is the page itself: its name says nothing.
+WHOLE_PAGE = 0.8
 #: Smoothing: weight of the path above or below, and of one beside. A path is content from this share of the page's best ratio on,
 #: and from LEAST on, which a few words apart from any article do not reach.
 NEAR, BESIDE, SHARE, LEAST = 0.1, 0.05, 0.7, 0.5
@@ -222,11 +226,27 @@ def _smooth(order: list[tuple[str, ...]], values: np.ndarray) -> np.ndarray:
     return out
 
 
-def path_weight(path: tuple[str, ...]) -> float:
-    weights = [float(m[1]) for m in map(WEIGHT.search, path) if m]
+def path_weight(path: tuple[str, ...], whole: set[tuple[str, ...]] = frozenset()) -> float:
+    weights = [float(m[1]) for k, m in enumerate(map(WEIGHT.search, path), 1) if m and (float(m[1]) > 1 or path[:k] not in whole)]
     return min([1.0, *weights]) * max([1.0, *weights])
 
 
+def whole_page(found: list[Block]) -> set[tuple[str, ...]]:
+    """Paths of elements with a name against them that hold the main heading and WHOLE_PAGE of
+    the page's text outside links."""
+    chars: dict[tuple[str, ...], int] = {}
+    headed, total = set(), 0
+    for b in found:
+        free = len(b.text) - min(b.linked, len(b.text))
+        total += free
+        for k, m in enumerate(map(WEIGHT.search, b.path), 1):
+            if m and float(m[1]) < 1:
+                chars[b.path[:k]] = chars.get(b.path[:k], 0) + free
+                if any(step.split(".")[0].split("!")[0] == "h1" for step in b.path[k:]):
+                    headed.add(b.path[:k])
+    return {p for p in headed if chars[p] >= WHOLE_PAGE * total}
+
+
 def fused_ratios(found: list[Block]) -> tuple[dict[tuple[str, ...], float], float]:
     """(fused ratio of each path, the page's threshold). A path has its text that is in no
     link and its punctuation marks for each node, both smoothed; their product on a logarithmic
@@ -244,7 +264,8 @@ def fused_ratios(found: list[Block]) -> tuple[dict[tuple[str, ...], float], floa
     text, points = _smooth(order, (chars - linked) / np.maximum(nodes, 1)), _smooth(order, marks / np.maximum(nodes, 1))
     free = 1 - linked / np.maximum(chars, 1)
     plain = np.log1p(text * (points + 0.3)) * free
-    weight = np.array([path_weight(p) for p in order])
+    whole = whole_page(found)
+    weight = np.array([path_weight(p, whole) for p in order])
     threshold = max(LEAST, SHARE * float((plain * np.minimum(weight, 1)).max(initial=0.0)))
     return dict(zip(order, (plain * weight).tolist())), threshold
 
@@ -252,7 +273,7 @@ def fused_ratios(found: list[Block]) -> tuple[dict[tuple[str, ...], float], floa
 def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
     """Paths that reach the threshold, and paths of no sentences in the same element as one
     of them, unless their names speak against it or most of their text is in links."""
-    ratios, threshold = fused_ratios(found)
+    (ratios, threshold), whole = fused_ratios(found), whole_page(found)
     keep = {p for p, v in ratios.items() if v >= threshold}
     around = {p[:-1] for p in keep}
     chars, linked = dict.fromkeys(ratios, 0), dict.fromkeys(ratios, 0)
@@ -260,7 +281,7 @@ def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
         chars[b.path] += len(b.text)
         linked[b.path] += min(b.linked, len(b.text))
     for p in ratios:
-        plain = p and p[-1].split(".")[0].split("!")[0] in NO_SENTENCE and path_weight(p) >= 1 and linked[p] < 0.6 * chars[p]
+        plain = p and p[-1].split(".")[0].split("!")[0] in NO_SENTENCE and path_weight(p, whole) >= 1 and linked[p] < 0.6 * chars[p]
         if plain and any(p[:k] in around for k in range(len(p))):
             keep.add(p)
     return keep

@@ -97,6 +97,17 @@ def test_ratios_decide_where_no_name_tells():
     assert sum(ratios[b.path] < threshold for b in blocks(BARE)) >= 5  # menu, advert, two comments, copyright line
 
 
+def test_names_of_wrappers_and_of_boxes_in_the_article_do_not_lose_it():
+    inner = f"<h1>The mill</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    whole = f"The mill\n{PROSE}\n{PROSE}"
+    assert main_text(f"<div id='page-nav-wrapper' class='has-sidebar nav'><article>{inner}</article></div><div>Hello, you!</div>") == whole
+    assert main_text(f"<form action=x>{inner}<input></form><div class=footer>Copyright 2020, all.</div>") == whole
+    assert main_text(f"<article><h1>The mill</h1><p>{PROSE}</p><div class=share><p>{PROSE}</p></div></article>") == whole
+    # A heap of comments without the main heading stays apart, however long.
+    comments = "<section class=comments>" + f"<div><p>{PROSE}</p></div>" * 30 + "</section>"
+    assert main_text(f"<article>{inner}</article>{comments}") == whole
+
+
 def test_names_do_not_decide_alone():
     page = f"<div class=share><p>{PROSE}</p><p>{PROSE}</p></div><div class=post><p>Tiny.</p></div>"
     assert main_text(page).startswith(PROSE)
