@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import gates, scoring, text
 from talus.operators import language, merge, ranking, vectors
+from talus.operators.graph import cut
 from talus.operators.lookup import small
 from talus.plans.ranked import read
 from talus.sources import postings as sources
@@ -14,7 +15,7 @@ from talus.sources import postings as sources
 def posting_pipeline(spark, sf_dir):
     """Documents as postings: fingerprint, dedupe, reasons, score, bucket, rank, action."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    rows = docs.select("doc_id", "source", "lang", "n_chars", text.fingerprint(F.lower("text"), F.col("lang")).alias("fp"))
+    rows = cut(docs.select("doc_id", "source", "lang", "n_chars", text.fingerprint(F.lower("text"), F.col("lang")).alias("fp")))  # texts are hashed once
     reason = F.when(F.col("n_chars") < 100, "too_short").when(F.col("lang") == "es", "language")
     kept = rows.join(merge.first_per_key(rows.select("fp", "doc_id"), ["fp"], "doc_id").select("doc_id"), "doc_id", "left_semi").where(reason.isNull())
     marked = kept.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.functions import gates, scoring, text
+from talus.operators.graph import cut
 from talus.operators import lookup, ranking
 
 
@@ -283,7 +284,9 @@ def prefilter_reasons(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     key = F.sha2(text.natural_key(F.col("text"), F.col("lang")), 256)
     reasons = [("expired", F.col("doc_id") % 17 == 0), ("geo_rejected", F.col("lang") == "es"), ("role_rejected", F.col("n_chars") < 200), ("seniority_rejected", F.col("source") == "src3")]
-    return lookup.prefilter(docs, key, "doc_id", reasons).select("doc_id", "reason")
+    # Keys of whole texts are hashed once: both sides of the join read them from a table.
+    rows = cut(docs.select("doc_id", "lang", "n_chars", "source", key.alias("key")))
+    return lookup.prefilter(rows, F.col("key"), "doc_id", reasons).select("doc_id", "reason")
 
 
 PREFILTER_SQL = """
