@@ -152,7 +152,7 @@ def _meet(kind: type, min_cosine: float):
             if to - at < 2 or (not same and cut in (at, to)):
                 continue
             unit = _units(list(vec[at:to]), kind)
-            keys = np.frombuffer(b"".join(packed[at:to]), np.int32).reshape(to - at, -1)[:, :table]
+            keys = np.frombuffer(b"".join(packed[at:to]), np.int32).reshape(to - at, table)
             end = (to if same else cut) - at
             for low in range(0, end, STRIP):
                 high = min(low + STRIP, end)
@@ -218,7 +218,8 @@ def embedding_components(
     # Vectors of other lengths never meet: the length is a part of the bucket.
     bucket = F.xxhash64("key", F.octet_length("vec")).alias("bucket")
     spread = nodes.select("node", "n", "vec", "packed", F.posexplode("keys").alias("t", "key"))
-    posts = spread.select("node", "n", "vec", "packed", "t", bucket)
+    # A table needs the bucket numbers of the tables before it only.
+    posts = spread.select("node", "n", "vec", F.substring("packed", F.lit(1), 4 * F.col("t")).alias("packed"), "t", bucket)
     # A bucket of one block meets itself; a larger one is dealt to blocks, each pair of which
     # meets once: block i goes to the tasks (i, j) and (j, i) of all blocks j.
     large = posts.groupBy("t", "bucket").count().where(F.col("count") > BLOCK)
