@@ -44,6 +44,29 @@ ACTIONS = ["Apply Immediately", "Apply This Week", "Find Referral First", "Resea
 IN_PIPELINE = ["Applied", "Online Assessment", "Interview", "Final Round", "Offer", "Rejected"]
 PRIMARY = ["ai_strategy", "product_management", "digital_transformation", "business_strategy"]
 AI_TRACKS = PRIMARY[:3]
+# Sentences of a recommendation: its signals, and the reasons of each action.
+SIGNALS = {
+    "role": "Strong role fit", "sponsor": "High sponsorship likelihood", "ai": "AI initiatives align with MBA specialization", "place": "Target geography match",
+    "mode": "Flexible work mode",
+}
+REASONS = {
+    "pipeline": "Already in pipeline (%s)", "below": "Score below strategic threshold", "moderate": "Moderate fit — revisit if capacity allows",
+    "referral": "Sponsorship unlikely — secure a referral to strengthen the case", "research": "High-fit role — research the company before applying", "top": "Top-tier match",
+    "strong": "Strong match",
+}
+# Sentences of a recommendation by metrics: strengths, risks and preparation.
+STRENGTHS = {
+    "mba": "Strong MBA-level fit", "ai": "Strong AI / Digital-Transformation alignment", "brand": "High employer-brand value", "interview": "Competitive interview probability",
+    "sponsor": "Favorable sponsorship likelihood",
+}
+RISKS = {"interview": "Low interview probability (stretch)", "sponsor": "Sponsorship uncertain", "effort": "High application effort", "roi": "Low expected ROI"}
+PREPARATION = {
+    "always": "Tailor CV and cover letter to the role", "product": "Practice product-sense and product-case interviews", "ai": "Prepare 2-3 AI / digital-transformation strategy examples",
+    "strategy": "Prepare a structured business/strategy case", "people": "Revise people-analytics / workforce metrics and tooling",
+    "network": "Network with alumni/employees at %s to secure a referral", "visa": "Confirm visa-sponsorship availability before investing time",
+    "time": "Block extra preparation time; expect strong competition",
+}
+BY_METRICS = "Tier %d (composite %s): interview %d%%, ROI %d, AI/DT fit %d, sponsorship %d%%."
 
 
 def clamp(value: Column, low: int, high: int) -> Column:
@@ -155,24 +178,24 @@ def recommend(df: DataFrame, geo_match: Column | None = None) -> DataFrame:
     note = lambda condition, said: F.when(condition, F.lit(said))
     signals = F.array_compact(
         F.array(
-            note((score >= 80) | role.isin(PRIMARY), "Strong role fit"),
-            note(sponsor.isin("Likely", "High"), "High sponsorship likelihood"),
-            note(role.isin(AI_TRACKS), "AI initiatives align with MBA specialization"),
-            note(F.lit(False) if geo_match is None else geo_match, "Target geography match"),
-            note(F.coalesce("work_mode", F.lit("")).isin("Remote", "Hybrid"), "Flexible work mode"),
+            note((score >= 80) | role.isin(PRIMARY), SIGNALS["role"]),
+            note(sponsor.isin("Likely", "High"), SIGNALS["sponsor"]),
+            note(role.isin(AI_TRACKS), SIGNALS["ai"]),
+            note(F.lit(False) if geo_match is None else geo_match, SIGNALS["place"]),
+            note(F.coalesce("work_mode", F.lit("")).isin("Remote", "Hybrid"), SIGNALS["mode"]),
         )
     )
     said = lambda x: F.array(F.lit(x))
     or_else = lambda x: F.when(F.size(signals) > 0, signals).otherwise(said(x))
     cases = [
-        (status.isin(IN_PIPELINE), "Skip", F.array(F.concat(F.lit("Already in pipeline ("), status, F.lit(")")))),
-        (score < 50, "Skip", said("Score below strategic threshold")),
-        (score < 70, "Save For Later", said("Moderate fit — revisit if capacity allows")),
-        (sponsor == "No", "Find Referral First", F.concat(said("Sponsorship unlikely — secure a referral to strengthen the case"), signals)),
-        (~researched & (score >= 80), "Research Company", F.concat(said("High-fit role — research the company before applying"), signals)),
-        (score >= 90, "Apply Immediately", or_else("Top-tier match")),
+        (status.isin(IN_PIPELINE), "Skip", F.array(F.format_string(REASONS["pipeline"], status))),
+        (score < 50, "Skip", said(REASONS["below"])),
+        (score < 70, "Save For Later", said(REASONS["moderate"])),
+        (sponsor == "No", "Find Referral First", F.concat(said(REASONS["referral"]), signals)),
+        (~researched & (score >= 80), "Research Company", F.concat(said(REASONS["research"]), signals)),
+        (score >= 90, "Apply Immediately", or_else(REASONS["top"])),
     ]
-    action, reason = F.lit("Apply This Week"), or_else("Strong match")
+    action, reason = F.lit("Apply This Week"), or_else(REASONS["strong"])
     for condition, name, why in reversed(cases):
         action, reason = F.when(condition, F.lit(name)).otherwise(action), F.when(condition, why).otherwise(reason)
     out = df.withColumns({"recommendation": action, "recommendation_reason": F.array_distinct(reason)})
@@ -189,26 +212,26 @@ def recommend_by_metrics(df: DataFrame) -> DataFrame:
         .when((c("interview_prob") <= 40) & (c("ai_dt_fit") >= 70), "STRETCH_ROLE").when(c("roi") >= 60, "APPLY_THIS_WEEK").otherwise("MONITOR")
     )
     strengths = [
-        (c("mba_fit") >= 70, "Strong MBA-level fit"), (c("ai_dt_fit") >= 70, "Strong AI / Digital-Transformation alignment"), (c("brand") >= 70, "High employer-brand value"),
-        (c("interview_prob") >= 60, "Competitive interview probability"), (c("sponsorship_prob") >= 60, "Favorable sponsorship likelihood"),
+        (c("mba_fit") >= 70, STRENGTHS["mba"]), (c("ai_dt_fit") >= 70, STRENGTHS["ai"]), (c("brand") >= 70, STRENGTHS["brand"]),
+        (c("interview_prob") >= 60, STRENGTHS["interview"]), (c("sponsorship_prob") >= 60, STRENGTHS["sponsor"]),
     ]
     risks = [
-        (c("interview_prob") <= 40, "Low interview probability (stretch)"), (c("sponsorship_prob") <= 40, "Sponsorship uncertain"),
-        (c("effort") >= 60, "High application effort"), (c("roi") <= 40, "Low expected ROI"),
+        (c("interview_prob") <= 40, RISKS["interview"]), (c("sponsorship_prob") <= 40, RISKS["sponsor"]),
+        (c("effort") >= 60, RISKS["effort"]), (c("roi") <= 40, RISKS["roi"]),
     ]
     company = F.coalesce("company", F.lit("the company"))
     preparation = [
-        (F.lit(True), "Tailor CV and cover letter to the role"),
-        (role == "product_management", "Practice product-sense and product-case interviews"),
-        (role.isin(AI_TRACKS), "Prepare 2-3 AI / digital-transformation strategy examples"),
-        (role == "business_strategy", "Prepare a structured business/strategy case"),
-        (role.isin(TRACK_B[2:]), "Revise people-analytics / workforce metrics and tooling"),
-        (c("interview_prob") <= 40, F.concat(F.lit("Network with alumni/employees at "), company, F.lit(" to secure a referral"))),
-        (c("sponsorship_prob") <= 40, "Confirm visa-sponsorship availability before investing time"),
-        (c("effort") >= 60, "Block extra preparation time; expect strong competition"),
+        (F.lit(True), PREPARATION["always"]),
+        (role == "product_management", PREPARATION["product"]),
+        (role.isin(AI_TRACKS), PREPARATION["ai"]),
+        (role == "business_strategy", PREPARATION["strategy"]),
+        (role.isin(TRACK_B[2:]), PREPARATION["people"]),
+        (c("interview_prob") <= 40, F.format_string(PREPARATION["network"], company)),
+        (c("sponsorship_prob") <= 40, PREPARATION["visa"]),
+        (c("effort") >= 60, PREPARATION["time"]),
     ]
     lists = {name: F.array_compact(F.array(*[note(*pair) for pair in table])) for name, table in (("strengths", strengths), ("risks", risks), ("preparation", preparation))}
-    reason = F.format_string("Tier %d (composite %s): interview %d%%, ROI %d, AI/DT fit %d, sponsorship %d%%.", "tier", c("composite").cast("string"), "interview_prob", "roi", "ai_dt_fit", "sponsorship_prob")
+    reason = F.format_string(BY_METRICS, "tier", c("composite").cast("string"), "interview_prob", "roi", "ai_dt_fit", "sponsorship_prob")
     return df.withColumns(lists | {"recommendation_type": kind, "recommendation_reason": reason})
 
 

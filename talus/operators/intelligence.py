@@ -92,21 +92,21 @@ def eligibility(df: DataFrame, text: str, profile: dict[str, str] | None = None)
     return out.withColumn("eligibility_score", sum((F.col(k) for k in list(parts)[1:]), F.col("language_accessibility"))).drop("__l", "__v")
 
 
+# Notes of an explanation by score component, each from a number of points on.
+NOTES = {
+    "track_alignment": [(24, "Strong primary track alignment (AI/Product/Strategy)"), (10, "Secondary track alignment"), (None, "Unclassified role")],
+    "skill_match": [(15, "strong skill keyword overlap"), (8, "moderate skill overlap")],
+    "mba_relevance": [(10, "MBA-caliber opportunity signals present")],
+    "company_quality": [(13, "Tier 1 company"), (11, "Tier 2 company")],
+    "pivot_bonus": [(4, "explicit AI × strategy intersection in JD")],
+}
+
+
 def explanation(df: DataFrame) -> Column:
-    """A sentence of ordered threshold phrases from the score components."""
-    c = F.col
-    note = lambda *cases: _first_note(cases)
-    return F.concat(
-        F.concat_ws(
-            ". ",
-            note((c("track_alignment") >= 24, "Strong primary track alignment (AI/Product/Strategy)"), (c("track_alignment") >= 10, "Secondary track alignment"), (F.lit(True), "Unclassified role")),
-            note((c("skill_match") >= 15, "strong skill keyword overlap"), (c("skill_match") >= 8, "moderate skill overlap")),
-            note((c("mba_relevance") >= 10, "MBA-caliber opportunity signals present")),
-            note((c("company_quality") >= 13, "Tier 1 company"), (c("company_quality") >= 11, "Tier 2 company")),
-            note((c("pivot_bonus") >= 4, "explicit AI × strategy intersection in JD")),
-        ),
-        F.lit("."),
-    )
+    """A sentence of ordered threshold phrases from the score components: of each component
+    the first note whose threshold it reaches."""
+    notes = [_first_note(tuple((F.lit(True) if least is None else F.col(component) >= least, said) for least, said in table)) for component, table in NOTES.items()]
+    return F.concat(F.concat_ws(". ", *notes), F.lit("."))
 
 
 def _first_note(cases: tuple) -> Column:
