@@ -44,6 +44,8 @@ ANCHOR_BYTES, CONTEXT_BYTES = 4 << 20, 1 << 20
 #: A context with more places in one task than this does not take them along to its shard.
 WIDE = 16
 SUBS = 256
+#: Places whose windows are laid out at a time.
+PLACE_BLOCK = 1 << 16
 
 
 def anchors(data: np.ndarray, w: Words, hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -348,7 +350,13 @@ def first_documents(contexts: list[bytes], least: np.ndarray, window: int) -> tu
 
 def _covered(firsts: np.ndarray, cut: np.ndarray, which: np.ndarray, doc: np.ndarray, mark: np.ndarray, first: np.ndarray) -> pa.Table:
     """Removed stretches of places of the contexts `which`: runs of windows whose first
-    document is smaller than the place's."""
+    document is smaller than the place's. Places of copies are many, and each is as long as
+    its windows, so they are laid out a block at a time."""
+    blocks = (slice(lo, lo + PLACE_BLOCK) for lo in range(0, len(which), PLACE_BLOCK))
+    return pa.concat_tables([_matches(0), *(_covered_block(firsts, cut, which[b], doc[b], mark[b], first[b]) for b in blocks)])
+
+
+def _covered_block(firsts: np.ndarray, cut: np.ndarray, which: np.ndarray, doc: np.ndarray, mark: np.ndarray, first: np.ndarray) -> pa.Table:
     n = (cut[1:] - cut[:-1])[which]
     edge = np.cumsum(n) - n
     inside = np.arange(int(n.sum())) - np.repeat(edge, n)

@@ -87,3 +87,23 @@ def test_buckets_follow_the_texts():
         largest.append(np.bincount(s._bucket(keys, buckets)[0], minlength=buckets).max())
     assert max(largest) < 1.2 * min(largest)
     assert s.bucket_number(50, 0, s.ANCHOR_BYTES) == 50 and s.bucket_number(0, 1, s.ANCHOR_BYTES) == 1
+
+
+def test_places_in_blocks_equal_a_loop(monkeypatch):
+    monkeypatch.setattr(s, "PLACE_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 11, 20)
+    cut = np.concatenate(([0], np.cumsum(size)))
+    firsts = rng.integers(0, 9, cut[-1])
+    which, doc, mark, first = rng.integers(0, 20, 60), rng.integers(0, 9, 60), rng.integers(-5, 5, 60), rng.integers(0, 99, 60)
+    want = []
+    for c, d, m, f in zip(which, doc, mark, first):
+        gone = [firsts[cut[c] + i] < d for i in range(size[c])]
+        for i in range(size[c]):
+            if gone[i] and not (i and gone[i - 1]):
+                n = next((k for k in range(i, size[c]) if not gone[k]), size[c]) - i
+                want.append((d, m, f + i, n))
+    found = s._covered(firsts, cut, which, doc, mark, first)
+    assert [tuple(r[k] for k in ("doc", "mark", "start", "windows")) for r in found.to_pylist()] == want
+    none = np.zeros(0, np.int64)
+    assert len(s._covered(firsts, cut, none, none, none, none)) == 0
