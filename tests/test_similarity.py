@@ -130,6 +130,30 @@ def test_dense_top_k_equals_brute_force(spark):
     assert out.count() == 0
 
 
+def test_dense_top_k_writes_no_row_for_a_pair(spark, monkeypatch):
+    """Vectors without clusters, of which nothing can be pruned: pairs are compared in tasks, not written."""
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(24)]) for i in range(1200)]
+    df, written, cut = spark.createDataFrame(rows, "id long, v array<float>"), [], sim.cut
+
+    def counted(table):
+        out = cut(table)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(sim, "cut", counted)
+    out, share = sim.dense_top_k(df.where("id % 2 = 0"), df, "id", "id", "v", 3, block=100)
+    assert share.first().compared > 600_000 and sum(written) < 60_000  # 3 rows a query and block
+    import numpy as np
+
+    v = np.array([r[1] for r in rows], np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    alike = np.round(v @ v.T, 6)
+    np.fill_diagonal(alike, -2)
+    got = {(r.query, r["rank"]): r.id for r in out.collect()}
+    assert got == {(q, k + 1): i for q in range(0, 1200, 2) for k, i in enumerate(np.argsort(-alike[q], kind="stable")[:3])}
+
+
 def greedy(names, pairs):
     near = {frozenset(p) for p in pairs}
     leaders, out = [], {}
