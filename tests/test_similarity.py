@@ -154,6 +154,34 @@ def test_dense_top_k_writes_no_row_for_a_pair(spark, monkeypatch):
     assert got == {(q, k + 1): i for q in range(0, 1200, 2) for k, i in enumerate(np.argsort(-alike[q], kind="stable")[:3])}
 
 
+def test_common_words_are_multiplied_in_tiles(spark, monkeypatch):
+    """Words that most texts share join to too many pairs: no table of pairs is written, and the rows are the same."""
+    written, cut = [], sim.cut
+
+    def counted(table):
+        out = cut(table)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(sim, "cut", counted)
+    monkeypatch.setattr(sim, "KEY_PAIRS", 2_000, raising=False)
+    monkeypatch.setattr(sim, "TILE", 64, raising=False)
+    rng = random.Random(5)
+    rows = [(i, "t", " ".join(rng.choices([f"w{j}" for j in range(14)], k=rng.randrange(9, 14)) + [f"x{rng.randrange(9)}"])) for i in range(600)]
+    df = sim.bags(spark.createDataFrame(rows, "id long, tenant string, text string"), ["id", "tenant"], "text")
+    bagged = {i: bag(t) for i, _, t in rows}
+    got = {(r.a, r.b): r.similarity for r in sim.cosine_pairs(df, "id", 0.8).collect()}
+    want = {(a, b): cos(bagged[a], bagged[b]) for a in bagged for b in bagged if a < b and cos(bagged[a], bagged[b]) >= 0.8}
+    assert got.keys() == want.keys() and all(abs(got[p] - s) < 2e-6 for p, s in want.items())
+    top = {(r.query, r["rank"]): r for r in sim.sparse_top_k(df.where("id % 5 = 0"), df, "id", "id", "tenant", 3, 0.05).collect()}
+    for q in range(0, 600, 5):
+        near = sorted((-cos(bagged[q], b), m) for m, b in bagged.items())[:4]
+        assert [top[q, r].similarity for r in (1, 2, 3)] == pytest.approx([-s for s, _ in near[:3]], abs=2e-6)
+        if all(a[0] == b[0] or abs(a[0] - b[0]) > 2e-6 for a, b in zip(near, near[1:])):  # else a last digit may decide
+            assert [top[q, r].memory for r in (1, 2, 3)] == [m for _, m in near[:3]]
+    assert max(written) < 12_000
+
+
 def greedy(names, pairs):
     near = {frozenset(p) for p in pairs}
     leaders, out = [], {}
