@@ -222,3 +222,9 @@ def test_acquisition_and_publishing_on_ties_and_nulls(spark):
     old = spark.createDataFrame([(1, "k", "x")], "event_id int, kind string, key string")
     new = spark.createDataFrame([(1, "k", "y"), (2, "k", "x"), (3, "k", "z"), (4, "k", "z"), (5, "k", None), (6, "k", None), (6, "k", None)], "event_id int, kind string, key string")
     assert sorted(r["event_id"] for r in compose.publish_once(new, old, "event_id", "kind", "key", "event_id").collect()) == [3, 5, 6]
+
+
+def test_keywords_with_a_space_are_substrings_and_words_end_at_any_letter(spark):
+    rows = [(1, "on.\nOf | tht"), (2, "thof "), (3, "émit"), (4, "(MIT)"), (5, "mité smite mit_"), (6, "x off")]
+    hits = lookup.keyword_categories(spark.createDataFrame(rows, "id int, t string"), "id", "t", {"a": ["of "], "b": ["mit"]})
+    assert {r.id: dict(r.categories) for r in hits.collect()} == {1: {"a": ["of "]}, 2: {"a": ["of "]}, 3: {}, 4: {"b": ["mit"]}, 5: {}, 6: {}}
