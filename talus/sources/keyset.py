@@ -15,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: Rows of a partition, about, where the option `rows` says nothing.
 ROWS = 1_000_000
+#: Partitions of a read at most, as each reads whole row groups: beyond it, ranges are longer than `rows`.
+PARTS = 256
 
 
 @dataclass
@@ -56,7 +58,7 @@ class _Table:
         return out
 
     def ranges(self, after: int | None, until: int | None) -> list[KeyRange]:
-        """Ranges of about `rows` rows each: the bounds of the row groups, as if keys lay evenly
+        """Ranges of about `rows` rows each, or PARTS longer ones: the bounds of the row groups, as if keys lay evenly
         between them, cut where the counted rows pass a multiple of it."""
         groups = [(max(a, a if after is None else after + 1), min(b, b if until is None else until), n) for a, b, n in self.groups()]
         groups = sorted(g for g in groups if g[0] <= g[1])
@@ -64,7 +66,7 @@ class _Table:
             return []
         last = max(b for _, b, _ in groups)
         total = sum(n for _, _, n in groups)
-        parts = max(1, -(-total // self.rows))
+        parts = min(PARTS, max(1, -(-total // self.rows)))
         edges = sorted({a - 1 for a, _, _ in groups} | {b for _, b, _ in groups})
         held = lambda x: sum(n * min(1.0, max(0, x - a + 1) / (b - a + 1)) for a, b, n in groups)
         cuts = [after]

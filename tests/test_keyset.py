@@ -50,3 +50,10 @@ def test_empty_tables_and_options(spark, tmp_path):
     assert keyset.read_keys(spark, path, "k").count() == 0
     with pytest.raises(Exception, match="path and key"):
         spark.read.format("keyset").option("path", path).load()
+
+
+def test_the_number_of_partitions_is_bounded(spark, tmp_path):
+    """A range reads whole row groups: short ranges of a long table would read each of them often."""
+    spark.range(100_000).withColumnRenamed("id", "k").coalesce(1).write.parquet(str(tmp_path / "long"))
+    df = keyset.read_keys(spark, str(tmp_path / "long"), "k", 20)
+    assert df.rdd.getNumPartitions() <= 256 and df.agg({"k": "sum"}).first()[0] == 99_999 * 50_000
