@@ -240,6 +240,20 @@ GATE = T.StructType(
 )
 
 
+#: Lower-case letters of which every match of a pattern holds one, by label; patterns with LANG need one of LANGUAGE_STEMS.
+STEMS = {
+    "mother_tongue": ["tongue"], "native_speaker": ["native"], "local_language_required": ["local"], "mother_tongue_specific": ["madrelingua", "muttersprache", "maternelle", "moedertaal", "materna"],
+    "eu_citizenship_required": ["eu "], "must_be_eu_citizen": ["must "], "must_have_work_authorization": ["work"], "work_authorization_required": ["authori"], "right_to_work_required": ["right"],
+    "no_visa_sponsorship": ["sponsor"], "cannot_sponsor": ["sponsor"], "work_permit_required": ["permit"], "swiss_authorization_required": ["swiss"], "eu_residents_only": ["eu "],
+    "candidate_authorization_required": ["candidate"],
+}
+LANGUAGE_STEMS = (
+    "italian german deutsch tedesco french fran dutch nederlands flemish vlaams spanish espa spagnolo castellano portugu mandarin chinese arabic polish czech romanian"
+    " hungarian swedish norwegian danish finnish russian turkish korean japanese hebrew greek catalan"
+).split()
+#: Letters that patterns take for ASCII ones in either case, but lower() doesn't.
+FOLDED = re.compile("[\u017f\u0130\u0131\u212a]")
+
 _TABLES: dict[str, list[tuple[str, re.Pattern]]] = {}  # compiled once for each worker
 
 
@@ -260,17 +274,27 @@ def _judge(texts: pd.Series, table: list[tuple[str, re.Pattern]]) -> pd.DataFram
     """First match, in the order of the table, without a softener in the characters after
     it; and the labels whose matches have one."""
     soft = re.compile(rf"\b(?:{SOFTENERS})\b", re.I)
-    out = []
-    for text in map(_shown, texts):
+    out, seen = [], {}
+    for raw in texts:
+        if raw in seen:  # texts of this batch that repeat
+            out.append(seen[raw])
+            continue
+        text = _shown(raw)
+        low, odd = text.lower(), FOLDED.search(text) is not None
+        language = odd or any(stem in low for stem in LANGUAGE_STEMS)
         ok, label, snippet, softened = True, None, None, []
         if len(text) >= 5:
             for name, pattern in table:
+                # Patterns that can't match are not searched for.
+                if not (odd or any(stem in low for stem in STEMS[name]) if name in STEMS else language):
+                    continue
                 for m in pattern.finditer(text):
                     if soft.search(text[m.end() : m.end() + SOFT_WINDOW]):
                         softened.append(name)
                     elif ok:
                         ok, label, snippet = False, name, m[0].strip()[:60]
-        out.append((ok, label, snippet, sorted(set(softened))))
+        seen[raw] = (ok, label, snippet, sorted(set(softened)))
+        out.append(seen[raw])
     return pd.DataFrame(out, columns=["ok", "label", "snippet", "softened"])
 
 

@@ -101,3 +101,27 @@ def test_every_country_may_be_a_focus(spark):
     greek = {r[0]: r[1] for r in frame.select("place", gates.geography(F.col("place"), ["gr", "ee"])["ok"]).collect()}
     assert greek == {"Athens, Greece": True, "Tallinn": True, "Padova": False, "Breda": False, "Remote": True, "Remote, Riga": False}
     assert {r[0] for r in frame.where(~gates.outside_focus(F.col("place"), ["it", "nl"])).collect()} == {"Padova", "Breda", "Remote"}
+
+
+def test_gates_search_only_for_what_can_match():
+    """Texts without a stem of a pattern aren't searched, and those that repeat are judged once."""
+    import re
+    import time
+
+    import pandas as pd
+
+    from talus.functions import gates
+
+    tables = {"language": gates.LANGUAGE_GATE, "visa": gates.VISA_GATE}
+    said = ["Italian required here", "fluent in French", "C1 German", "mother-tongue", "Native speaker of English", "native speaker", "local language is required", "lengua materna", "EU citizens only: open to EU citizens",
+            "must be an EU citizen", "must hold work permit", "right to work is required", "no visa sponsorship", "will not sponsor", "\u017fwiss permit is required", "work authorisation needed", "candidates must have permission to work"]
+    for name, table in tables.items():
+        compiled = gates._compiled(name, table)
+        got = gates._judge(pd.Series([*said, None]), compiled)
+        for text, found in zip(said, got["label"]):
+            first = next((n for n, p in compiled if p.search(text)), None)
+            assert found == first, text
+    text = "plain words of an advert for a house by the river " * 4000
+    start = time.process_time()
+    gates._judge(pd.Series([text + str(i % 2) for i in range(40)]), gates._compiled("language", gates.LANGUAGE_GATE))
+    assert time.process_time() - start < 3 and re
