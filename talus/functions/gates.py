@@ -240,13 +240,18 @@ GATE = T.StructType(
 )
 
 
-#: Lower-case letters of which every match of a pattern holds one, by label; patterns with LANG need one of LANGUAGE_STEMS.
+#: Lower-case letters of which every match of a pattern holds one, by label; patterns with LANG need one of LANGUAGE_STEMS and of LANGUAGE_ALSO.
 STEMS = {
     "mother_tongue": ["tongue"], "native_speaker": ["native"], "local_language_required": ["local"], "mother_tongue_specific": ["madrelingua", "muttersprache", "maternelle", "moedertaal", "materna"],
     "eu_citizenship_required": ["eu "], "must_be_eu_citizen": ["must "], "must_have_work_authorization": ["work"], "work_authorization_required": ["authori"], "right_to_work_required": ["right"],
     "no_visa_sponsorship": ["sponsor"], "cannot_sponsor": ["sponsor"], "work_permit_required": ["permit"], "swiss_authorization_required": ["swiss"], "eu_residents_only": ["eu "],
     "candidate_authorization_required": ["candidate"],
 }
+LANGUAGE_ALSO = {
+    "language_required_colon": [":"], "fluent_language": ["fluent"], "must_use_language": ["speak", "write", "communicate", "work"], "language_proficiency_required": ["proficiency", "fluency", "command"],
+    "language_speaking_role": ["speaking"], "native_language": ["native"], "language_native": ["native", "madrelingua", "muttersprache"], "c1c2_language": ["c1", "c2"], "b2_language": ["b2"],
+    "language_prerequisite": ["requirement", "prerequisite"], "language_speakers_only": ["speaker"], "language_level_parenthetical": ["("],
+}
 LANGUAGE_STEMS = (
     "italian german deutsch tedesco french fran dutch nederlands flemish vlaams spanish espa spagnolo castellano portugu mandarin chinese arabic polish czech romanian"
     " hungarian swedish norwegian danish finnish russian turkish korean japanese hebrew greek catalan"
@@ -286,7 +291,8 @@ def _judge(texts: pd.Series, table: list[tuple[str, re.Pattern]]) -> pd.DataFram
         if len(text) >= 5:
             for name, pattern in table:
                 # Patterns that can't match are not searched for.
-                if not (odd or any(stem in low for stem in STEMS[name]) if name in STEMS else language):
+                stems = STEMS.get(name) or LANGUAGE_ALSO.get(name)
+                if not odd and (name not in STEMS and not language or stems and not any(stem in low for stem in stems)):
                     continue
                 for m in pattern.finditer(text):
                     if soft.search(text[m.end() : m.end() + SOFT_WINDOW]):
