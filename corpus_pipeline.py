@@ -6,7 +6,8 @@ and read again as the next stage's docs. All but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import line_dedup, mixing, packing, quality_mil, simhash
@@ -34,8 +35,21 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 
+def _row_order(docs: DataFrame) -> Column:
+    """The order in which the rows of `docs` were written, or stand if it isn't read from files.
+    Spark reads files by size and cuts large ones, so row numbers of a scan are not that order."""
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    order = F.struct(F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).try_cast("long").alias("part"), file.alias("file"), row.alias("row"))
+    try:
+        docs.select(order)
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return order
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, written in the order of the mix at the target weights."""
+    """Every document, written in the order of the mix at the target weights, which packing follows."""
+    docs = docs.unionByName(docs.limit(0))  # rows of the mix must not show their places in the files of `docs`
     mixed = mixing.mix_order(docs).groupBy("id").agg(F.min(F.struct("slot", "position")).alias("place"))
     # The document's columns stay in one struct, so that none of their names can clash.
     row = free_name(docs.columns, "row")
@@ -46,8 +60,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document with their places in sequences of packing.SEQUENCE tokens."""
-    return packing.pack_documents(docs).withColumnRenamed("id", "doc_id")
+    """The pieces of every document with their places in sequences of packing.SEQUENCE tokens.
+    Sequences hold neighbours in the order of `docs`, the mix, and follow it by sequence_id."""
+    return packing.pack_documents(docs, order=_row_order(docs)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -7,6 +7,9 @@ are enumerated in a branch-and-bound search whose incumbent is the best-fit solu
 whose branches are cut by the waste that a better solution may still have. The emptiest
 sequences of many shards are then opened and packed again together, so that sharding costs
 about one sequence for each group of shards.
+
+Documents may have an order, such as that of a mix. Then shards are stretches of it instead,
+and sequences stand in the order of their longest pieces, so that they follow it.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import SharedTable, count_rows, text_chunks
+from talus.llm.common import SharedTable, count_rows, free_name, text_chunks
+from talus.operators.ranking import global_rank
 
 SEQUENCE = 2048
 #: Pieces in a shard, on average; the largest shard of a hash is a few per cent larger.
@@ -105,12 +109,16 @@ def _units() -> _Units:
     return _UNITS["units"]
 
 
-def token_pieces(docs: DataFrame, length: int = SEQUENCE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, piece, start, length, ids_crc32): the pieces of every whole document.
+def token_pieces(docs: DataFrame, length: int = SEQUENCE, text: str = "text", id_col: str = "doc_id", order: Column | None = None) -> DataFrame:
+    """(id, piece, start, length, ids_crc32): the pieces of every whole document; with
+    `order`, its value for the document follows as `place`.
 
     A null text is an empty one: the closing id alone. Repeated rows are packed each.
     """
     kind = dict(docs.dtypes)[id_col]
+    name = free_name([id_col.lower(), text.lower()], "place")
+    rows = docs.select(id_col, text, *([] if order is None else [order.alias(name)]))
+    also = [f"place {k}" for c, k in rows.dtypes if c == name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in text_chunks(batches, text):
@@ -130,12 +138,14 @@ def token_pieces(docs: DataFrame, length: int = SEQUENCE, text: str = "text", id
                     size.append(step)
                     crc.append(zlib.crc32(tokens[4 * at : 4 * (at + step)]))
                     at, k, step = at + step, k + 1, length
+            of = pa.array(row, pa.int64())
+            places = [c.batch.column(2).take(of)] if also else []
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, size, crc)]],
-                ["id", "piece", "start", "length", "ids_crc32"],
+                [ids.take(of), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, size, crc)], *places],
+                ["id", "piece", "start", "length", "ids_crc32", *["place" for _ in places]],
             )
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(run, ", ".join([f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint", *also]))
 
 
 # ------------------------------------------------------------------ one shard
@@ -284,18 +294,22 @@ def _complete(sizes: list[int], capacity: int, goal: int, nodes: int) -> tuple[l
 # ------------------------------------------------------------------ all shards
 def _packer(capacity: int, pool: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        ties = ["place"] if "place" in group else ["id", "piece", "ids_crc32"]
+        group = group.sort_values(["length", *ties], ascending=[False, *[True for _ in ties]], kind="stable").reset_index(drop=True)
+        place = group["place"].tolist() if "place" in group else None
         sizes = group["length"].tolist()
         bins = bin_completion(sizes, capacity)
         free = [capacity - sum(sizes[i] for i in b) for b in bins]
         worst = set(sorted(range(len(bins)), key=lambda b: -free[b])[:pool]) if pool else set()
         seq, off, is_open = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
         for b, members in enumerate(bins):
-            at = 0
+            at, number = 0, b
+            if place:
+                number, members = place[min(members)], sorted(members, key=place.__getitem__)  # rows are sorted: the first one is the longest
             for i in members:
-                seq[i], off[i], is_open[i] = b, at, b in worst and free[b] * 20 > capacity
+                seq[i], off[i], is_open[i] = number, at, b in worst and free[b] * 20 > capacity
                 at += sizes[i]
-        group["sequence_id"] = seq + (group["shard"].to_numpy(np.int64) << 24)
+        group["sequence_id"] = seq if place else seq + (group["shard"].to_numpy(np.int64) << 24)
         group["offset"], group["open"] = off, is_open
         return group
 
@@ -308,20 +322,33 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     Places in a sequence are gapless from 0. Shards have a bounded number of pieces at any
     size of the corpus, because both numbers of shards follow the number of pieces, and
     repeated rows are dealt out like others.
+
+    If `pieces` has a column `place`, shards are stretches of its order (pieces of a document
+    by `piece`), and sequence_id is the number of the sequence's longest piece in it, the first
+    of equal ones: in the order of sequence_id, what fills the sequences comes as in that
+    order. The few sequences that are packed again take from up to POOL_SHARDS stretches.
     """
-    shards = max(1, -(-count_rows(pieces) // SHARD_PIECES))
-    row = F.monotonically_increasing_id()  # `pieces` is a written table: a task that runs again numbers its rows alike
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32", row), F.lit(shards)).cast("long"))
+    n = count_rows(pieces)
+    shards = max(1, -(-n // SHARD_PIECES))
+    if "place" in pieces.columns:
+        order = [F.asc("place"), F.asc("piece")]
+        numbered = global_rank(pieces, order, buckets=min(4096, 1 + n // (4 * SHARD_PIECES)), name="number")
+        dealt = numbered.select(*[c for c in pieces.columns if c != "place"], (F.col("number") - 1).cast("long").alias("place"))
+        dealt = dealt.withColumn("shard", F.floor(F.col("place") / SHARD_PIECES).cast("long"))
+    else:
+        row = F.monotonically_increasing_id()  # `pieces` is a written table: a task that runs again numbers its rows alike
+        dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32", row), F.lit(shards)).cast("long"))
     kind = ", ".join(f"{c} {t}" for c, t in dealt.dtypes) + ", sequence_id bigint, offset bigint, open boolean"
     first = SharedTable(dealt.groupBy("shard").applyInPandas(_packer(capacity, POOL_SEQUENCES), kind), "packed").df
-    columns = [*pieces.columns, "sequence_id", "offset"]
+    columns = [*[c for c in pieces.columns if c != "place"], "sequence_id", "offset"]
     again = first.where("open").drop("sequence_id", "offset", "open")
     again = again.withColumn("shard", -1 - F.floor(F.col("shard") / POOL_SHARDS).cast("long"))
     again = again.groupBy("shard").applyInPandas(_packer(capacity, 0), kind)
     return first.where("not open").select(columns).unionByName(again.select(columns))
 
 
-def pack_documents(docs: DataFrame, length: int = SEQUENCE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = SEQUENCE, text: str = "text", id_col: str = "doc_id", order: Column | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every
-    document. An empty table gives no rows; null ids are packed like others."""
-    return pack_pieces(SharedTable(token_pieces(docs, length, text, id_col), "pieces").df, length)
+    document, in `order` where one is given. An empty table gives no rows; null ids are packed
+    like others."""
+    return pack_pieces(SharedTable(token_pieces(docs, length, text, id_col, order), "pieces").df, length)

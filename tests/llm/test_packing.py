@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from talus.llm import packing
@@ -74,3 +76,22 @@ def test_search_goes_on_after_a_success():
     assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 15 for b in bins)
     fit = packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 15)
     assert len(bins) < len(fit) - 1 or len(fit) == packing.lower_bound(np.array(sizes), 15)
+
+
+def test_sequences_follow_an_order(spark, monkeypatch):
+    """Shards are stretches of the order, and sequence ids rise with it, whatever the ids."""
+    monkeypatch.setattr(packing, "SHARD_PIECES", 64)
+    monkeypatch.setattr(packing, "POOL_SEQUENCES", 0)
+    rng = np.random.default_rng(2)
+    rows = [((i * 7919) % 1000, " ".join(["the"] * int(rng.integers(1, 90))), i) for i in range(1000)] + [(None, None, 1000), (2000, "x " * 600, 1001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at long").repartition(5)
+    got = packing.pack_documents(docs, 256, order=F.col("at")).toPandas()
+    alone = packing.pack_documents(docs, 256).toPandas()
+    assert sorted(map(str, got[["id", "piece", "start", "length", "ids_crc32"]].values)) == sorted(map(str, alone[["id", "piece", "start", "length", "ids_crc32"]].values))
+    number = {r[0]: r[2] for r in rows}
+    got["at"] = [number[None if pd.isna(i) else int(i)] for i in got.id]
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 256
+        assert s["at"].is_monotonic_increasing and s["at"].max() - s["at"].min() < 64
+    longest = got.sort_values(["length", "at", "piece"], ascending=[False, True, True]).groupby("sequence_id", sort=True)["at"].first()
+    assert longest.is_monotonic_increasing and got.sequence_id.nunique() > 100

@@ -115,3 +115,27 @@ def test_columns_may_be_named_like_the_operators_own(spark, tmp_path):
     rows = [(i, f"t{i}", "en", f"s{i % 3}", 1, i, "x", i) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, row string, slot long")
     assert sorted(map(tuple, p.source_mixing(spark, docs, str(tmp_path)).collect())) == rows
+
+
+def test_packing_follows_the_mix(spark, tmp_path, monkeypatch):
+    """Also after the mix was written in files that Spark reads in another order."""
+    monkeypatch.setattr(mixing.mix_sources, "__defaults__", (None, "source", "doc_id", 10, 4))
+    monkeypatch.setattr(p.packing, "SHARD_PIECES", 32)
+    monkeypatch.setattr(p.packing, "POOL_SEQUENCES", 0)
+    rows = [(i, "word " * (1 + i * 37 % 900), "en", "a" if i < 300 else "b", 1) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    mixed = p.source_mixing(spark, docs, str(tmp_path))
+    ids = [r["doc_id"] for r in mixed.collect()]
+    place = {i: k for k, i in enumerate(ids)}
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    for frame in (spark.read.parquet(f"{tmp_path}/mixed"), mixed):
+        packed = p.best_fit_packing(spark, frame, str(tmp_path)).toPandas()
+        assert sorted(packed.doc_id) == sorted(ids)
+        packed["place"] = packed.doc_id.map(place)
+        spans = packed.groupby("sequence_id")["place"].agg(["min", "max"])
+        assert (spans["max"] - spans["min"]).max() < 32
+        assert packed.sort_values(["length", "place"], ascending=[False, True]).groupby("sequence_id")["place"].first().is_monotonic_increasing
+    # The order of another table gives other sequences.
+    other = p.best_fit_packing(spark, docs, str(tmp_path)).toPandas()
+    assert set(other.groupby("sequence_id").doc_id.agg(frozenset)) != set(packed.groupby("sequence_id").doc_id.agg(frozenset))
