@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.operators import similarity
+from talus.operators.graph import cut
 from talus.plans.ranked import read
 
 # Bags of words as normalised maps, for the SQL of this module.
@@ -38,12 +39,12 @@ RATIO = f"""SELECT count(*) AS entries, sum(hit::INT)::BIGINT AS hits, sum((NOT
 
 def skill_leaders(spark, sf_dir):
     """The distinct names of parts as skills: each joins the first leader with a cosine of 0.5 or more."""
-    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).where("p_name is not null").distinct()
+    names = cut(read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).where("p_name is not null").distinct())  # parts are read once
     bags = similarity.bags(names.withColumn("text", F.col("name")), ["name"], "text")
     # Names with one bag (the same words in another order) are alike at 1: the first stands for them.
-    first = bags.groupBy(F.to_json("bag").alias("b")).agg(F.min("name").alias("first"), F.min_by("bag", "name").alias("bag"))
+    first = cut(bags.groupBy(F.to_json("bag").alias("b")).agg(F.min("name").alias("first"), F.min_by("bag", "name").alias("bag")))
     pairs = similarity.cosine_pairs(first.select("first", "bag"), "first", 0.5).select("a", "b")
-    led = similarity.greedy_leaders(pairs, first.select("first"))
+    led = similarity.greedy_leaders(pairs, first.select("first"), at_once=similarity.LEADER_EDGES)
     named = bags.select("name", F.to_json("bag").alias("b")).join(first.select("b", "first"), "b")
     return named.join(led, F.col("first") == led["name"]).select(named["name"], "leader")
 

@@ -207,6 +207,19 @@ def test_greedy_leaders_equal_the_loop(spark):
         sim.greedy_leaders(spark.createDataFrame(chain, "a long, b long"), spark.range(13), rounds=2)
 
 
+def test_few_edges_are_decided_in_one_pass(spark):
+    """With `at_once` the end of the pass needs no rounds; more edges than that go by rounds first."""
+    rng = random.Random(5)
+    for n, share, at_once in ((40, 0.05, 1000), (60, 0.2, 1000), (60, 0.2, 60)):
+        names = [f"{rng.choice('aBß')}{i}" for i in range(n)]
+        pairs = [(a, b) for a in names for b in names if a < b and rng.random() < share]
+        got = sim.greedy_leaders(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame([(x,) for x in names], "name string"), at_once=at_once)
+        assert {r.name: r.leader for r in got.collect()} == greedy(names, pairs)
+    chain = [(i, i + 1) for i in range(12)]
+    got = sim.greedy_leaders(spark.createDataFrame(chain, "a long, b long"), spark.range(13), rounds=1, at_once=12)
+    assert {r.name: r.leader for r in got.collect()} == greedy(range(13), chain)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, tenant string, text string")
     b = sim.bags(none, ["id", "tenant"], "text")
