@@ -50,8 +50,9 @@ def language_id(spark, sf_dir):
         model = language.fit_profiles(docs.where(F.col("doc_id") % 2 == 1 - half), "text", "lang")
         found = language.detect(docs.where(F.col("doc_id") % 2 == half), model, "doc_id", "text")
         out = found if out is None else out.unionByName(found)
-    joined = docs.select("doc_id", "lang").join(out, "doc_id")
-    return joined.select("doc_id", "lang", F.col("language").alias("detected"), language.risk(F.col("language")).alias("risk"))
+    # Ids may repeat, and those without a half (null or negative odd ones) have no profile.
+    joined = docs.select("doc_id", "lang").join(out.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("detected", F.coalesce("language", F.lit("Unknown")))
+    return joined.select("doc_id", "lang", "detected", language.risk(F.col("detected")).alias("risk"))
 
 
 LANGUAGE = r"""
