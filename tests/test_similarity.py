@@ -182,6 +182,58 @@ def test_common_words_are_multiplied_in_tiles(spark, monkeypatch):
     assert max(written) < 12_000
 
 
+def test_cache_writes_a_row_for_a_hit_not_for_a_pair(spark, monkeypatch):
+    """Texts that are nearly all alike: tiles give the best earlier prompt of a row, not all of them."""
+    written, cut = [], sim.cut
+
+    def counted(table):
+        out = cut(table)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(sim, "cut", counted)
+    monkeypatch.setattr(sim, "KEY_PAIRS", 2_000)
+    monkeypatch.setattr(sim, "TILE", 256)
+    rng = random.Random(6)
+    base = [f"w{j}" for j in range(25)]
+    rows = [(7 * i, " ".join(rng.sample(base, 23) + rng.choices(base + ["x", "y"], k=2) + [f"z{i}"] * (i % 40 == 0))) for i in range(700)]
+    rows += [(7 * i + 1, rows[i][1].upper()) for i in range(0, 700, 60)]  # copies
+    rows += [(7 * i + 2, "!?") for i in (3, 500)]
+    got = {r.seq: r for r in sim.cache_lookups(spark.createDataFrame(rows, "seq long, text string"), "seq", "text", 0.9).collect()}
+    assert max(written) < 20_000
+    order = sorted((s, bag(t)) for s, t in rows)
+    for at, (seq, b) in enumerate(order):
+        near = max(((cos(b, c), -s) for s, c in order[:at] if b and c), default=(0, 0))
+        if near[0] < 0.9:
+            assert (got[seq].hit, got[seq].best) == (False, None)
+            continue
+        assert abs(got[seq].similarity - near[0]) < 2e-6
+        if sum(abs(cos(b, c) - near[0]) < 2e-6 and cos(b, c) != near[0] for s, c in order[:at]) == 0:  # else a last digit may decide
+            assert got[seq].best == -near[1]
+
+
+def test_blocks_travel_as_compressed_numbers(spark):
+    """What is sent to a tile is an eighth of the bags as words and weights, and holds them all, and of many words also those without a number."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices([f"word{j}" for j in range(300)], weights=[1 / (j + 1) for j in range(300)], k=90) + [f"rare{i}"] * (i % 3))) for i in range(500)]
+    df = sim.bags(spark.createDataFrame(rows, "id long, text string"), ["id"], "text")
+    known = pa.array([f"word{j}" for j in range(200)])
+    from pyspark.sql import functions as F
+
+    sent = sim._packed(sim._numbered(df.coalesce(1), ["id", F.lit(3).cast("int").alias("blk")], "bag", known), "blk").collect()
+    table = sim._unpacked(pa.chunked_array([pa.array([bytes(r["rows"]) for r in sent], pa.binary())]))
+    assert {r.blk for r in sent} == {3} and sorted(table.column("id").to_pylist()) == [i for i, _ in rows]
+    bagged = {i: bag(t) for i, t in rows}
+    assert sum(len(r["rows"]) for r in sent) < sum(len(w) + 16 for b in bagged.values() for w in b) / 8
+    x, _ = sim._bags_of(table, table)
+    ids = table.column("id").to_pylist()
+    i, j = np.array([rng.randrange(500) for _ in range(300)]), np.array([rng.randrange(500) for _ in range(300)])
+    assert [round(p, 6) for p in sim._products(x, i, x, j)] == pytest.approx([cos(bagged[ids[a]], bagged[ids[b]]) for a, b in zip(i, j)], abs=2e-6)
+
+
 def greedy(names, pairs):
     near = {frozenset(p) for p in pairs}
     leaders, out = [], {}
