@@ -234,6 +234,41 @@ def test_blocks_travel_as_compressed_numbers(spark):
     assert [round(p, 6) for p in sim._products(x, i, x, j)] == pytest.approx([cos(bagged[ids[a]], bagged[ids[b]]) for a, b in zip(i, j)], abs=2e-6)
 
 
+@pytest.mark.parametrize("k,least,n", [(3, 0.05, 900), (1, 0.6, 900), (50, 0.2, 300), (4, 0.05, 3), (2, 0.05, 1)])
+def test_a_tile_scores_few_pairs(spark, monkeypatch, k, least, n):
+    """The screen and the best of the most hopeful rows leave few products of a search to take."""
+    import numpy as np
+    import pyarrow as pa
+
+    taken, products = [0], sim._products
+
+    def counted(x, i, y, j):
+        taken[0] += len(i)
+        return products(x, i, y, j)
+
+    monkeypatch.setattr(sim, "_products", counted)
+    rng = random.Random(8)
+    words = [f"w{j}" for j in range(3000)]
+    weights = [1 / (j + 3) for j in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, weights=weights, k=rng.randrange(4, 90)))) for i in range(n + 70)]
+    bagged = {i: bag(t) for i, t in rows}
+    df = sim.bags(spark.createDataFrame(rows, "id long, text string"), ["id"], "text").coalesce(1)
+    known = pa.array(words[:2000])
+    asks, held = (sim._numbered(df.where(c), ["id"], "bag", known).toArrow() for c in (f"id >= {n}", f"id < {n}"))
+    x, y = sim._bags_of(asks, held)
+    ids = held.column("id").combine_chunks()
+    q, p, digits = sim._best_in_tile(x, y, sim._order(ids), k, least)
+    got = {}
+    for a, b, d in zip(asks.column("id").take(pa.array(q)).to_pylist(), ids.take(pa.array(p)).to_pylist(), digits):
+        got.setdefault(a, []).append((-d, b))
+    for a in range(n, n + 70):
+        want = sorted((-round(cos(bagged[a], bagged[b]) * 1e6), b) for b in range(n) if cos(bagged[a], bagged[b]) >= least)[:k]
+        mine = sorted(got.get(a, []))
+        assert [d for d, _ in mine] == pytest.approx([d for d, _ in want], abs=2) and len(np.unique([b for _, b in mine])) == len(mine)
+    if k < 5 and n > 100:
+        assert taken[0] < 0.12 * n * 70
+
+
 def greedy(names, pairs):
     near = {frozenset(p) for p in pairs}
     leaders, out = [], {}
