@@ -212,6 +212,28 @@ def test_cache_writes_a_row_for_a_hit_not_for_a_pair(spark, monkeypatch):
             assert got[seq].best == -near[1]
 
 
+def test_hit_ratio_writes_no_table_of_words(spark, monkeypatch):
+    """Whether words are too common is told by some of the rows: where they are, neither their keys nor their pairs become a table."""
+    written, cut = [], sim.cut
+
+    def counted(table):
+        out = cut(table)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(sim, "cut", counted)
+    monkeypatch.setattr(sim, "KEY_PAIRS", 2_000)
+    monkeypatch.setattr(sim, "TILE", 256)
+    monkeypatch.setattr(sim, "PLAN_ROWS", 80, raising=False)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(20)], weights=[1 / (j + 1) for j in range(20)], k=40))) for i in range(800)]
+    (r,) = sim.hit_ratio(sim.cache_lookups(spark.createDataFrame(rows, "seq long, text string"), "seq", "text", 0.97)).collect()
+    bags = [bag(t) for _, t in rows]
+    hits = sum(any(cos(b, c) >= 0.97 for c in bags[:at]) for at, b in enumerate(bags))
+    assert 0 < hits < 800 and (r.entries, r.hits, r.misses) == (800, hits, 800 - hits)
+    assert max(written) < 2_500
+
+
 def test_blocks_travel_as_compressed_numbers(spark):
     """What is sent to a tile is an eighth of the bags as words and weights, and holds them all, and of many words also those without a number."""
     import numpy as np
